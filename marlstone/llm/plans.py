@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontamination, packing, sharding
+from marlstone.llm import decontamination, language_model, packing, sharding
 from marlstone.llm.common import table
 
 
@@ -18,12 +18,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_decontamination, op5_packing)}
+    return {f.__name__: f for f in (op1_shards, op2_decontamination, op3_lm_scores, op5_packing)}
 
 
 def oracles() -> dict[str, str]:
