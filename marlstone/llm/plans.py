@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontamination, fingerprints, language_model, packing, quality, sharding, toxicity
+from marlstone.llm import decontamination, fingerprints, language_model, packing, quality, secret_scan, sharding, toxicity
 from marlstone.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op8_quality, op9_toxicity)}
+    return {f.__name__: f for f in (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op7_secrets, op8_quality, op9_toxicity)}
 
 
 def oracles() -> dict[str, str]:
