@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontamination, fingerprints, language_model, packing, quality, secret_scan, sharding, toxicity
+from marlstone.llm import decontamination, fingerprints, language_model, near_duplicates, packing, quality, secret_scan, sharding, toxicity
 from marlstone.llm.common import table
 
 
@@ -42,8 +42,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op7_secrets, op8_quality, op9_toxicity)}
+    return {f.__name__: f for f in (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op7_secrets, op8_quality, op9_toxicity, op10_near_duplicates)}
 
 
 def oracles() -> dict[str, str]:
