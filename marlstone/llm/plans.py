@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontamination, fingerprints, language_model, near_duplicates, packing, quality, secret_scan, sharding, toxicity
+from marlstone.llm import decontamination, fingerprints, html_extraction, language_model, near_duplicates, packing, quality, secret_scan, sharding, toxicity
 from marlstone.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op7_secrets, op8_quality, op9_toxicity, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op6_main_text, op7_secrets, op8_quality, op9_toxicity, op10_near_duplicates)}
 
 
 def oracles() -> dict[str, str]:
