@@ -90,3 +90,15 @@ def set_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordB
     """`batch` with `added`; a column of the same name is replaced."""
     kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in added}
     return pa.RecordBatch.from_pydict(kept | added)
+
+
+def set_aside(df: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """`df` with its own columns of the names `added` renamed, and the columns that bring the old names back."""
+    taken = {c.lower() for c in df.columns}
+    names = {}
+    for c in df.columns:
+        name = c
+        while name.lower() in added or name != c and name.lower() in taken:
+            name = f"_{name}"
+        names[c] = name
+    return df.withColumnsRenamed({c: n for c, n in names.items() if c != n}), [F.col(f"`{n}`").alias(c) for c, n in names.items()]

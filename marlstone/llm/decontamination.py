@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, mixed, set_columns, spread
+from marlstone.llm.common import as_bytes, chunks, mixed, set_aside, set_columns, spread
 
 #: Bytes of item texts whose windows are broadcast at once; a larger benchmark is scanned in blocks of this size.
 BLOCK_BYTES = 16 << 20
@@ -111,6 +111,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[Any,
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+ADDED = ("n_words", "hit_spans", "hit_items")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with n_words, hit_spans (disjoint word spans, stop exclusive) and hit_items (sorted item ids as text).
 
@@ -118,8 +121,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
     items that repeat count once, an empty benchmark hits nothing. There is no shuffle: the documents stream past
     one broadcast block of windows after the other.
     """
-    added = ("n_words", "hit_spans", "hit_items")
-    kept = docs.drop(*added)
+    kept = docs.drop(*ADDED)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     schema = (fields and fields + ", ") + "n_words long, hit_spans array<struct<start:int,stop:int>>, hit_items array<string>"
     out = spread(kept)
@@ -165,7 +167,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the contaminated ones; columns and types stay as they are."""
-    return find_hits(docs, benchmark).where(~contaminated()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    aside, back = set_aside(docs, ADDED)
+    return find_hits(aside, benchmark).where(~contaminated()).select(*back)
 
 
 def _without(text: bytes, spans: list[dict[str, int]]) -> bytes:
@@ -177,13 +180,14 @@ def _without(text: bytes, spans: list[dict[str, int]]) -> bytes:
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with every hit passage, from its first letter to its last, cut out of the text."""
-    found = find_hits(docs, benchmark)
+    aside, back = set_aside(docs, ADDED)
+    found, names = find_hits(aside, benchmark), aside.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             texts = chunk.column("text").cast(pa.binary()).to_pylist()
             left = [_without(t, s) if s else t for t, s in zip(texts, chunk.column("hit_spans").to_pylist(), strict=True)]
             kept = {n: chunk.column(i) for i, n in enumerate(chunk.schema.names)}
-            yield pa.RecordBatch.from_pydict({n: kept[n] if n != "text" else pa.array(left, pa.binary()).cast(pa.string()) for n in docs.columns})
+            yield pa.RecordBatch.from_pydict({n: kept[n] if n != "text" else pa.array(left, pa.binary()).cast(pa.string()) for n in names})
 
-    return found.mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut, aside.schema).select(*back)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, fold, set_columns, spread
+from marlstone.llm.common import as_bytes, chunks, fold, set_aside, set_columns, spread
 from marlstone.llm.labelled import training_sample
 
 BUCKETS, WIDTH = 1 << 16, 8
@@ -147,4 +147,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those that the classifier rejects; columns and types stay as they are."""
-    return scored(docs, fit(docs, labels)).where("predicted = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    aside, back = set_aside(docs, ("score", "predicted"))
+    return scored(aside, fit(docs, labels)).where("predicted = 1").select(*back)
