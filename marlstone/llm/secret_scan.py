@@ -154,7 +154,8 @@ class Model:
 
     def __init__(self, examples: dict[int, list[str]]):
         self.secret = [Automaton(words) for kind, words in sorted(examples.items()) if kind < 3 and words]
-        self.ordinary = Automaton(examples.get(3, []))
+        labelled = {v for kind, words in examples.items() if kind < 3 for v in words}
+        self.ordinary = Automaton([v for v in examples.get(3, []) if v not in labelled])
 
     def likely(self, tokens: list[str]) -> np.ndarray:
         """Whether each token's format is far likelier that of a credential."""

@@ -1,14 +1,7 @@
-import random
-
 import pytest
+from texts import prose
 
 SF = "/root/testdata/sf0.001"
-WORDS = [a + b + c for a in ("th", "er", "on", "an", "re") for b in ("ea", "ou", "in", "ed") for c in ("", "ly", "st", "nd")]
-
-
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) for _ in range(n))
 
 
 @pytest.fixture(scope="session")

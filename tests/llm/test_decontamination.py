@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from conftest import prose
+import duckdb
+from texts import prose
 
 from marlstone.llm import decontamination
 
@@ -40,6 +41,15 @@ def test_tables(spark, sf_dir):
     check(spark, docs, items)
 
 
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+        wanted = sorted(db.execute(decontamination.REPORT_SQL).fetchall())
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert sorted(map(tuple, decontamination.report(docs, items).collect())) == wanted
+
+
 def test_small_cases(spark):
     item = prose(5, 30)
     docs = [(1, prose(6, 20) + " " + item), (2, item.upper().replace(" ", ", ")), (3, "short item"), (4, "a Short  ITEM twice: short-item."), (5, None), (6, prose(7, 900) + " " + item[:90]), (7, " ".join(item.split()[3:16])), (8, " ".join(item.split()[3:15]))]

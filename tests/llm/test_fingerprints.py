@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import prose
+from texts import prose
 
 from marlstone.llm import fingerprints
 
