@@ -55,8 +55,10 @@ def parts(hashes: Column, number: int = PARTS) -> Column:
 
     def part(k: Column) -> Column:
         ranks = F.transform(hashes, lambda t: F.shiftrightunsigned(F.xxhash64(t, k), 1))
-        smallest = lambda x: F.filter(x, lambda r: r < F.pow(F.lit(2.0), F.length(F.bin(F.array_min(x)))))
-        return F.xxhash64(F.array_sort(F.transform(F.array(ranks), smallest)[0]))
+        # A transform over an array of one value names it: ranks and bound are worked out once, not for each element.
+        bound = lambda x: F.pow(F.lit(2.0), F.length(F.bin(F.array_min(x))))
+        below = lambda x: F.transform(F.array(bound(x)), lambda b: F.filter(x, lambda r: r < b))[0]
+        return F.xxhash64(F.array_sort(F.transform(F.array(ranks), below)[0]))
 
     return F.transform(F.array(*map(F.lit, range(number))), part)
 
