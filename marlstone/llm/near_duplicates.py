@@ -6,10 +6,10 @@ than `LEAST_IDF`, so boilerplate counts for less. Each shingle goes to one of `B
 there; a bin's least draw is its consistent weighted sample, and an empty bin borrows one by a fixed permutation.
 `ROWS` bins make a band. Equal texts are one class from the start.
 
-A bucket (the classes that share a band) is never paired with itself. Its members meet a few representatives; the
-exact weighted Jaccard similarity of each such pair is computed from the texts. A member that links connect with a
-representative, or was one, leaves the bucket; what is left meets eight times as many representatives, until nothing
-is left. Links join classes into groups.
+The members of a bucket (the classes that share a band) first meet a few representatives, most copied ones first;
+the exact weighted Jaccard similarity of each such pair is computed from the texts, and links join classes into
+groups. Then every two members of a bucket that are in different groups are compared, in blocks of bounded size:
+members of one group need no further link, so only those outside a bucket's largest group meet all others.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
 #: A shingle in more than 1 / COMMON of all documents weighs less, never under LEAST_IDF.
 COMMON, LEAST_IDF = 64, 0.95
+#: Representatives of a bucket in each round; bytes and number of the texts of one side of a block, about.
+REPRESENTATIVES, BLOCK_BYTES, BLOCK_TEXTS = (2, 16), 4_000_000, 1024
 
 _PERMUTED = np.argsort(mixed(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(17)).reshape(BINS, BINS), axis=1)
 
@@ -208,26 +210,162 @@ def _linked(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
 
+def _overlaps(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], shape: tuple[int, int], weights: Weights) -> np.ndarray:
+    """Sums of the lesser weights of shared shingles, of each text of one side with each of the other. A side is
+    (shingles, weights, counts, rows)."""
+    out = np.zeros(shape)
+    names, place = np.unique(np.concatenate([e[0] for e in entries]), return_inverse=True)
+    place = np.split(place, [len(entries[0][0])])
+    n = [np.bincount(at, minlength=len(names)) for at in place]
+    for dense in (False, True):
+        # Shingles of few pairs are summed pair by pair, those of many as products of matrices.
+        pairs = n[0] * n[1]
+        wanted = (pairs > 0) & ((pairs > 0.02 * out.size) == dense)
+        number = np.cumsum(wanted) - 1
+        sides = []
+        for (_, weight, counts, rows), at in zip(entries, place, strict=True):
+            kept = np.flatnonzero(wanted[at])
+            kept = kept[np.argsort(at[kept], kind="stable")]
+            sides.append((number[at[kept]], weight[kept], counts[kept], rows[kept]))
+        (f, wa, ca, ra), (g, wb, cb, rb) = sides
+        first, size = np.searchsorted(g, np.arange(wanted.sum() + 1)), n[1][wanted]
+        if not dense:
+            ends = np.cumsum(size[f])
+            start = 0
+            while start < len(f):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2_000_000)))
+                reps = size[f[start:stop]]
+                i = np.repeat(np.arange(start, stop), reps)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[f[start:stop]], reps)
+                np.add.at(out.reshape(-1), ra[i] * shape[1] + rb[j], np.minimum(wa[i], wb[j]))
+                start = stop
+            continue
+        idf = weights.of(names[wanted], np.ones(int(wanted.sum())))
+        first_a = np.searchsorted(f, np.arange(len(idf) + 1))
+        for low in range(0, len(idf), 1024):
+            high = min(low + 1024, len(idf))
+            left, right = np.zeros((shape[0], high - low)), np.zeros((shape[1], high - low))
+            x, y = slice(first_a[low], first_a[high]), slice(first[low], first[high])
+            left[ra[x], f[x] - low] = idf[f[x]]
+            right[rb[y], g[y] - low] = 1
+            out += left @ right.T
+        # What a shingle that repeats weighs beyond its first occurrence.
+        for k in np.intersect1d(f[ca > 1], g[cb > 1]):
+            x, y = (np.arange(s[k], s[k + 1]) for s in (first_a, first))
+            x, y = x[ca[x] > 1], y[cb[y] > 1]
+            out[np.ix_(ra[x], rb[y])] += idf[k] * np.minimum.outer(np.log(ca[x]), np.log(cb[y]))
+    return out
+
+
+def crossing(texts: list[bytes], roots: list[bytes], side: np.ndarray | None, weights: Weights, least: float, hashes: _Hashes) -> list[tuple[int, int]]:
+    """Links between texts of different roots, enough to join all that are similar by at least `least`: texts of one
+    side with those of the other, or, without sides, all of them."""
+    taken, block = [], 0
+    while block < len(texts):  # so that the words of a few MB are held at once
+        stop, size = block, 0
+        while stop < len(texts) and (stop == block or size + len(texts[stop]) <= BLOCK_BYTES):
+            size += len(texts[stop])
+            stop += 1
+        taken.append(shingles(texts[block:stop], hashes))
+        block = stop
+    found, counts, number = (np.concatenate(x) for x in zip(*taken, strict=True))
+    weight, owner = weights.of(found, counts), np.repeat(np.arange(len(texts)), number)
+    total, ends = np.bincount(owner, weight, minlength=len(texts)), np.cumsum(number)
+    names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    group = np.array([names[r] for r in roots])
+    joined = list(range(len(names)))
+
+    def top(k: int) -> int:
+        while joined[k] != k:
+            joined[k] = joined[joined[k]]
+            k = joined[k]
+        return k
+
+    def one(k: int) -> tuple[np.ndarray, np.ndarray]:
+        span = slice(ends[k] - number[k], ends[k])
+        order = np.argsort(found[span])
+        return found[span][order], weight[span][order]
+
+    out = []
+    sets = [np.arange(len(texts))] * 2 if side is None else [np.flatnonzero(~side), np.flatnonzero(side)]
+    blocks = [[rows[k : k + BLOCK_TEXTS] for k in range(0, len(rows), BLOCK_TEXTS)] for rows in sets]
+    for rows in blocks[0]:
+        for columns in blocks[1]:
+            if side is None and rows[0] > columns[0]:
+                continue
+            entries = []
+            for chosen in (rows, columns):
+                at = np.full(len(texts), -1)
+                at[chosen] = np.arange(len(chosen))
+                mine = np.flatnonzero(at[owner] >= 0)
+                entries.append((found[mine], weight[mine], counts[mine], at[owner[mine]]))
+            both = _overlaps(entries, (len(rows), len(columns)), weights)
+            ratio = both / np.maximum(total[rows][:, None] + total[columns][None, :] - both, 1e-300)
+            near = (ratio >= least - 1e-9) & (group[rows][:, None] != group[columns][None, :])
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                a, b = int(rows[i]), int(columns[j])
+                if top(group[a]) == top(group[b]) or ratio[i, j] < least + 1e-9 and similarity(one(a), one(b)) < least:
+                    continue
+                joined[top(group[a])] = top(group[b])
+                out.append((a, b))
+    return out
+
+
+def _crossing(members: DataFrame, texts: DataFrame, roots: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """Verified links (a, b) between all `members` (key, band) of a bucket that have different `roots` (key, root)."""
+    sizes = texts.select("key", F.octet_length("text").alias("bytes"))
+    named = stored(members.join(sizes, "key").join(roots, "key", "left").select("key", "band", "bytes", F.coalesce("root", "key").alias("root")))
+    groups = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    # The group with most members is the bucket's main one; its members aren't compared with one another.
+    buckets = groups.groupBy("band").agg(F.max(F.struct("n", "bytes", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
+    lanes = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    other = F.col("n") - F.col("main.n")
+    buckets = buckets.select("band", F.col("main.root").alias("main"), lanes(F.col("main.n"), F.col("main.bytes")).alias("mains"), lanes(other, F.col("bytes") - F.col("main.bytes")).alias("others"), (other > 1).alias("several"))
+    rows = named.join(buckets, "band").withColumn("in_main", F.col("root") == F.col("main"))
+    lane = F.pmod(F.xxhash64("key"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("lane", lane).join(texts, "key")
+    block = lambda across, x, y, side: F.struct(F.lit(across).alias("across"), x.alias("x"), y.alias("y"), side.alias("side"))
+    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    mine = F.col("lane")
+    from_main = F.transform(up_to("others"), lambda k: block(True, k, mine, F.lit(True)))
+    with_main = F.transform(up_to("mains"), lambda k: block(True, mine, k, F.lit(False)))
+    with_others = F.transform(up_to("others"), lambda k: block(False, F.least(k, mine), F.greatest(k, mine), mine > k))
+    blocks = F.when(F.col("in_main"), from_main).when(F.col("several"), F.concat(with_main, with_others)).otherwise(with_main)
+    dealt = rows.select("band", "key", "root", "text", F.explode(blocks).alias("at")).select("band", "at.*", "key", "root", "text")
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def compare(held: pa.Table) -> pa.Table:
+        held = held.sort_by("key").combine_chunks()
+        keys, inside = held.column("key").to_pylist(), not held.column("across")[0].as_py() and held.column("x")[0] == held.column("y")[0]
+        side = None if inside else held.column("side").to_numpy().astype(bool)
+        pairs = crossing(as_bytes(held.column("text")), held.column("root").to_pylist(), side, shared.value, least, _Hashes())
+        ends = [(max(keys[a], keys[b]), min(keys[a], keys[b])) for a, b in pairs]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
+
+    return dealt.groupBy("band", "across", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, weights: Weights, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between text keys, from `classes` (key, doc_id: one document with that text, n_copies,
-    bands): enough of them to join what their buckets show to be similar. Second: the `components` of the links.
+    bands): enough of them to join all members of their buckets that are similar. Second: the `components` of the links.
 
     Each bucket is dealt into lanes, each lane's most copied class is a representative, and all members meet all of
-    them. Members that are now connected with one, and the representatives, leave.
+    them; those now connected with one, and the representatives, sit out the next round. This only finds most links
+    early: after the rounds all members of a bucket that aren't connected are compared.
     """
     members = stored(classes.select("key", "n_copies", F.explode("bands").alias("band")))
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(members.join(sizes, "band"))
     wanted = members.select("key").distinct().join(classes.select("key", "doc_id"), "key")
     source = docs.select(text_key().alias("key"), "doc_id", "text")
-    texts = stored(source.join(wanted, (source["doc_id"].eqNullSafe(wanted["doc_id"])) & (source["key"] == wanted["key"])).select(source["key"], source["text"]).where(F.col("text").isNotNull()))
+    texts = stored(source.join(wanted, (source["doc_id"].eqNullSafe(wanted["doc_id"])) & (source["key"] == wanted["key"])).select(source["key"], source["text"]).where(F.col("text").isNotNull()).dropDuplicates(["key"]))
     found = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    roots, seen, heads = docs.sparkSession.createDataFrame([], "key binary, root binary"), found, 2
-    while True:
+    roots, seen, rest = docs.sparkSession.createDataFrame([], "key binary, root binary"), found, members
+    for heads in REPRESENTATIVES:
         lane = F.pmod(F.xxhash64("key"), F.lit(heads))
         first = F.min(F.struct((-F.col("n_copies")).alias("rank"), F.col("key").alias("head"))).alias("first")
-        chosen = members.groupBy("band", lane.alias("lane")).agg(first).select("band", F.col("first.head").alias("head"))
-        meetings = stored(members.join(chosen, "band").where("key != head").select("band", "key", "head"))
+        chosen = rest.groupBy("band", lane.alias("lane")).agg(first).select("band", F.col("first.head").alias("head"))
+        meetings = stored(rest.join(chosen, "band").where("key != head").select("band", "key", "head"))
         pairs = meetings.select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b")).distinct()
         pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
         new = stored(_linked(pairs, texts, weights, least))
@@ -238,12 +376,16 @@ def links(docs: DataFrame, classes: DataFrame, weights: Weights, least: float =
         root_of = lambda c: roots.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))
         joined = meetings.join(root_of("key"), "key").join(root_of("head"), "head").where("root_key = root_head").select("key", "band")
         gone = joined.unionAll(chosen.select(F.col("head").alias("key"), "band")).distinct()
-        members = stored(members.join(gone, ["key", "band"], "left_anti"))
-        left = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-        members = members.join(left, "band").select("key", "n_copies", "band")
-        if not members.head(1):
+        rest = stored(rest.join(gone, ["key", "band"], "left_anti"))
+        left = rest.groupBy("band").agg(F.count(F.lit(1)).alias("left")).where("left > 1").select("band")
+        rest = rest.join(left, "band").select("key", "n_copies", "band")
+        if not rest.head(1):
             break
-        heads *= 8
+    # The two members of a bucket of two have met.
+    new = stored(_crossing(members.where("n > 2").select("key", "band"), texts, roots, weights, least))
+    if new.head(1):
+        found = found.unionAll(new)
+        roots = components(found)
     return found, roots
 
 

@@ -94,3 +94,59 @@ def test_edges(spark, edge_docs, no_docs):
     left = near_duplicates.keep_one(edge_docs)
     assert left.schema == edge_docs.schema
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "4", "5", "6", "7", "8", "None"]
+
+
+def test_chains_in_large_buckets_equal_all_pairs_of_the_buckets(spark):
+    words, r = prose(5, 400).split(), random.Random(7)
+
+    def changed(places, mark):
+        return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(words))
+
+    # 1 of 396 shingles' words changed in an edit; 8 more in an edit of it, which is then similar to that edit only.
+    firsts, seconds = [], []
+    for n in range(300):
+        places = [6 * k for k in r.sample(range(66), 9)]
+        firsts.append(changed(places[:1], f"new{n}x"))
+        if n < 60:
+            seconds.append(changed(places, f"new{n}x"))
+    docs = [" ".join(words)] * 3 + firsts + seconds
+    hashes, weighing = near_duplicates._Hashes(), near_duplicates.common_shingles(spark.createDataFrame([(t,) for t in docs], "text string"))
+    found, counts, number = near_duplicates.shingles([t.encode() for t in docs], hashes)
+    weight, ends = weighing.of(found, counts), number.cumsum()
+    sets = [dict(zip(found[e - n : e].tolist(), weight[e - n : e].tolist(), strict=True)) for e, n in zip(ends, number, strict=True)]
+    root, buckets = list(range(len(docs))), {}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, row in enumerate(near_duplicates.bands(near_duplicates.samples(found, weight, number)).tolist()):
+        for band in row:
+            buckets.setdefault(band, []).append(k)
+    assert max(map(len, buckets.values())) > 150
+    for i, j in {p for b in buckets.values() for p in itertools.combinations(b, 2)}:
+        both = sum(min(w, sets[j].get(s, 0)) for s, w in sets[i].items())
+        if top(i) != top(j) and both >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - both):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    expected = {}
+    for k in range(len(docs)):
+        expected.setdefault(top(k), []).append(k)
+    rows = near_duplicates.group_documents(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert groups_of(rows) == sorted(expected.values())
+
+
+def test_overlaps_of_blocks_equal_pairs():
+    import numpy as np
+
+    texts = [edited(prose(3, 120) + " again and again and again and again and again", s, 0.02).encode() for s in range(40)] + [prose(s, 50).encode() for s in range(20)]
+    hashes = near_duplicates._Hashes()
+    weights = near_duplicates.Weights({int(h): 0.95 for h in near_duplicates.shingles(texts[:1], hashes)[0][:30]})
+    one = lambda t: (lambda f, c, _: (f[np.argsort(f)], weights.of(f, c)[np.argsort(f)]))(*near_duplicates.shingles([t], hashes))
+    links = near_duplicates.crossing(texts, [b"%d" % k for k in range(60)], None, weights, 0.6, hashes)
+    root = list(range(60))
+    for a, b in links:
+        assert near_duplicates.similarity(one(texts[a]), one(texts[b])) >= 0.6
+        root = [root[a] if r == root[b] else r for r in root]
+    for a, b in itertools.combinations(range(60), 2):
+        assert root[a] == root[b] or near_duplicates.similarity(one(texts[a]), one(texts[b])) < 0.6
