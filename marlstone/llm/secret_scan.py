@@ -3,8 +3,9 @@
 Base patterns find assigned, access-key and hexadecimal credentials. Their matches are the labelled examples: a
 bounded sample of their values, a kind at a time, makes a prefix tree whose statistically compatible states are
 merged into a probabilistic automaton (after Carrasco and Oncina). Ordinary long tokens, sampled likewise, give the
-automaton of what isn't a secret. Every other candidate token of every text is then scored by the log-likelihood
-ratio of the best credential automaton against the ordinary one; those far above become spans of kind `format`.
+automaton of what isn't a secret. Every candidate token of every text that doesn't lie within a base match is then
+scored by the log-likelihood ratio of the best credential automaton against the ordinary one; those far above become
+spans of kind `format`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: As short as the least value of a base pattern.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Values of each kind to learn from and their longest; merge confidence; nats a whole token and a character of it
 #: must have over the ordinary automaton.
@@ -175,15 +177,20 @@ class Model:
         return (ratio >= LEAST_NATS) & (ratio >= LEAST_RATE * lengths)
 
 
-def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Candidate tokens that overlap no base span."""
+def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """Candidate tokens that lie in no base span, and whether one overlaps a base span."""
     found, k = [], 0
     ends = np.maximum.accumulate([e for _, _, e in spans]).tolist() if spans else []
     for m in _CANDIDATE.finditer(text):
         while k < len(spans) and ends[k] <= m.start():
             k += 1
-        if k == len(spans) or spans[k][0] >= m.end():
-            found.append(m.span())
+        inside, touched, at = False, False, k
+        while not inside and at < len(spans) and spans[at][0] < m.end():
+            touched |= spans[at][2] > m.start()
+            inside |= spans[at][0] <= m.start() and m.end() <= spans[at][2]
+            at += 1
+        if not inside:
+            found.append((*m.span(), touched))
     return found
 
 
@@ -198,7 +205,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 for span in spans:
                     if len(v := _value(text, span)) <= LONGEST:
                         least[span[1]].add((crc32(v.encode()), v))
-                least[3] |= {(crc32(v.encode()), v) for a, b in _candidates(text, spans) if len(v := text[a:b]) <= LONGEST}
+                least[3] |= {(crc32(v.encode()), v) for a, b, touched in _candidates(text, spans) if not touched and len(v := text[a:b]) <= LONGEST}
             least = [set(nsmallest(sample, x)) for x in least]
         rows = [(k, h, v) for k, x in enumerate(least) for h, v in sorted(x)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["kind", "hash", "value"])
@@ -213,7 +220,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def _found(texts: list[str], model: Model) -> list[list[tuple[int, int, int]]]:
     """All spans of each text: the base ones, then what the automata add."""
     all_spans = [base_spans(t) for t in texts]
-    places = [(k, a, b) for k, (t, spans) in enumerate(zip(texts, all_spans, strict=True)) for a, b in _candidates(t, spans)]
+    places = [(k, a, b) for k, (t, spans) in enumerate(zip(texts, all_spans, strict=True)) for a, b, _ in _candidates(t, spans)]
     likely = model.likely([texts[k][a:b] for k, a, b in places])
     added: dict[int, list[tuple[int, int, int]]] = {}
     for k, a, b in (places[i] for i in np.flatnonzero(likely).tolist()):
@@ -229,7 +236,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """A row for each document (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format.
 
     Spans are kind:start:end in code points of the whole match, end exclusive. A null text is empty, repeated rows
-    have a row each, other columns aren't read. Spans of different base kinds may overlap; added ones overlap none.
+    have a row each, other columns aren't read. Spans of different kinds may overlap; added ones lie within none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 

@@ -80,3 +80,21 @@ def test_edges(spark, edge_docs, no_docs):
     assert secret_scan.scan(edge_docs).count() == edge_docs.count()
     assert secret_scan.scan(no_docs).count() == 0
     assert secret_scan.redact(edge_docs).schema == edge_docs.schema
+
+
+def test_candidates_over_base_spans_and_short_ones():
+    hexed = "0123456789abcdef"
+    text = f"Za9_{hexed}01AbC 12chars12cha 11chars11ch token=abcdefghijklmnop {hexed}"
+    places = secret_scan._candidates(text, secret_scan.base_spans(text))
+    assert [(text[a:b], touched) for a, b, touched in places] == [(f"Za9_{hexed}01AbC", True), ("12chars12cha", False)]
+
+
+def test_whole_credential_around_a_base_span_is_redacted(spark):
+    r = random.Random(9)
+    key = lambda: "".join(r.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24))
+    rows = [(k, prose(k, 30) + f" token = {key()}AKIA{key()[:16]} " + prose(k + 1, 40) + " someverylongordinaryword-" + prose(k, 1)) for k in range(120)]
+    whole = f"{key()}AKIA{key()[:16]}"
+    docs = spark.createDataFrame([*rows, (900, f"a {whole} b")], "doc_id long, text string")
+    row = secret_scan.scan(docs).where("doc_id = 900").first()
+    assert row.spans == "format:2:46,access:26:46" and row.n_access == row.n_format == 1
+    assert secret_scan.redact(docs).where("doc_id = 900").first().text == "a [secret] b"
