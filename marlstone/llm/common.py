@@ -12,8 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a task holds as Python objects at once; one longer text stands alone.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that a task holds as Python objects at once; a longer text stands alone, and is cut into pieces
+#: wherever it is split into words.
+CHUNK_BYTES = 1 << 19
+
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,22 +30,41 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset one made for local runs."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's folder below spark.checkpoint.dir, which driver and executors share. Where that is unset,
+    a temporary folder, on a local master only: on a cluster each executor would write to its own disk."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="marlstone-"))
+    return f"{folder}/marlstone-{context.applicationId}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts the lineage and outlives lost executors."""
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written as Parquet to the shared folder and read again, and the path: cuts the lineage and outlives lost
+    executors."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return store(df)[0]
+
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file system for it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes what this application's operators have stored; for when their results have been used."""
+    delete(spark, shared_folder(spark))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `most` bytes of `text`; a longer row comes alone. Nothing is copied."""
     for batch in batches:
         if not batch.num_rows:
@@ -62,6 +84,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(text: bytes, most: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """`text` in slices of about `most` bytes that are cut at spaces only, so that no word is cut."""
+    start = 0
+    while len(text) - start > most and (stop := text.find(b" ", start + most)) >= 0:
+        yield text[start:stop]
+        start = stop
+    yield text[start:] if start else text
+
+
 def as_text(column: pa.Array) -> list[str]:
     """The texts of a string column; null is empty, bytes that aren't UTF-8 become U+FFFD."""
     try:

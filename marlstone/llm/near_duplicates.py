@@ -1,20 +1,27 @@
 """Near-duplicate groups: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
 A text's shingles are its runs of five normalised words (fewer words, but not none, are one shingle). A shingle
-weighs (1 + ln tf) times an inverse document frequency that is 1 up to a 64th of all documents and falls to no less
-than `LEAST_IDF`, so boilerplate counts for less. Each shingle goes to one of `BINS` bins and draws Ioffe's variates
-there; a bin's least draw is its consistent weighted sample, and an empty bin borrows one by a fixed permutation.
-`ROWS` bins make a band. Equal texts are one class from the start.
-
-The members of a bucket (the classes that share a band) first meet a few representatives, most copied ones first;
-the exact weighted Jaccard similarity of each such pair is computed from the texts, and links join classes into
-groups. Then every two members of a bucket that are in different groups are compared, in blocks of bounded size:
-members of one group need no further link, so only those outside a bucket's largest group meet all others.
+weighs (1 + ln tf) times its inverse document frequency, which is the mean of its words': ln(1 + N / df), df being the
+exact number of all N documents with the word, as a share of what it is for words in one of `COMMON` documents, at
+most 1. The words' frequencies are taken rather than the shingle's own, as the shingles of n near copies have a
+frequency of n or so: those would weigh least of all, what the copies changed most, and the larger a group of near
+copies, the sooner it would come apart.
+
+Each shingle goes to one of `BINS` bins and draws Ioffe's variates there; a bin's least draw is its consistent
+weighted sample, and an empty bin borrows one by a fixed permutation. `ROWS` bins make a band. Equal texts are one
+class from the start.
+
+The classes that share a band are a bucket. Some bands at a time, a bucket's most copied class meets the members that
+links haven't joined to it yet: their exact weighted Jaccard similarity is computed from the texts, and links join
+classes into groups, so a large group is joined in the first round, by about one comparison a member. In the end every
+two members of a bucket that are still in different groups are compared, in blocks of bounded size. The groups thus
+equal those of comparing all pairs of each bucket, though only links between groups are looked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +29,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, mixed, spread, stored
+from marlstone.llm.common import as_bytes, chunks, delete, mixed, pieces, set_aside, spread, store, stored
 from marlstone.llm.decontamination import words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
-#: A shingle in more than 1 / COMMON of all documents weighs less, never under LEAST_IDF.
-COMMON, LEAST_IDF = 64, 0.95
-#: Representatives of a bucket in each round; bytes and number of the texts of one side of a block, about.
-REPRESENTATIVES, BLOCK_BYTES, BLOCK_TEXTS = (2, 16), 4_000_000, 1024
+#: Words in fewer than 1 / COMMON of all documents have the full inverse document frequency. The others, at most
+#: COMMON times the mean number of distinct words of a document, are broadcast.
+COMMON = 1024
+#: The bands of each round of meetings with a bucket's first class.
+ROUNDS = (range(0, 4), range(4, BANDS))
+#: Bytes and number of the texts of one side of a block, about.
+BLOCK_BYTES, BLOCK_TEXTS = 4_000_000, 1024
+#: Rows of 16-byte keys and ids up to which a side is broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 200_000
+#: Distinct words whose counts a task holds before it sends them on.
+HELD = 1_000_000
 
 _PERMUTED = np.argsort(mixed(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(17)).reshape(BINS, BINS), axis=1)
 
@@ -39,54 +53,75 @@ _PERMUTED = np.argsort(mixed(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000 and len(word) <= 32:
+        if len(self) < 200_000 and len(word) <= 32:
             self[word] = value
         return value
 
 
-def shingles(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of the texts, text after text; their counts; the number of shingles of each text."""
-    words = [words_of(t) for t in texts]
-    get = hashes.__getitem__
-    codes = np.array([h for w in words for h in map(get, w)], np.uint64)
-    lengths = np.array([len(w) for w in words], np.int64)
+def word_codes(texts: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, text after text, and the number of words of each text."""
+    get, parts, lengths = hashes.__getitem__, [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        for piece in pieces(text):
+            words = words_of(piece)
+            parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
+            lengths[k] += len(words)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), lengths
+
+
+class Weights:
+    """Inverse document frequencies of words by hash; those that aren't listed have 1."""
+
+    def __init__(self, hashes: np.ndarray | None = None, idf: np.ndarray | None = None):
+        order = np.argsort(hashes) if hashes is not None else []
+        self.hashes = hashes[order] if len(order) else np.zeros(0, np.uint64)
+        self.idf = idf[order] if len(order) else np.zeros(0)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(codes))
+        at = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == codes, self.idf[at], 1.0)
+
+
+class Shingles(NamedTuple):
+    """Distinct shingles, text after text: hashes, counts, inverse document frequencies; the number of each text."""
+
+    found: np.ndarray
+    counts: np.ndarray
+    idf: np.ndarray
+    number: np.ndarray
+
+    @property
+    def weight(self) -> np.ndarray:
+        return self.idf * (1 + np.log(self.counts))
+
+    @staticmethod
+    def joined(parts: list[Shingles]) -> Shingles:
+        return Shingles(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def shingles(texts: list[bytes], hashes: _Hashes, weights: Weights) -> Shingles:
+    codes, lengths = word_codes(texts, hashes)
     n = np.where(lengths >= WORDS, lengths - WORDS + 1, np.minimum(lengths, 1))
     starts = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(texts)), n)
     at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    padded = np.concatenate([codes, np.zeros(WORDS, np.uint64)])
-    found = np.zeros(len(at), np.uint64)
     short = np.repeat(lengths, n)
+    own = np.concatenate([weights.of(codes), np.zeros(WORDS)])
+    codes = np.concatenate([codes, np.zeros(WORDS, np.uint64)])
+    found, idf = np.zeros(len(at), np.uint64), np.zeros(len(at))
     for k in range(WORDS):
-        found = found * np.uint64(0x9E3779B97F4A7C15) + np.where(k < short, padded[at + k], np.uint64(0))
-    found = mixed(found)
+        found = found * np.uint64(0x9E3779B97F4A7C15) + np.where(k < short, codes[at + k], np.uint64(0))
+        idf += np.where(k < short, own[at + k], 0.0)
+    found, idf = mixed(found), idf / np.minimum(short, WORDS)
     order = np.argsort(mixed(found + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), kind="stable")
     found, owner = found[order], owner[order]
     first = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])][: len(found)])
     counts = np.diff(np.r_[first, len(found)])
-    found, owner = found[first], owner[first]
+    found, owner, idf = found[first], owner[first], idf[order][first]
     order = np.argsort(owner, kind="stable")
-    return found[order], counts[order], np.bincount(owner, minlength=len(texts))
-
-
-class Weights:
-    """Weights of shingles from their counts; `common` are the shingles that are less than fully weighted."""
-
-    def __init__(self, common: dict[int, float] | None = None):
-        pairs = sorted((common or {}).items())
-        self.hashes = np.array([h for h, _ in pairs], np.uint64)
-        self.idf = np.array([i for _, i in pairs])
-        self.table = np.zeros(1 << 16, bool)
-        self.table[self.hashes >> np.uint64(48)] = True
-
-    def of(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = 1 + np.log(counts)
-        near = np.flatnonzero(self.table[found >> np.uint64(48)])
-        if len(near):
-            at = np.minimum(np.searchsorted(self.hashes, found[near]), len(self.hashes) - 1)
-            hit = self.hashes[at] == found[near]
-            weight[near[hit]] *= self.idf[at[hit]]
-        return weight
+    return Shingles(found[order], counts[order], idf[order], np.bincount(owner, minlength=len(texts)))
 
 
 def _uniforms(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +129,18 @@ def _uniforms(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)).astype(np.float64) + 0.5) / 2**32, ((h & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32
 
 
-def samples(found: np.ndarray, weight: np.ndarray, number: np.ndarray) -> np.ndarray:
+def samples(s: Shingles) -> np.ndarray:
     """A row of BINS consistent weighted samples for each text with shingles; zeros for one without."""
-    out = np.zeros((len(number), BINS), np.uint64)
-    if not len(found):
+    out = np.zeros((len(s.number), BINS), np.uint64)
+    if not len(s.found):
         return out
-    owner = np.repeat(np.arange(len(number)), number)
-    h = mixed(found + np.uint64(0x632BE59BD9B4E019))
+    owner = np.repeat(np.arange(len(s.number)), s.number)
+    h = mixed(s.found + np.uint64(0x632BE59BD9B4E019))
     a, b = _uniforms(mixed(h + np.uint64(1)))
     c, d = _uniforms(mixed(h + np.uint64(2)))
     beta, _ = _uniforms(mixed(h + np.uint64(3)))
     r = -np.log(a * b)
-    t = np.floor(np.log(weight) / r + beta)
+    t = np.floor(np.log(s.weight) / r + beta)
     draw = np.log(-np.log(c * d)) - r * (t - beta + 1)
     bits = draw.astype(np.float32).view(np.uint32)
     bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # in the order of the floats
@@ -113,8 +148,8 @@ def samples(found: np.ndarray, weight: np.ndarray, number: np.ndarray) -> np.nda
     order = np.argsort((cell.astype(np.uint64) << np.uint64(32)) | bits, kind="stable")
     first = order[np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1]])]
     flat = out.reshape(-1)
-    flat[cell[first]] = mixed(found[first] + t[first].astype(np.int64).view(np.uint64) * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-    empty = np.flatnonzero((flat == 0) & np.repeat(number > 0, BINS))
+    flat[cell[first]] = mixed(s.found[first] + t[first].astype(np.int64).view(np.uint64) * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
+    empty = np.flatnonzero((flat == 0) & np.repeat(s.number > 0, BINS))
     row, column = empty // BINS, empty % BINS
     filled = out.copy()
     for k in range(BINS):
@@ -150,22 +185,37 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
-def common_shingles(docs: DataFrame) -> Weights:
-    """The shingles of more than 1 / COMMON of all documents, which are at most COMMON times the mean number of
-    shingles. Each block of texts sends those that are in a 256th of its documents, and two at least, so a count
-    falls short by no more than that."""
+def word_weights(docs: DataFrame) -> Weights:
+    """Inverse document frequencies from the exact counts of every word over all documents, whatever their layout."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, held, size = _Hashes(), [], 0
+
+        def sums() -> tuple[np.ndarray, np.ndarray]:
+            words, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return words, np.bincount(place, np.concatenate([h[1] for h in held])).astype(np.int64)
+
         for chunk in chunks(batches):
-            found, n = np.unique(shingles(as_bytes(chunk.column("text")), hashes)[0], return_counts=True)
-            often = n >= max(2, chunk.num_rows / 256)
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["shingle", "df"])
+            codes, lengths = word_codes(as_bytes(chunk.column("text")), hashes)
+            owner = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+            order = np.lexsort((codes, owner))
+            codes, owner = codes[order], owner[order]
+            first = np.r_[True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])][: len(codes)]
+            held.append(np.unique(codes[first], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [sums()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["word", "df"])
+                    held, size = [], 0
+        if held:
+            words, df = sums()
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(df)], names=["word", "df"])
 
     total = docs.count()
-    often = docs.select("text").mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > total / COMMON)
-    idf = lambda df: float(np.clip(np.log(total / df) / np.log(COMMON), LEAST_IDF, 1))
-    return Weights({r.shingle % 2**64: idf(r.df) for r in often.toLocalIterator()})
+    often = docs.select("text").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).where(F.col("df") * COMMON > total).toArrow()
+    return Weights(often["word"].to_numpy().view(np.uint64), np.log1p(total / often["df"].to_numpy()) / np.log1p(COMMON))
 
 
 def sketches(docs: DataFrame, weights: Weights) -> DataFrame:
@@ -176,58 +226,63 @@ def sketches(docs: DataFrame, weights: Weights) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for chunk in chunks(batches):
-            found, counts, number = shingles(as_bytes(chunk.column("text")), hashes)
-            hashed = bands(samples(found, shared.value.of(found, counts), number)).view(np.int64)
-            offsets = np.r_[0, np.cumsum(np.where(number > 0, BANDS, 0))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([chunk.column("key"), chunk.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed[number > 0].reshape(-1)))], names=["key", "doc_id", "bands"])
+            found = shingles(as_bytes(chunk.column("text")), hashes, shared.value)
+            hashed, some = bands(samples(found)).view(np.int64), found.number > 0
+            offsets = np.r_[0, np.cumsum(np.where(some, BANDS, 0))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([chunk.column("key"), chunk.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed[some].reshape(-1)))], names=["key", "doc_id", "bands"])
 
     return docs.select(text_key().alias("key"), "doc_id", "text").mapInArrow(sketch, f"key binary, doc_id {kind}, bands array<long>")
 
 
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, a stored table of keys and ids, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
     """Of `pairs` (a, b) those whose `texts` (key, text) are similar by at least `least`."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weights = _Hashes(), shared.value
+        hashes = _Hashes()
         last: tuple[bytes, tuple[np.ndarray, np.ndarray]] = b"", (np.zeros(0), np.zeros(0))
 
         def weighed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-            found, counts, _ = shingles([text], hashes)
-            order = np.argsort(found)
-            return found[order], weights.of(found, counts)[order]
-
-        for batch in batches:
-            for chunk in chunks(iter([batch]), "text_a"):
-                keep = []
-                for key, a, b in zip(chunk.column("b").to_pylist(), as_bytes(chunk.column("text_a")), as_bytes(chunk.column("text_b")), strict=True):
-                    if key != last[0]:
-                        last = key, weighed(b)
-                    keep.append(similarity(weighed(a), last[1]) >= least)
-                yield pa.RecordBatch.from_arrays([chunk.column("a").filter(pa.array(keep)), chunk.column("b").filter(pa.array(keep))], names=["a", "b"])
+            s = shingles([text], hashes, shared.value)
+            order = np.argsort(s.found)
+            return s.found[order], s.weight[order]
+
+        for chunk in chunks(batches, "text_a"):
+            keep = []
+            for key, a, b in zip(chunk.column("b").to_pylist(), as_bytes(chunk.column("text_a")), as_bytes(chunk.column("text_b")), strict=True):
+                if key != last[0]:
+                    last = key, weighed(b)
+                keep.append(similarity(weighed(a), last[1]) >= least)
+            yield pa.RecordBatch.from_arrays([chunk.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
 
-def _overlaps(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], shape: tuple[int, int], weights: Weights) -> np.ndarray:
-    """Sums of the lesser weights of shared shingles, of each text of one side with each of the other. A side is
-    (shingles, weights, counts, rows)."""
+def _overlaps(sides: list[tuple[Shingles, np.ndarray]], shape: tuple[int, int]) -> np.ndarray:
+    """Sums of the lesser weights of shared shingles, of each text of one side with each of the other. A side is its
+    shingles and their rows."""
     out = np.zeros(shape)
-    names, place = np.unique(np.concatenate([e[0] for e in entries]), return_inverse=True)
-    place = np.split(place, [len(entries[0][0])])
+    names, first_at, place = np.unique(np.concatenate([s.found for s, _ in sides]), return_index=True, return_inverse=True)
+    idf = np.concatenate([s.idf for s, _ in sides])[first_at]
+    place = np.split(place, [len(sides[0][0].found)])
     n = [np.bincount(at, minlength=len(names)) for at in place]
     for dense in (False, True):
         # Shingles of few pairs are summed pair by pair, those of many as products of matrices.
         pairs = n[0] * n[1]
         wanted = (pairs > 0) & ((pairs > 0.02 * out.size) == dense)
         number = np.cumsum(wanted) - 1
-        sides = []
-        for (_, weight, counts, rows), at in zip(entries, place, strict=True):
+        chosen = []
+        for (s, rows), at in zip(sides, place, strict=True):
             kept = np.flatnonzero(wanted[at])
             kept = kept[np.argsort(at[kept], kind="stable")]
-            sides.append((number[at[kept]], weight[kept], counts[kept], rows[kept]))
-        (f, wa, ca, ra), (g, wb, cb, rb) = sides
+            chosen.append((number[at[kept]], s.weight[kept], s.counts[kept], rows[kept]))
+        (f, wa, ca, ra), (g, wb, cb, rb) = chosen
         first, size = np.searchsorted(g, np.arange(wanted.sum() + 1)), n[1][wanted]
         if not dense:
             ends = np.cumsum(size[f])
@@ -237,23 +292,23 @@ def _overlaps(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
                 reps = size[f[start:stop]]
                 i = np.repeat(np.arange(start, stop), reps)
                 j = np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[f[start:stop]], reps)
-                np.add.at(out.reshape(-1), ra[i] * shape[1] + rb[j], np.minimum(wa[i], wb[j]))
+                out += np.bincount(ra[i] * shape[1] + rb[j], np.minimum(wa[i], wb[j]), out.size).reshape(shape)
                 start = stop
             continue
-        idf = weights.of(names[wanted], np.ones(int(wanted.sum())))
-        first_a = np.searchsorted(f, np.arange(len(idf) + 1))
-        for low in range(0, len(idf), 1024):
-            high = min(low + 1024, len(idf))
+        shared = idf[wanted]
+        first_a = np.searchsorted(f, np.arange(len(shared) + 1))
+        for low in range(0, len(shared), 1024):
+            high = min(low + 1024, len(shared))
             left, right = np.zeros((shape[0], high - low)), np.zeros((shape[1], high - low))
             x, y = slice(first_a[low], first_a[high]), slice(first[low], first[high])
-            left[ra[x], f[x] - low] = idf[f[x]]
+            left[ra[x], f[x] - low] = shared[f[x]]
             right[rb[y], g[y] - low] = 1
             out += left @ right.T
         # What a shingle that repeats weighs beyond its first occurrence.
         for k in np.intersect1d(f[ca > 1], g[cb > 1]):
             x, y = (np.arange(s[k], s[k + 1]) for s in (first_a, first))
             x, y = x[ca[x] > 1], y[cb[y] > 1]
-            out[np.ix_(ra[x], rb[y])] += idf[k] * np.minimum.outer(np.log(ca[x]), np.log(cb[y]))
+            out[np.ix_(ra[x], rb[y])] += shared[k] * np.minimum.outer(np.log(ca[x]), np.log(cb[y]))
     return out
 
 
@@ -261,16 +316,16 @@ def crossing(texts: list[bytes], roots: list[bytes], side: np.ndarray | None, we
     """Links between texts of different roots, enough to join all that are similar by at least `least`: texts of one
     side with those of the other, or, without sides, all of them."""
     taken, block = [], 0
-    while block < len(texts):  # so that the words of a few MB are held at once
+    while block < len(texts):  # so that the words of half a MB or so are held at once
         stop, size = block, 0
-        while stop < len(texts) and (stop == block or size + len(texts[stop]) <= BLOCK_BYTES):
+        while stop < len(texts) and (stop == block or size + len(texts[stop]) <= BLOCK_BYTES // 8):
             size += len(texts[stop])
             stop += 1
-        taken.append(shingles(texts[block:stop], hashes))
+        taken.append(shingles(texts[block:stop], hashes, weights))
         block = stop
-    found, counts, number = (np.concatenate(x) for x in zip(*taken, strict=True))
-    weight, owner = weights.of(found, counts), np.repeat(np.arange(len(texts)), number)
-    total, ends = np.bincount(owner, weight, minlength=len(texts)), np.cumsum(number)
+    s = Shingles.joined(taken)
+    weight, owner = s.weight, np.repeat(np.arange(len(texts)), s.number)
+    total, ends = np.bincount(owner, weight, minlength=len(texts)), np.cumsum(s.number)
     names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
     group = np.array([names[r] for r in roots])
     joined = list(range(len(names)))
@@ -282,9 +337,9 @@ def crossing(texts: list[bytes], roots: list[bytes], side: np.ndarray | None, we
         return k
 
     def one(k: int) -> tuple[np.ndarray, np.ndarray]:
-        span = slice(ends[k] - number[k], ends[k])
-        order = np.argsort(found[span])
-        return found[span][order], weight[span][order]
+        span = slice(ends[k] - s.number[k], ends[k])
+        order = np.argsort(s.found[span])
+        return s.found[span][order], weight[span][order]
 
     out = []
     sets = [np.arange(len(texts))] * 2 if side is None else [np.flatnonzero(~side), np.flatnonzero(side)]
@@ -293,13 +348,13 @@ def crossing(texts: list[bytes], roots: list[bytes], side: np.ndarray | None, we
         for columns in blocks[1]:
             if side is None and rows[0] > columns[0]:
                 continue
-            entries = []
+            sides = []
             for chosen in (rows, columns):
                 at = np.full(len(texts), -1)
                 at[chosen] = np.arange(len(chosen))
                 mine = np.flatnonzero(at[owner] >= 0)
-                entries.append((found[mine], weight[mine], counts[mine], at[owner[mine]]))
-            both = _overlaps(entries, (len(rows), len(columns)), weights)
+                sides.append((Shingles(s.found[mine], s.counts[mine], s.idf[mine], s.number), at[owner[mine]]))
+            both = _overlaps(sides, (len(rows), len(columns)))
             ratio = both / np.maximum(total[rows][:, None] + total[columns][None, :] - both, 1e-300)
             near = (ratio >= least - 1e-9) & (group[rows][:, None] != group[columns][None, :])
             for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
@@ -312,16 +367,15 @@ def crossing(texts: list[bytes], roots: list[bytes], side: np.ndarray | None, we
 
 
 def _crossing(members: DataFrame, texts: DataFrame, roots: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """Verified links (a, b) between all `members` (key, band) of a bucket that have different `roots` (key, root)."""
-    sizes = texts.select("key", F.octet_length("text").alias("bytes"))
-    named = stored(members.join(sizes, "key").join(roots, "key", "left").select("key", "band", "bytes", F.coalesce("root", "key").alias("root")))
+    """Verified links (a, b) between all `members` (key, band, bytes) of a bucket that have different `roots`."""
+    named = stored(_rooted(members, roots).select("key", "band", "bytes", "root"))
     groups = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     # The group with most members is the bucket's main one; its members aren't compared with one another.
     buckets = groups.groupBy("band").agg(F.max(F.struct("n", "bytes", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
     lanes = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
     other = F.col("n") - F.col("main.n")
-    buckets = buckets.select("band", F.col("main.root").alias("main"), lanes(F.col("main.n"), F.col("main.bytes")).alias("mains"), lanes(other, F.col("bytes") - F.col("main.bytes")).alias("others"), (other > 1).alias("several"))
-    rows = named.join(buckets, "band").withColumn("in_main", F.col("root") == F.col("main"))
+    buckets = stored(buckets.select("band", F.col("main.root").alias("main"), lanes(F.col("main.n"), F.col("main.bytes")).alias("mains"), lanes(other, F.col("bytes") - F.col("main.bytes")).alias("others"), (other > 1).alias("several")))
+    rows = named.join(_small(buckets), "band").withColumn("in_main", F.col("root") == F.col("main"))
     lane = F.pmod(F.xxhash64("key"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("lane", lane).join(texts, "key")
     block = lambda across, x, y, side: F.struct(F.lit(across).alias("across"), x.alias("x"), y.alias("y"), side.alias("side"))
@@ -345,61 +399,65 @@ def _crossing(members: DataFrame, texts: DataFrame, roots: DataFrame, weights: W
     return dealt.groupBy("band", "across", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
 
 
+def _rooted(rows: DataFrame, roots: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
+    """`rows` with the root of `key`, which is the key itself unless `roots` (key, root) has it."""
+    named = roots.select(F.col("key").alias(key), F.col("root").alias("__root"))
+    return rows.join(named, key, "left").withColumn(root, F.coalesce("__root", key)).drop("__root")
+
+
+def _contracted(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """`roots` after the links `new` (a, b): only what they join anew goes through `components`."""
+    ends = _rooted(_rooted(new, roots, "a", "root_a"), roots, "b", "root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a != b").distinct()
+    tops = components(ends)
+    known = roots.select("key", F.col("root").alias("old")).join(tops.select(F.col("key").alias("old"), "root"), "old", "left").select("key", F.coalesce("root", "old").alias("root"))
+    return stored(known.unionAll(tops.join(roots.select("key"), "key", "left_anti").select("key", "root")))
+
+
 def links(docs: DataFrame, classes: DataFrame, weights: Weights, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between text keys, from `classes` (key, doc_id: one document with that text, n_copies,
-    bands): enough of them to join all members of their buckets that are similar. Second: the `components` of the links.
-
-    Each bucket is dealt into lanes, each lane's most copied class is a representative, and all members meet all of
-    them; those now connected with one, and the representatives, sit out the next round. This only finds most links
-    early: after the rounds all members of a bucket that aren't connected are compared.
-    """
-    members = stored(classes.select("key", "n_copies", F.explode("bands").alias("band")))
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(members.join(sizes, "band"))
-    wanted = members.select("key").distinct().join(classes.select("key", "doc_id"), "key")
+    bands): enough of them to join all members of their buckets that are similar. Second: (key, root) of every key
+    that has a link, the root being the same throughout a group."""
+    spark = docs.sparkSession
+    members = classes.select("key", "n_copies", F.posexplode("bands").alias("at", "band"))
+    sizes = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = stored(members.join(_small(sizes), "band"))
+    wanted = stored(members.select("key").distinct().join(classes.select("key", "doc_id"), "key"))
+    wanted = _small(wanted.select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")))
     source = docs.select(text_key().alias("key"), "doc_id", "text")
-    texts = stored(source.join(wanted, (source["doc_id"].eqNullSafe(wanted["doc_id"])) & (source["key"] == wanted["key"])).select(source["key"], source["text"]).where(F.col("text").isNotNull()).dropDuplicates(["key"]))
-    found = docs.sparkSession.createDataFrame([], "a binary, b binary")
-    roots, seen, rest = docs.sparkSession.createDataFrame([], "key binary, root binary"), found, members
-    for heads in REPRESENTATIVES:
-        lane = F.pmod(F.xxhash64("key"), F.lit(heads))
-        first = F.min(F.struct((-F.col("n_copies")).alias("rank"), F.col("key").alias("head"))).alias("first")
-        chosen = rest.groupBy("band", lane.alias("lane")).agg(first).select("band", F.col("first.head").alias("head"))
-        meetings = stored(rest.join(chosen, "band").where("key != head").select("band", "key", "head"))
-        pairs = meetings.select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b")).distinct()
-        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
-        new = stored(_linked(pairs, texts, weights, least))
+    texts = stored(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("key", "text").where(F.col("text").isNotNull()).dropDuplicates(["key"]))
+    members = members.join(texts.select("key", F.octet_length("text").alias("bytes")), "key")
+    found = seen = spark.createDataFrame([], "a binary, b binary")
+    roots = spark.createDataFrame([], "key binary, root binary")
+    for at in ROUNDS:
+        rows = stored(_rooted(members.where(F.col("at").between(at[0], at[-1])), roots))
+        first = F.min(F.struct((-F.col("n_copies")).alias("rank"), F.col("key").alias("head"), F.col("root").alias("head_root"))).alias("first")
+        heads = stored(rows.groupBy("band").agg(first).select("band", "first.head", "first.head_root"))
+        met = rows.join(_small(heads), "band").where("root != head_root").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b")).distinct()
+        pairs = stored(met.join(seen, ["a", "b"], "left_anti"))
         seen = seen.unionAll(pairs)
+        new = stored(_linked(pairs, texts, weights, least))
         if new.head(1):
-            found = found.unionAll(new)
-            roots = components(found)
-        root_of = lambda c: roots.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"))
-        joined = meetings.join(root_of("key"), "key").join(root_of("head"), "head").where("root_key = root_head").select("key", "band")
-        gone = joined.unionAll(chosen.select(F.col("head").alias("key"), "band")).distinct()
-        rest = stored(rest.join(gone, ["key", "band"], "left_anti"))
-        left = rest.groupBy("band").agg(F.count(F.lit(1)).alias("left")).where("left > 1").select("band")
-        rest = rest.join(left, "band").select("key", "n_copies", "band")
-        if not rest.head(1):
-            break
+            found, roots = found.unionAll(new), _contracted(roots, new)
     # The two members of a bucket of two have met.
-    new = stored(_crossing(members.where("n > 2").select("key", "band"), texts, roots, weights, least))
+    new = stored(_crossing(members.where("n > 2"), texts, roots, weights, least))
     if new.head(1):
-        found = found.unionAll(new)
-        roots = components(found)
+        found, roots = found.unionAll(new), _contracted(roots, new)
     return found, roots
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every key in `edges` (a, b): the least key that it is connected with. Each round takes the
     least root among neighbours, then that root's own root, so chains shrink fast."""
+    spark = edges.sparkSession
     both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("key"), F.least("a", "low").alias("root")))
+    roots, path = store(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("key"), F.least("a", "low").alias("root")))
     while True:
         near = both.join(roots.select(F.col("key").alias("b"), F.col("root").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("low"))
         lower = roots.join(near, roots["key"] == near["a"]).select("key", F.col("root").alias("was"), F.least("root", "low").alias("root"))
         jump = roots.select(F.col("key").alias("root"), F.col("root").alias("next"))
-        after = stored(lower.join(jump, "root").select("key", "was", F.least("root", "next").alias("root")))
-        roots = after.select("key", "root")
+        after, after_path = store(lower.join(jump, "root").select("key", "was", F.least("root", "next").alias("root")))
+        delete(spark, path)
+        roots, path = after.select("key", "root"), after_path
         if not after.where("was != root").head(1):
             return roots
 
@@ -416,31 +474,36 @@ def group_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows, classes, edges = _grouped(spread(docs), least)
     ends = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    wide = classes.join(ends, "key", "left").select("key", "copy_id", "n_copies", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    wide = stored(classes.join(ends, "key", "left").select("key", "copy_id", "n_copies", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
     return rows.join(wide, "key").select("doc_id", "class_id", "n_links", "copy_id", "n_copies", kept.alias("kept"))
 
 
 def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (key, doc_id), texts (key, copy_id, n_copies, class_id, class_key) and links (a, b)."""
-    weights = common_shingles(docs)
+    weights = word_weights(docs)
     sketched = stored(sketches(docs, weights))
     rows = sketched.select("key", "doc_id")
     classes = stored(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")))
     edges, roots = links(docs, classes, weights, least)
-    classes = classes.drop("bands").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    classes = stored(_rooted(classes.select("key", "doc_id", "n_copies"), roots))
     # The least id leads a group; a null id comes last.
     leader = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("class_key"))).alias("leader")
-    leaders = classes.groupBy("root").agg(leader).select("root", F.col("leader.id").alias("class_id"), F.col("leader.class_key").alias("class_key"))
+    leaders = stored(classes.groupBy("root").agg(leader).select("root", F.col("leader.id").alias("class_id"), F.col("leader.class_key").alias("class_key")))
     return rows, stored(classes.join(leaders, "root").select("key", F.col("doc_id").alias("copy_id"), "n_copies", "class_id", "class_key")), edges
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """`docs` with one document of each group: that with the least doc_id; columns and types stay as they are."""
+    """`docs` with one document of each group: that with the least doc_id, of full copies with that id any one.
+
+    Columns and types stay as they are. Null and empty texts are one group, a null doc_id comes last in a group, an
+    empty table stays empty.
+    """
     rows, classes, _ = _grouped(spread(docs.select("doc_id", "text")), least)
-    leaders = classes.where(F.col("key") == F.col("class_key")).select(F.col("class_key").alias("__key"), F.col("class_id").alias("__id"))
-    keyed = docs.withColumn("__of", text_key())
-    left = keyed.join(leaders, (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    aside, back = set_aside(docs, ("__key", "__of", "__id"))
+    leads = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    gone = stored(rows.join(classes, "key").where(~leads).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).distinct())
+    left = aside.withColumn("__of", text_key()).join(_small(gone), (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     if rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
         left = left.dropDuplicates(["__of", "doc_id"])
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return left.select(*back)

@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from texts import prose
 
 from marlstone.llm import near_duplicates
@@ -10,13 +11,12 @@ from marlstone.llm.decontamination import words_of
 
 
 def weights(docs):
-    counted = []
-    for _, text in docs:
-        w = words_of((text or "").encode())
-        counted.append(Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))))
-    df = Counter(s for c in counted for s in c)
-    idf = lambda s: max(near_duplicates.LEAST_IDF, min(1, math.log(len(docs) / df[s]) / math.log(64))) if df[s] > len(docs) / 64 else 1.0
-    return [{s: (1 + math.log(n)) * idf(s) for s, n in c.items()} for c in counted]
+    """Shingle weights from the definition: (1 + ln tf) times the mean idf of the words."""
+    texts = [words_of((text or "").encode()) for _, text in docs]
+    df = Counter(w for words in texts for w in set(words))
+    idf = {w: min(1, math.log(1 + len(docs) / n) / math.log(1025)) if n * 1024 > len(docs) else 1 for w, n in df.items()}
+    counted = [Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))) for w in texts]
+    return [{s: (1 + math.log(n)) * sum(idf[w] for w in s) / len(s) for s, n in c.items()} for c in counted]
 
 
 def brute(docs, least=0.8):
@@ -110,10 +110,10 @@ def test_chains_in_large_buckets_equal_all_pairs_of_the_buckets(spark):
         if n < 60:
             seconds.append(changed(places, f"new{n}x"))
     docs = [" ".join(words)] * 3 + firsts + seconds
-    hashes, weighing = near_duplicates._Hashes(), near_duplicates.common_shingles(spark.createDataFrame([(t,) for t in docs], "text string"))
-    found, counts, number = near_duplicates.shingles([t.encode() for t in docs], hashes)
-    weight, ends = weighing.of(found, counts), number.cumsum()
-    sets = [dict(zip(found[e - n : e].tolist(), weight[e - n : e].tolist(), strict=True)) for e, n in zip(ends, number, strict=True)]
+    weighing = near_duplicates.word_weights(spark.createDataFrame([(t,) for t in docs], "text string"))
+    found = near_duplicates.shingles([t.encode() for t in docs], near_duplicates._Hashes(), weighing)
+    weight, ends = found.weight, found.number.cumsum()
+    sets = [dict(zip(found.found[e - n : e].tolist(), weight[e - n : e].tolist(), strict=True)) for e, n in zip(ends, found.number, strict=True)]
     root, buckets = list(range(len(docs))), {}
 
     def top(k):
@@ -121,7 +121,7 @@ def test_chains_in_large_buckets_equal_all_pairs_of_the_buckets(spark):
             k = root[k]
         return k
 
-    for k, row in enumerate(near_duplicates.bands(near_duplicates.samples(found, weight, number)).tolist()):
+    for k, row in enumerate(near_duplicates.bands(near_duplicates.samples(found)).tolist()):
         for band in row:
             buckets.setdefault(band, []).append(k)
     assert max(map(len, buckets.values())) > 150
@@ -136,17 +136,52 @@ def test_chains_in_large_buckets_equal_all_pairs_of_the_buckets(spark):
     assert groups_of(rows) == sorted(expected.values())
 
 
-def test_overlaps_of_blocks_equal_pairs():
-    import numpy as np
+def weighed(text, weights, hashes):
+    s = near_duplicates.shingles([text], hashes, weights)
+    order = np.argsort(s.found)
+    return s.found[order], s.weight[order]
+
 
+def test_overlaps_of_blocks_equal_pairs():
     texts = [edited(prose(3, 120) + " again and again and again and again and again", s, 0.02).encode() for s in range(40)] + [prose(s, 50).encode() for s in range(20)]
     hashes = near_duplicates._Hashes()
-    weights = near_duplicates.Weights({int(h): 0.95 for h in near_duplicates.shingles(texts[:1], hashes)[0][:30]})
-    one = lambda t: (lambda f, c, _: (f[np.argsort(f)], weights.of(f, c)[np.argsort(f)]))(*near_duplicates.shingles([t], hashes))
+    codes = np.unique(near_duplicates.word_codes(texts[:1], hashes)[0])[:20]
+    weights = near_duplicates.Weights(codes, np.linspace(0.1, 0.9, len(codes)))
     links = near_duplicates.crossing(texts, [b"%d" % k for k in range(60)], None, weights, 0.6, hashes)
     root = list(range(60))
     for a, b in links:
-        assert near_duplicates.similarity(one(texts[a]), one(texts[b])) >= 0.6
+        assert near_duplicates.similarity(weighed(texts[a], weights, hashes), weighed(texts[b], weights, hashes)) >= 0.6
         root = [root[a] if r == root[b] else r for r in root]
     for a, b in itertools.combinations(range(60), 2):
-        assert root[a] == root[b] or near_duplicates.similarity(one(texts[a]), one(texts[b])) < 0.6
+        assert root[a] == root[b] or near_duplicates.similarity(weighed(texts[a], weights, hashes), weighed(texts[b], weights, hashes)) < 0.6
+
+
+def test_weights_do_not_depend_on_layout(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    one, many = (near_duplicates.word_weights(texts.repartition(n)) for n in (1, 150))
+    assert len(one.hashes) and (one.hashes == many.hashes).all() and (one.idf == many.idf).all()
+
+
+def test_long_texts_are_split_into_the_same_words():
+    text = (prose(3, 100_000) + " " + "y" * 700_000 + " end").encode()
+    codes, lengths = near_duplicates.word_codes([b"", text, b"a b"], near_duplicates._Hashes())
+    hashes = near_duplicates._Hashes()
+    assert codes.tolist() == [hashes[w] for w in words_of(text)] + [hashes[b"a"], hashes[b"b"]] and lengths.tolist() == [0, 100_002, 2]
+
+
+def test_bands_find_similar_pairs():
+    """Recall over pairs of similarity 0.8 or more, of texts of 20 to 400 words."""
+    hashes, weights, found, all_pairs = near_duplicates._Hashes(), near_duplicates.Weights(), 0, 0
+    for seed in range(150):
+        text = prose(seed, 20 + 380 * seed // 150)
+        pair = [text.encode(), edited(text, seed, 0.015).encode()]
+        if near_duplicates.similarity(*(weighed(t, weights, hashes) for t in pair)) >= 0.8:
+            a, b = near_duplicates.bands(near_duplicates.samples(near_duplicates.shingles(pair, hashes, weights)))
+            found, all_pairs = found + bool((a == b).any()), all_pairs + 1
+    assert all_pairs > 80 and found >= 0.97 * all_pairs
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "u", "v", "w")], "doc_id long, text string, __key string, __of string, __id string")
+    left = near_duplicates.keep_one(docs)
+    assert left.schema == docs.schema and [tuple(r) for r in left.collect()] == [(1, "a b c d e f", "x", "y", "z")]
