@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its words, the words' byte 3- and 4-grams and its word pairs, hashed into `BUCKETS`
-vectors; a pair of equal words has one bucket for all words. The vectors' mean goes through a softmax. Vectors and
-softmax are trained by stochastic gradient descent in numpy on a bounded sample. For scoring, what a bucket adds to
-the difference of the two logits is one number, so a task looks a word up once and adds.
+A document's features are its words, the words' character 3- and 4-grams (bounds included) and its word pairs, hashed
+into `BUCKETS` vectors; a pair of equal words has one bucket for all words. The vectors' mean goes through a softmax.
+Vectors and softmax are trained by stochastic gradient descent in numpy on a bounded sample. For scoring, what a
+bucket adds to the difference of the two logits is one number, so a task looks a word up once and adds.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -16,18 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, fold, set_aside, set_columns, spread
+from marlstone.llm.common import as_bytes, chunks, fold, pieces, set_aside, set_columns, spread
 from marlstone.llm.labelled import training_sample
 
 BUCKETS, WIDTH = 1 << 16, 8
 _SAME = 0  # the bucket of two equal words
-#: Labelled documents to fit on, passes over them, step size, and words that a task keeps.
-SAMPLE, EPOCHS, RATE, KEPT_WORDS = 4_000, 8, 0.5, 400_000
+#: Labelled documents to fit on and their bytes, about; passes over them; step size; words that a task keeps.
+SAMPLE, SAMPLE_BYTES, EPOCHS, RATE, KEPT_WORDS = 4_000, 32 << 20, 8, 0.5, 150_000
 
 
 def _buckets(word: bytes) -> list[int]:
-    framed = b"<" + word + b">"
-    grams = [framed[i : i + n] for n in (3, 4) for i in range(len(framed) - n + 1)]
+    framed = f"<{word.decode('utf-8', 'replace')}>"
+    grams = [framed[i : i + n].encode() for n in (3, 4) for i in range(len(framed) - n + 1)]
     return [crc32(x) & (BUCKETS - 1) for x in (word, *grams)]
 
 
@@ -40,10 +41,15 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each comes."""
-    words = text.split()
-    found = [b for w in words for b in _buckets(w)]
-    pairs = _pairs(np.array([crc32(w) for w in words], np.uint64)) if len(words) > 1 else []
-    return np.unique(np.concatenate([np.array(found, np.int64), np.array(pairs, np.int64)]), return_counts=True)
+    number, last = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint64)
+    for piece in pieces(text):
+        words = piece.split()
+        number += np.bincount(np.fromiter((b for w in words for b in _buckets(w)), np.int64), minlength=BUCKETS)
+        codes = np.concatenate([last, np.fromiter(map(crc32, words), np.uint64, len(words))])
+        number += np.bincount(_pairs(codes), minlength=BUCKETS)
+        last = codes[-1:]
+    ids = np.flatnonzero(number)
+    return ids, number[ids]
 
 
 class Model:
@@ -80,45 +86,53 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows: list[tuple[float, int, int]] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.weight, self.number, self.code = array("d"), array("q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         buckets = _buckets(word)
-        self[word] = at = len(self.rows)
-        self.rows.append((float(self.model.weight[buckets].sum()), len(buckets), crc32(word)))
+        self[word] = at = len(self.weight)
+        self.weight.append(self.model.weight[buckets].sum())
+        self.number.append(len(buckets))
+        self.code.append(crc32(word))
         return at
 
+    def sums(self, text: bytes) -> tuple[float, int]:
+        """Summed weight and number of the text's features."""
+        total, number, last = 0.0, 0, np.zeros(0, np.uint64)
+        for piece in pieces(text):
+            if len(self) > KEPT_WORDS:
+                self.forget()
+            words = piece.split()
+            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            codes = np.concatenate([last, np.frombuffer(self.code, np.uint64)[at]]) if len(at) else last
+            if len(at):
+                total += float(np.frombuffer(self.weight)[at].sum())
+                number += int(np.frombuffer(self.number, np.int64)[at].sum())
+            pairs = _pairs(codes)
+            total, number = total + float(self.model.weight[pairs].sum()), number + len(pairs)
+            last = codes[-1:]
+        return total, number
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self.rows = []
-        words = [t.split() for t in texts]
-        at = np.array([k for w in words for k in map(self.__getitem__, w)], np.int64)
-        table = np.array(self.rows, np.float64).reshape(-1, 3)
-        sums, number = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
-        ends = np.cumsum([len(w) for w in words])
-        starts = ends - [len(w) for w in words]
-        pair = np.zeros(len(at))
-        if len(at):
-            sums[1:], number[1:] = np.cumsum(table[at, 0]), np.cumsum(table[at, 1])
-            pair[1:] = self.model.weight[_pairs(table[at, 2].astype(np.uint64))]
-            pair[starts[ends > starts]] = 0
-        pairs = np.concatenate([[0.0], np.cumsum(pair)])
-        total = sums[ends] - sums[starts] + pairs[ends] - pairs[starts]
-        n = number[ends] - number[starts] + np.maximum(ends - starts - 1, 0)
-        return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + self.model.bias)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Trains on at most `most` labelled documents outside the held fold."""
+        total, number = np.array([self.sums(t) for t in texts], np.float64).reshape(-1, 2).T
+        return 1 / (1 + np.exp(-(total / np.maximum(number, 1) + self.model.bias)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Trains on at most `most` labelled documents outside the held fold, of about `most_bytes` together."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             found = [features(t) for t in as_bytes(chunk.column("text"))]
-            yield pa.RecordBatch.from_arrays([chunk.column("part"), chunk.column("y"), *(pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (0, 1))], names=["part", "y", "ids", "counts"])
+            packed = ([x[0].astype("<i4").tobytes() for x in found], [x[1].astype("<i4").tobytes() for x in found])
+            yield pa.RecordBatch.from_arrays([chunk.column("part"), chunk.column("y"), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "y", "ids", "counts"])
 
-    sample = training_sample(docs, labels, "quality", most=most).mapInArrow(extract, "part long, y int, ids array<int>, counts array<int>")
-    rows = [(r.part, np.array(r.ids), np.array(r.counts), r.y) for r in sample.toLocalIterator()]
+    sample = training_sample(docs, labels, "quality", most=most, most_bytes=most_bytes).mapInArrow(extract, "part long, y int, ids binary, counts binary")
+    rows = [(r.part, np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4"), r.y) for r in sample.toLocalIterator()]
     return Model([r[1:] for r in sorted(rows, key=lambda r: r[0])])
 
 
@@ -146,6 +160,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without those that the classifier rejects; columns and types stay as they are."""
+    """`docs` without those that the classifier rejects; columns and types stay as they are. A null or empty text
+    stays or goes by the bias, repeated rows share their fate, an empty table stays empty; without usable labels all
+    scores are one half, and none stays."""
     aside, back = set_aside(docs, ("score", "predicted"))
     return scored(aside, fit(docs, labels)).where("predicted = 1").select(*back)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, fold, set_columns, spread, stored
+from marlstone.llm.common import as_bytes, chunks, fold, pieces, set_columns, spread
 from marlstone.llm.labelled import training_sample
 
 #: Labelled documents to fit on, prior weight, drift a token, the least count that gives a word its own
@@ -31,7 +31,7 @@ SAMPLE, PRIOR, DRIFT, LEAST, CERTAIN = 16_000, 20.0, 0.3, 3, 3.0
 _PREFIXES = (4, 5)
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -80,14 +80,19 @@ class Lexicon(dict):
         return value
 
     def token_scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words = [words_of(t) for t in texts]
-        get = self.__getitem__
-        scores = np.array([s for w in words for s in map(get, w)], np.float64)
-        near = np.flatnonzero((scores[1:] > 0) & (scores[1:] == scores[:-1])) + 1
-        if len(near):
-            flat = [x for w in words for x in w]
-            scores[[k for k in near.tolist() if flat[k] == flat[k - 1]]] = -DRIFT
-        return scores, np.array([len(w) for w in words], np.int64)
+        """Scores of the texts' words, text after text, and the number of words of each text."""
+        parts, lengths, get = [np.zeros(0)], np.zeros(len(texts), np.int64), self.__getitem__
+        for k, text in enumerate(texts):
+            last = b""
+            for piece in pieces(text):
+                words = [last, *words_of(piece)]
+                scores = np.fromiter(map(get, words), np.float64, len(words))
+                near = np.flatnonzero((scores[1:] > 0) & (scores[1:] == scores[:-1])) + 1
+                scores[[i for i in near.tolist() if words[i] == words[i - 1]]] = -DRIFT
+                parts.append(scores[1:])
+                lengths[k] += len(words) - 1
+                last = words[-1]
+        return np.concatenate(parts), lengths
 
 
 def passages(scores: np.ndarray, lengths: np.ndarray) -> Iterator[list[tuple[float, int, int]]]:
@@ -197,7 +202,7 @@ def _measured(sample: DataFrame, lexicon: Lexicon) -> Iterator[Row]:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fits on at most `most` labelled documents outside the held fold."""
-    sample = stored(training_sample(docs, labels, "toxic", most=most))
+    sample = training_sample(docs, labels, "toxic", most=most)
     lexicon = _log_odds(sample.where("part % 2 = 0"))
     rows = [(r.y, r.n, r.segments, np.array(r["values"]), np.array(r.counts)) for r in _measured(sample.where("part % 2 != 0"), lexicon)]
     clean = [r for r in rows if r[0] == 0 and r[1]]
