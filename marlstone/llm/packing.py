@@ -14,25 +14,28 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.common import as_text, chunks, spread
 
-#: Words that a task keeps with their ids, and the longest that it keeps.
-KEPT_WORDS, KEPT_LETTERS = 500_000, 48
+#: Words that a task keeps with their ids, the longest that it keeps, and letters that it encodes at once, about.
+KEPT_WORDS, KEPT_LETTERS, AT_ONCE = 120_000, 32, 1 << 17
 
 # Below U+0250 these are all the letters, numbers and white space of the tokenizer's own split pattern.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
 _WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\\x00-ɏ]")
+#: A place where the split pattern always begins a word: a space between two letters.
+_CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 
 class Encoder(dict):
     """Token ids of words as little-endian 32-bit bytes. Merges never cross the words of the split pattern, so a
-    text's ids are its words' ids in a row; a text with characters from U+0250 goes to the tokenizer whole."""
+    text's ids are its words' ids in a row; a text with characters from U+0250, or with one of the tokenizer's added
+    tokens in it, goes to the tokenizer as it is."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -43,15 +46,25 @@ class Encoder(dict):
             self[word] = ids
         return ids
 
+    def _slices(self, text: str) -> Iterator[str]:
+        start = 0
+        while len(text) - start > AT_ONCE and (cut := _CUT.search(text, start + AT_ONCE)):
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
+
     def encode(self, text: str) -> bytes:
-        return self._ids(text) if _BEYOND.search(text) else b"".join(map(self.__getitem__, _WORDS.findall(text)))
+        # An added token may hold any characters, so a text that has one isn't sliced.
+        if any(t in text for t in self._added):
+            return self._ids(text)
+        return b"".join(self._ids(x) if _BEYOND.search(x) else b"".join(map(self.__getitem__, _WORDS.findall(x))) for x in self._slices(text))
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
+    """One for each Python worker; its kept words are forgotten when a task ends, as workers outlive stages."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -102,12 +115,12 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path)
         for chunk in chunks(batches):
             rows: list[list[int]] = [[], [], [], []]
             owners = []
             for k, text in enumerate(as_text(chunk.column("text"))):
-                ids = encode(text) + end
+                ids = encode.encode(text) + end
                 n = len(ids) // 4
                 stops = range((n - 1) % capacity + 1, n + 1, capacity)
                 for piece, stop in enumerate(stops):
@@ -116,6 +129,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) ->
                     for column, value in zip(rows, (piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(rows, _PIECES, strict=True))], names=["doc_id", *(n for n, _ in _PIECES)])
+        encode.clear()
 
     docs = docs.select("doc_id", "text")
     return spread(docs).mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from texts import prose
 from tokenizers import Tokenizer
 
 from marlstone.llm import packing
@@ -12,10 +13,11 @@ from marlstone.llm import packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def token_ids(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, docs, capacity=2048):
@@ -60,6 +62,13 @@ def test_odd_texts(spark, edge_docs, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_long_texts_and_added_tokens():
+    encoder, long = packing.Encoder(PATH), prose(5, 60_000)
+    for text in (long, long[:150_000] + " 漢字 " + long, long + "<|endoftext|>" + long, "x" * 300_000, "a <|endoftext|> b", "<|endoftext|", long.replace(" ", "  ")):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == token_ids(text)[:-1]
+    assert token_ids("<|endoftext|>")[:-1] == [50256]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), max_size=30))
 def test_words_are_the_tokenizers(text):
