@@ -1,13 +1,16 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
-A document's terms are those of its distinct words whose inverse document frequency lies in a band. Each of
-`PARTS` randomised lexicons is nested: with r the term's hash under the lexicon's number, its subsets are
-r < 2^63, 2^62 and so on. A part takes the smallest subset that still meets the document, sorts the terms found
-there and hashes them. Equal texts have equal parts; the likeness of two fingerprints is the share of equal parts.
-
-Document frequencies are counted by term hash in `BUCKETS` buckets, so the lexicon is a bitmap of that size, no
-matter how large the corpus. A bucket gathers at most distinct words per document / BUCKETS of all documents from
-rare words, which is far below the band.
+A document's terms are those of its distinct words whose inverse document frequency lies in a band. Each of `PARTS`
+randomised lexicons is a fixed family of nested subsets of the corpus's terms: a term's rank under the lexicon is a
+hash, and the subsets are the ranks below 2^31, 2^30 and so on. A part takes the smallest of its subsets that still
+meets the document, sorts the terms found there and hashes them. So every part has some terms, of a short document as
+of a long one, and few enough of them to outlive an edit; hashed under one subset of fixed share instead, a text whose
+last third is replaced has hardly an equal part (see the README). Equal texts have equal parts; the likeness of two
+fingerprints is the share of equal parts.
+
+Document frequencies are counted by term. The terms in the band, at most 1 / BAND[0] times the mean number of distinct
+words of a document, are marked in a bitmap of `BITS` bits, no matter how large the corpus; a word outside the band
+whose bit is marked is taken for a term.
 """
 
 from __future__ import annotations
@@ -16,33 +19,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import stored
+from marlstone.llm.common import set_aside, stored
 
-PARTS, BUCKETS = 16, 1 << 21
+PARTS, BITS = 16, 1 << 21
 #: Shares of all documents between which a term's document frequency must lie.
 BAND = (2.0**-11, 2.0**-4)
+#: Ranks are residues of this prime.
+PRIME = (1 << 31) - 1
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _factors(k: int) -> tuple[int, int]:
+    """Of lexicon k: a term t has the rank (t * first + second) mod PRIME."""
+    return 48271 ** (k + 1) % PRIME, 69621 ** (k + 1) % PRIME
 
 
 def word_hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of the lower-cased words: letters, digits and whatever isn't ASCII."""
-    words = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w)))
+    """52-bit hashes of the distinct lower-cased (A-Z) words: letters, digits and whatever isn't ASCII."""
+    words = F.split(F.translate(text, _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return F.transform(F.array_distinct(F.array_remove(words, "")), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 13), 16, 10).cast("long"))
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(term, F.lit(BUCKETS))
+    return F.pmod(term, F.lit(BITS))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
-    """The band as a constant: an array of BUCKETS / 64 longs whose bits are the buckets in it."""
+    """The band as a constant: an array of BITS / 64 longs whose bits are those of the terms in it."""
     total = docs.count()
     terms = docs.select(F.explode(word_hashes(F.coalesce("text", F.lit("")))).alias("term"))
-    counts = terms.groupBy(_bucket(F.col("term")).alias("bucket")).agg(F.count(F.lit(1)).alias("df"))
-    inside = counts.where(F.col("df").between(band[0] * total, band[1] * total))
+    inside = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(band[0] * total, band[1] * total))
+    places = inside.select(_bucket(F.col("term")).alias("bucket"))
     bits = F.expr("shiftleft(1L, cast(bucket % 64 as int))")
-    words = inside.groupBy(F.expr("bucket div 64").alias("word")).agg(F.bit_or(bits).alias("bits"))
+    words = places.groupBy(F.expr("bucket div 64").alias("word")).agg(F.bit_or(bits).alias("bits"))
     held = {r["word"]: r["bits"] for r in words.toLocalIterator()}
-    return F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(BUCKETS // 64))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(BITS // 64))), ",").cast("array<bigint>")
 
 
 def _in_band(term: Column, band: Column) -> Column:
@@ -51,16 +62,18 @@ def _in_band(term: Column, band: Column) -> Column:
 
 
 def parts(hashes: Column, number: int = PARTS) -> Column:
-    """The hashes of a set of terms under each lexicon."""
+    """The hashes of a set of terms under each lexicon, as 16 hexadecimal digits."""
 
-    def part(k: Column) -> Column:
-        ranks = F.transform(hashes, lambda t: F.shiftrightunsigned(F.xxhash64(t, k), 1))
+    def part(factors: Column) -> Column:
+        ranks = F.transform(hashes, lambda t: (t % PRIME * factors["a"] + factors["b"]) % PRIME)
         # A transform over an array of one value names it: ranks and bound are worked out once, not for each element.
-        bound = lambda x: F.pow(F.lit(2.0), F.length(F.bin(F.array_min(x))))
+        bound = lambda x: F.pow(F.lit(2.0), F.length(F.bin(F.array_min(x)))).cast("long")
         below = lambda x: F.transform(F.array(bound(x)), lambda b: F.filter(x, lambda r: r < b))[0]
-        return F.xxhash64(F.array_sort(F.transform(F.array(ranks), below)[0]))
+        found = F.array_sort(F.transform(F.array(ranks), below)[0])
+        return F.substring(F.md5(F.array_join(found.cast("array<string>"), ",").cast("binary")), 1, 16)
 
-    return F.transform(F.array(*map(F.lit, range(number))), part)
+    pairs = [F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(_factors, range(number))]
+    return F.transform(F.array(*pairs), part)
 
 
 def likeness(a: Column, b: Column, number: int = PARTS) -> Column:
@@ -69,7 +82,7 @@ def likeness(a: Column, b: Column, number: int = PARTS) -> Column:
 
 
 def _shown(x: Column) -> Column:
-    return F.array_join(F.transform(x, lambda p: F.lpad(F.hex(p), 16, "0")), "-")
+    return F.array_join(x, "-")
 
 
 def with_parts(df: DataFrame, band: Column, text: str, name: str) -> DataFrame:
@@ -84,9 +97,10 @@ def with_parts(df: DataFrame, band: Column, text: str, name: str) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """`docs` with `fingerprint`; a column of that name is replaced, a null text is empty."""
-    filled = docs.drop("fingerprint").withColumn("__text", F.coalesce("text", F.lit("")))
-    return with_parts(filled, lexicon(docs, band), "__text", "__parts").withColumn("fingerprint", _shown(F.col("__parts"))).drop("__text", "__parts")
+    """`docs` with `fingerprint`; a column of that name is replaced, a null text is empty, other columns stay."""
+    aside, back = set_aside(docs.drop("fingerprint"), ("__text", "__parts", "__parts_words", "__parts_kept"))
+    filled = aside.withColumn("__text", F.coalesce("text", F.lit("")))
+    return with_parts(filled, lexicon(docs, band), "__text", "__parts").select(*back, _shown(F.col("__parts")).alias("fingerprint"))
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -139,3 +153,25 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
+
+
+#: DuckDB SQL for the rows of `fingerprint_edits(documents)` where doc_ids are distinct and none is null.
+EDITS_SQL = rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+followed AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM doc WINDOW w AS (ORDER BY doc_id DESC)),
+edited AS (SELECT doc_id, n, next_id, text, substr(text, 1, n - n // 3) || substr(next_text, 1, n // 3) AS edited FROM followed),
+texts AS (SELECT doc_id, 'own' AS kind, text AS x FROM edited UNION ALL SELECT doc_id, 'edited', edited FROM edited),
+words AS (SELECT DISTINCT doc_id, kind, unnest(regexp_extract_all(translate(x, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+terms AS (SELECT doc_id, kind, ('0x' || substr(md5(word), 1, 13))::BIGINT AS term FROM words),
+band AS (SELECT term FROM terms WHERE kind = 'own' GROUP BY term HAVING count(*) BETWEEN {BAND[0]!r} * (SELECT count(*) FROM doc) AND {BAND[1]!r} * (SELECT count(*) FROM doc)),
+bucket AS (SELECT DISTINCT term % {BITS} AS bucket FROM band),
+marked AS (SELECT doc_id, kind, term, bucket IS NOT NULL AS inside, bool_or(bucket IS NOT NULL) OVER (PARTITION BY doc_id, kind) AS any_inside FROM terms LEFT JOIN bucket ON term % {BITS} = bucket),
+factor(k, a, b) AS (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(map(_factors, range(PARTS))))}),
+ranks AS (SELECT doc_id, kind, k, (term % {PRIME} * a + b) % {PRIME} AS r FROM marked, factor WHERE inside OR NOT any_inside),
+below AS (SELECT doc_id, kind, k, r FROM ranks JOIN (SELECT doc_id, kind, k, 1::BIGINT << length(bin(min(r))) AS bound FROM ranks GROUP BY ALL) USING (doc_id, kind, k) WHERE r < bound),
+hashed AS (SELECT doc_id, kind, k, substr(md5(string_agg(r, ',' ORDER BY r)), 1, 16) AS part FROM below GROUP BY ALL),
+part AS (SELECT doc_id, kind, list(coalesce(part, substr(md5(''), 1, 16)) ORDER BY k) AS parts FROM texts CROSS JOIN factor LEFT JOIN hashed USING (doc_id, kind, k) GROUP BY ALL)
+SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.parts, '-') AS fingerprint, array_to_string(c.parts, '-') AS edited_fingerprint,
+       len(list_filter(list_zip(o.parts, c.parts), lambda x: x[1] = x[2])) / {float(PARTS)!r} AS near_edited, len(list_filter(list_zip(o.parts, f.parts), lambda x: x[1] = x[2])) / {float(PARTS)!r} AS near_next
+FROM edited e JOIN part o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN part c ON c.doc_id = e.doc_id AND c.kind = 'edited' JOIN part f ON f.doc_id = next_id AND f.kind = 'own'
+"""
