@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, mixed, set_aside, set_columns, spread
+from marlstone.llm.common import as_bytes, chunks, mixed, pieces, set_aside, set_columns, spread, store, stored
 
-#: Bytes of item texts whose windows are broadcast at once; a larger benchmark is scanned in blocks of this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item texts whose windows are broadcast at once, about 40 MB in a worker; a larger benchmark is scanned in
+#: blocks of this size, one after the other.
+BLOCK_BYTES = 4 << 20
 
 _KEPT = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 _LOWER = bytes(ord(chr(c).lower()) if _KEPT.match(bytes([c])) and c < 128 else c if c >= 128 else 32 for c in range(256))
@@ -32,31 +33,41 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items: per length a sorted array of hashes and a small table that rules most
-    positions out, and per window the items that hold it, for the exact check."""
+    """The windows of a block of items. The items' words are numbers in one array; per length, sorted hashes of the
+    windows with a small table that rules most positions out, and for each window a place where it stands in that
+    array, for the exact check, and the items that hold it."""
 
     def __init__(self, items: list[tuple[Any, bytes]], size: int):
-        self.items: dict[bytes, set] = defaultdict(set)
+        self.names = [item for item, _ in items]
         self.vocabulary: dict[bytes, int] = {}
-        lengths = defaultdict(list)
-        for item, text in items:
-            words = words_of(text)
-            length = min(size, len(words))
-            for i in range(len(words) - length + 1 if length else 0):
-                key = b" ".join(words[i : i + length])
-                if key not in self.items:
-                    lengths[length].append(words[i : i + length])
-                self.items[key].add(item)
-            for word in words:
-                self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
+        number = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        self.flat = np.concatenate([*number, np.zeros(0, np.int32)])
         self.codes = mixed(np.arange(len(self.vocabulary) + 1, dtype=np.uint64) + np.uint64(1))
-        self.hashes = {}
-        for length, windows in lengths.items():
-            ids = np.array([[self.vocabulary[w] for w in words] for words in windows])
-            hashes = np.unique(self._rolled(self.codes[ids].reshape(-1), length)[::length])
-            table = np.zeros(1 << 20, bool)
-            table[hashes >> np.uint64(44)] = True
-            self.hashes[length] = hashes, table
+        n = np.array([len(x) for x in number], np.int64)
+        begins, lengths = np.cumsum(n) - n, np.minimum(n, size)
+        self.lengths = {int(length): self._entries(int(length), np.flatnonzero(lengths == length), begins, n) for length in np.unique(lengths[lengths > 0])}
+
+    def _entries(self, length: int, items: np.ndarray, begins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        each = n[items] - length + 1
+        owner = np.repeat(items, each)
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + begins[owner]
+        hashes = self._rolled(self.codes[self.flat], length)[at]
+        order = np.lexsort((owner, hashes))
+        hashes, at, owner = hashes[order], at[order], owner[order]
+        new = np.ones(len(at), bool)  # neighbours of equal hash and words are one window
+        if len(at):
+            new[1:] = (hashes[1:] != hashes[:-1]) | ~self._equal(self.flat, at[1:], at[:-1], length)
+        first = np.flatnonzero(new)
+        table = np.zeros(1 << 20, bool)
+        table[hashes >> np.uint64(44)] = True
+        return hashes[first], table, at[first].astype(np.int32), np.r_[first, len(at)].astype(np.int32), owner.astype(np.int32)
+
+    def _equal(self, words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+        """Whether the windows of `words` from a are those of the items' words from b."""
+        same = np.ones(len(a), bool)
+        for k in range(length):
+            same &= words[a + k] == self.flat[b + k]
+        return same
 
     @staticmethod
     def _rolled(codes: np.ndarray, length: int) -> np.ndarray:
@@ -68,24 +79,32 @@ class Windows:
             total += codes[k : k + n]
         return mixed(total)
 
-    def scan(self, texts: list[list[bytes]]) -> dict[int, tuple[list[tuple[int, int]], set]]:
-        """By number of the text, of those that are hit: word spans of the occurrences, and the items."""
-        ends = np.cumsum([len(words) for words in texts])
-        flat = [w for words in texts for w in words]
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in flat), np.int64, len(flat))
+    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], set]]]:
+        """The texts' numbers of words; by number of the text, of those that are hit: word spans of the occurrences,
+        and the items."""
+        get, parts, n = self.vocabulary.get, [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            for piece in pieces(text):
+                words = words_of(piece)
+                parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
+                n[k] += len(words)
+        ids, ends = np.concatenate(parts), np.cumsum(n)
         codes, found = self.codes[ids], defaultdict(lambda: ([], set()))
-        for length, (hashes, table) in self.hashes.items():
+        for length, (hashes, table, places, offsets, owners) in self.lengths.items():
             rolled = self._rolled(codes, length)
             near = np.flatnonzero(table[rolled >> np.uint64(44)])
-            near = near[np.isin(rolled[near], hashes)]
-            owners = np.searchsorted(ends, near, side="right")
-            for at, owner in zip(near.tolist(), owners.tolist(), strict=True):
-                if at + length <= ends[owner] and (items := self.items.get(b" ".join(flat[at : at + length]))):
-                    start = at - int(ends[owner - 1] if owner else 0)
+            entry, stop = (np.searchsorted(hashes, rolled[near], side) for side in ("left", "right"))
+            text_of = np.searchsorted(ends, near, side="right")
+            whole = near + length <= ends[text_of] if len(near) else np.zeros(0, bool)
+            while (live := (entry < stop) & whole).any():
+                near, entry, stop, text_of, whole = near[live], entry[live], stop[live], text_of[live], whole[live]
+                hit = self._equal(ids, near, places[entry], length)
+                for at, owner, e in zip(near[hit].tolist(), text_of[hit].tolist(), entry[hit].tolist(), strict=True):
+                    start = at - int(ends[owner] - n[owner])
                     found[owner][0].append((start, start + length))
-                    found[owner][1].update(items)
-        return found
+                    found[owner][1].update(self.names[i] for i in owners[offsets[e] : offsets[e + 1]].tolist())
+                entry = entry + 1
+        return n, found
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,29 +138,66 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
 
     Added columns replace those of the same name. A null text has no words, a null item id is the text "null",
     items that repeat count once, an empty benchmark hits nothing. There is no shuffle: the documents stream past
-    one broadcast block of windows after the other.
+    the broadcast windows. A benchmark of several blocks is scanned once for each, in a job of its own that stores
+    what it hits, so one block at a time is held; then the hits are joined to the documents.
     """
-    kept = docs.drop(*ADDED)
+    kept = spread(docs.drop(*ADDED))
+    blocks = _blocks(benchmark, block_bytes) if benchmark.head(1) else iter([[]])
+    first, second = next(blocks, []), next(blocks, None)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    schema = (fields and fields + ", ") + "n_words long, hit_spans array<struct<start:int,stop:int>>, hit_items array<string>"
-    out = spread(kept)
+    schema = (fields and fields + ", ") + _ADDED_TYPES
     context = docs.sparkSession.sparkContext
-    for k, items in enumerate(_blocks(benchmark, block_bytes) if benchmark.head(1) else [[]]):
-        shared = context.broadcast(Windows([("null" if i is None else str(i), t) for i, t in items], size))
-        first = k == 0
+    if second is None:
+        shared = context.broadcast(_windows(first, size))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches):
-                words = [words_of(x) for x in as_bytes(chunk.column("text"))]
-                found = shared.value.scan(words)
-                spans = [[]] * len(words) if first else [[(s["start"], s["stop"]) for s in x] for x in chunk.column("hit_spans").to_pylist()]
-                ids = [[]] * len(words) if first else chunk.column("hit_items").to_pylist()
-                for row, (new, more) in found.items():
-                    spans[row], ids[row] = _merged([*spans[row], *new]), sorted({*ids[row], *more})
-                yield set_columns(chunk, {"n_words": pa.array(map(len, words), pa.int64()), "hit_spans": pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], _SPAN_TYPE), "hit_items": pa.array(ids, pa.list_(pa.string()))})
-
-        out = out.mapInArrow(scan, schema)
-    return out
+                n, found = shared.value.scan(as_bytes(chunk.column("text")))
+                yield _with_hits(chunk, n, [found[k] if k in found else ([], ()) for k in range(len(n))])
+
+        return kept.mapInArrow(scan, schema)
+
+    aside, back = set_aside(kept, ("__row", "__spans", "__items"))
+    numbered = stored(aside.withColumn("__row", F.monotonically_increasing_id()))
+    paths = [_block_hits(numbered, x, size) for x in (first, second)] + [_block_hits(numbered, x, size) for x in blocks]
+    hits = docs.sparkSession.read.parquet(*paths).groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+    joined = numbered.join(hits, "__row", "left").select(*back, "__spans", "__items")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            n = np.array([sum(len(words_of(p)) for p in pieces(t)) for t in as_bytes(chunk.column("text"))], np.int64)
+            spans, items = (chunk.column(c).to_pylist() for c in ("__spans", "__items"))
+            yield _with_hits(chunk.drop_columns(["__spans", "__items"]), n, [([(x["start"], x["stop"]) for x in s or []], i or ()) for s, i in zip(spans, items, strict=True)])
+
+    return joined.mapInArrow(finish, schema)
+
+
+_ADDED_TYPES = "n_words long, hit_spans array<struct<start:int,stop:int>>, hit_items array<string>"
+
+
+def _windows(items: list[tuple[Any, bytes]], size: int) -> Windows:
+    return Windows([("null" if i is None else str(i), t) for i, t in items], size)
+
+
+def _with_hits(chunk: pa.RecordBatch, n: np.ndarray, hits: list[tuple[list[tuple[int, int]], Any]]) -> pa.RecordBatch:
+    spans = [[{"start": a, "stop": b} for a, b in _merged(s)] for s, _ in hits]
+    return set_columns(chunk, {"n_words": pa.array(n), "hit_spans": pa.array(spans, _SPAN_TYPE), "hit_items": pa.array([sorted(set(i)) for _, i in hits], pa.list_(pa.string()))})
+
+
+def _block_hits(numbered: DataFrame, items: list[tuple[Any, bytes]], size: int) -> str:
+    """The path of a table (__row, spans, items) of the documents that one block of items hits."""
+    shared = numbered.sparkSession.sparkContext.broadcast(_windows(items, size))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            _, found = shared.value.scan(as_bytes(chunk.column("text")))
+            rows = sorted(found)
+            spans = [[{"start": a, "stop": b} for a, b in _merged(found[k][0])] for k in rows]
+            yield pa.RecordBatch.from_arrays([chunk.column("__row").take(pa.array(rows, pa.int64())), pa.array(spans, _SPAN_TYPE), pa.array([sorted(found[k][1]) for k in rows], pa.list_(pa.string()))], names=["__row", "spans", "items"])
+
+    _, path = store(numbered.select("__row", "text").mapInArrow(scan, "__row long, spans array<struct<start:int,stop:int>>, items array<string>"))
+    shared.destroy()
+    return path
 
 
 def n_hit() -> Column:
@@ -166,7 +222,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the contaminated ones; columns and types stay as they are."""
+    """`docs` without the contaminated ones; columns and types stay as they are. A null or empty text has no words and
+    stays, as do all documents under an empty benchmark; repeated rows share their fate."""
     aside, back = set_aside(docs, ADDED)
     return find_hits(aside, benchmark).where(~contaminated()).select(*back)
 
@@ -179,7 +236,8 @@ def _without(text: bytes, spans: list[dict[str, int]]) -> bytes:
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` with every hit passage, from its first letter to its last, cut out of the text."""
+    """`docs` with every hit passage, from its first letter to its last, cut out of the text; every row stays, a text
+    without hits, null or empty as it is."""
     aside, back = set_aside(docs, ADDED)
     found, names = find_hits(aside, benchmark), aside.columns
 
