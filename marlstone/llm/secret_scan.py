@@ -2,10 +2,11 @@
 
 Base patterns find assigned, access-key and hexadecimal credentials. Their matches are the labelled examples: a
 bounded sample of their values, a kind at a time, makes a prefix tree whose statistically compatible states are
-merged into a probabilistic automaton (after Carrasco and Oncina). Ordinary long tokens, sampled likewise, give the
-automaton of what isn't a secret. Every candidate token of every text that doesn't lie within a base match is then
-scored by the log-likelihood ratio of the best credential automaton against the ordinary one; those far above become
-spans of kind `format`.
+merged into a probabilistic automaton (after Carrasco and Oncina). Only states of the same depth are merged, up to
+`LAYERS` characters, so the automaton keeps lengths and what stands where; deeper ones may be merged into loops.
+Ordinary long tokens, sampled likewise and merged at any depth, give the automaton of what isn't a secret. Every candidate token of every text
+that doesn't lie within a base match is then scored by the log-likelihood ratio of the best credential automaton
+against the ordinary one; those far above become spans of kind `format`.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 #: As short as the least value of a base pattern.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-#: Values of each kind to learn from and their longest; merge confidence; nats a whole token and a character of it
-#: must have over the ordinary automaton.
-SAMPLE, LONGEST, ALPHA, LEAST_NATS, LEAST_RATE = 300, 80, 0.05, 20.0, 0.75
+#: Values of each kind to learn from, and their characters together, about; merge confidence; depth up to which states
+#: are told apart; observations that the kind's characters as a whole weigh in each state; nats a whole token and a
+#: character of it must have over the ordinary automaton.
+SAMPLE, SAMPLE_CHARS, ALPHA, LAYERS, PRIOR, LEAST_NATS, LEAST_RATE = 300, 1 << 16, 0.05, 64, 4.0, 20.0, 0.75
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,8 +58,9 @@ def _value(text: str, span: tuple[int, int, int]) -> str:
 class _Tree:
     """A prefix tree with counts of arrivals and ends; states are numbers."""
 
-    def __init__(self, words: list[str]):
-        self.arrived, self.ended, self.next = [0], [0], [{}]
+    def __init__(self, words: list[str], layers: int = LAYERS):
+        self.layers = layers
+        self.arrived, self.ended, self.next, self.layer = [0], [0], [{}], [0]
         for word in words:
             state = 0
             self.arrived[0] += 1
@@ -67,6 +70,7 @@ class _Tree:
                     self.arrived.append(0)
                     self.ended.append(0)
                     self.next.append({})
+                    self.layer.append(min(self.layer[state] + 1, layers))
                 state = self.next[state][c]
                 self.arrived[state] += 1
             self.ended[state] += 1
@@ -106,39 +110,51 @@ class _Tree:
                     self.next[a][c] = child
 
     def merge(self) -> list[int]:
-        """Merges each state below the kept ones into the first kept one that it is compatible with, or keeps it."""
-        kept = [0]
-        while True:
-            fringe = [(self.arrived[t], s, c) for s in kept for c, t in self.next[s].items() if t not in kept]
-            if not fringe:
-                return kept
-            _, s, c = max(fringe, key=lambda x: (x[0], -x[1], x[2]))
-            state = self.next[s][c]
-            into = next((k for k in kept if self.compatible(k, state)), None)
-            if into is None:
-                kept.append(state)
-            else:
-                self.next[s][c] = into
-                self.fold(into, state)
+        """Merges each state below the kept ones into the first kept one of its layer that it is compatible with, or
+        keeps it; those of the lowest layer first, and there those with most arrivals."""
+        kept: dict[int, list[int]] = {0: [0]}
+        known = {0}
+        for layer in range(self.layers + 1):
+            while True:
+                above = [s for k in ((layer - 1, layer) if layer == self.layers else (layer - 1,)) for s in kept.get(k, [])]
+                fringe = [(self.arrived[t], -s, c) for s in above for c, t in self.next[s].items() if t not in known]
+                if not fringe:
+                    break
+                _, s, c = max(fringe)
+                state = self.next[-s][c]
+                into = next((k for k in kept.get(layer, []) if self.compatible(k, state)), None)
+                if into is None:
+                    kept.setdefault(layer, []).append(state)
+                    known.add(state)
+                else:
+                    self.next[-s][c] = into
+                    self.fold(into, state)
+        return [s for layer in sorted(kept) for s in kept[layer]]
 
 
 class Automaton:
-    """Log probabilities of tokens. A character or end that a state has not seen has a share of one observation
-    spread over the alphabet, and leads to the first state."""
+    """Log probabilities of tokens. A state's shares of characters and ends are its own counts with `PRIOR`
+    observations spread like those of all states together; a character that a state has not seen leads to the first
+    state of the next layer."""
 
-    def __init__(self, words: list[str]):
-        tree = _Tree(words)
+    def __init__(self, words: list[str], layers: int = LAYERS):
+        tree = _Tree(words, layers)
         kept = tree.merge()
         number = {s: k for k, s in enumerate(kept)}
+        self.layers = [tree.layer[s] for s in kept]
+        following = [next((k for k, below in enumerate(self.layers) if below == min(layer + 1, layers)), 0) for layer in self.layers]
         size = len(_ALPHABET) + 1
+        overall = {c: sum(tree.over[s].get(c, 0) for s in kept) + 1 / size for c in _ALPHABET}
+        ends = sum(tree.ended[s] for s in kept) + 1 / size
+        total = sum(overall.values()) + ends
         self.go, self.log = np.zeros((len(kept), 128), np.int32), np.full((len(kept), 128), -np.inf)
         self.end = np.zeros(len(kept))
         for k, s in enumerate(kept):
-            total = np.log(tree.ended[s] + sum(tree.over[s].values()) + 1)
-            self.end[k] = np.log(tree.ended[s] + 1 / size) - total
+            arrived = np.log(tree.ended[s] + sum(tree.over[s].values()) + PRIOR)
+            self.end[k] = np.log(tree.ended[s] + PRIOR * ends / total) - arrived
             for c in _ALPHABET:
-                self.log[k, ord(c)] = np.log(tree.over[s].get(c, 0) + 1 / size) - total
-                self.go[k, ord(c)] = number[tree.next[s][c]] if c in tree.next[s] else 0
+                self.log[k, ord(c)] = np.log(tree.over[s].get(c, 0) + PRIOR * overall[c] / total) - arrived
+                self.go[k, ord(c)] = number[tree.next[s][c]] if c in tree.next[s] else following[k]
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """tokens: rows of ASCII codes, padded with zeros, longest rows first."""
@@ -157,7 +173,8 @@ class Model:
     def __init__(self, examples: dict[int, list[str]]):
         self.secret = [Automaton(words) for kind, words in sorted(examples.items()) if kind < 3 and words]
         labelled = {v for kind, words in examples.items() if kind < 3 for v in words}
-        self.ordinary = Automaton([v for v in examples.get(3, []) if v not in labelled])
+        # Ordinary tokens have no common layout: their states may all be merged, so no single one is learnt by heart.
+        self.ordinary = Automaton([v for v in examples.get(3, []) if v not in labelled], 0)
 
     def likely(self, tokens: list[str]) -> np.ndarray:
         """Whether each token's format is far likelier that of a credential."""
@@ -194,8 +211,20 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return found
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from at most `sample` values of each kind, those with the least hash over all documents."""
+def _first(values: list[tuple[int, str]], sample: int, most_chars: int) -> list[tuple[int, str]]:
+    """The values (hash, value) of the least hashes, until there are `sample` or the next begins beyond `most_chars`."""
+    out, chars = [], 0
+    for h, v in nsmallest(sample, values):
+        if chars > most_chars:
+            break
+        out.append((h, v))
+        chars += len(v)
+    return out
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
+    """Learns from at most `sample` values of each kind and about `most_chars` characters of them, those with the
+    least hash over all documents; a value is whole, however long."""
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: list[set[tuple[int, str]]] = [set() for _ in KINDS]
@@ -203,17 +232,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             for text in as_text(chunk.column("text")):
                 spans = base_spans(text)
                 for span in spans:
-                    if len(v := _value(text, span)) <= LONGEST:
-                        least[span[1]].add((crc32(v.encode()), v))
-                least[3] |= {(crc32(v.encode()), v) for a, b, touched in _candidates(text, spans) if not touched and len(v := text[a:b]) <= LONGEST}
-            least = [set(nsmallest(sample, x)) for x in least]
+                    v = _value(text, span)
+                    least[span[1]].add((crc32(v.encode()), v))
+                least[3] |= {(crc32(v.encode()), v) for a, b, touched in _candidates(text, spans) if not touched for v in (text[a:b],)}
+            least = [set(_first(list(x), sample, most_chars)) for x in least]
         rows = [(k, h, v) for k, x in enumerate(least) for h, v in sorted(x)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["kind", "hash", "value"])
 
     values = stored(spread(docs.select("text")).mapInArrow(examples, "kind int, hash long, value string")).distinct()
     chosen: dict[int, list[str]] = {}
     for k in range(len(KINDS)):
-        chosen[k] = sorted(r.value for r in values.where(F.col("kind") == k).orderBy("hash", "value").limit(sample).collect())
+        rows = values.where(F.col("kind") == k).orderBy("hash", "value").limit(sample).toLocalIterator()
+        chosen[k] = sorted(v for _, v in _first([(r.hash, r.value) for r in rows], sample, most_chars))
     return Model(chosen)
 
 
@@ -253,7 +283,8 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", model: Model | None = None) -> DataFrame:
     """`docs` with every found span replaced by `mark`, overlapping ones by one, and n_chars, if there is such a
-    column, counted anew for those; texts without a span stay as they are."""
+    column, counted anew for those. Every row stays; texts without a span, null or empty ones are as they were, an
+    empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from texts import prose
 
 from marlstone.llm import secret_scan
@@ -63,17 +64,51 @@ def test_redaction(spark):
     assert len(texts) == 123 and texts[900] == ("a [secret] b [secret] c", 23) and texts[901] == ("clean", 5) and texts[902] == (None, 0)
 
 
-def test_compatible_states_merge():
-    words = [a * n for a in "ab" for n in range(1, 30)] * 4
+def scores(automaton, words):
+    words = sorted(words, key=len, reverse=True)
+    wide = len(words[0])
+    codes = np.frombuffer("".join(w.ljust(wide, "\x00") for w in words).encode(), np.uint8).reshape(-1, wide)
+    return dict(zip(words, automaton.score(codes, np.array([len(w) for w in words])).tolist(), strict=True))
+
+
+def test_compatible_states_merge_and_layers_stay():
+    r = random.Random(2)
+    words = ["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(200)]
     tree = secret_scan._Tree(words)
     before = len(tree.next)
-    assert len(tree.merge()) < before / 4
-    good = secret_scan.Automaton(words)
-    import numpy as np
-
-    codes = np.array([[97] * 6, [122] * 6], np.uint8)
-    score = good.score(codes, np.array([6, 6]))
-    assert score[0] > score[1] + 5
+    kept = tree.merge()
+    assert before > 2500 and [tree.layer[s] for s in kept] == list(range(21))
+    found = scores(secret_scan.Automaton(words), [words[0], words[0][:19], words[0] + "A", "BKIA" + words[0][4:], words[0][::-1]])
+    assert all(found[words[0]] > found[w] + 3 for w in found if w != words[0])
+
+
+def test_merged_states_generate_the_same_shares():
+    """Two formats stay apart, and an automaton's probabilities of all tokens of a small language sum to one."""
+    words = ["ab" * 6] * 40 + ["xy" * 8] * 60 + ["abxy" * 3] * 20
+    automaton = secret_scan.Automaton(words)
+    found = scores(automaton, sorted({*words, "ab" * 8}))
+    assert found["xy" * 8] > found["ab" * 6] > found["abxy" * 3] > found["ab" * 8] + 5
+    live = np.exp(automaton.log[:, [ord(c) for c in secret_scan._ALPHABET]]).sum(1) + np.exp(automaton.end)
+    assert np.allclose(live, 1)
+
+
+def test_long_values_are_learnt_whole():
+    r = random.Random(3)
+    words = ["".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (400, 500, 3_000) for _ in range(5)]
+    automaton = secret_scan.Automaton(words)
+    assert max(automaton.layers) == secret_scan.LAYERS and len(automaton.layers) < 200
+    assert secret_scan._first([(k, "x" * n) for k, n in enumerate((10, 200, 5, 5))], 10, 100) == [(0, "x" * 10), (1, "x" * 200)]
+
+
+def test_held_out_kinds():
+    """Values of a format that only the other kinds' labels show, and ordinary tokens of many shapes."""
+    r = random.Random(4)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    ordinary = [w for k in range(60) for w in (prose(k, 1) + prose(k + 99, 1) + "-" + prose(k + 7, 2).replace(" ", "-"), f"section-{k}-of-the-{prose(k, 1)}", f"{draw(digits, 4)}-{draw(digits, 2)}-{draw(digits, 2)}T00")]
+    model = secret_scan.Model({0: [draw(digits + "abcdef", 32) for _ in range(200)] + [draw(digits + upper, 24) for _ in range(100)], 3: ordinary[::2]})
+    hexes, keys = [draw(digits + "abcdef", 32) for _ in range(200)], ["AKIA" + draw(digits + upper, 20) for _ in range(200)]
+    assert model.likely(hexes).mean() > 0.98 and model.likely(keys).mean() > 0.9 and not model.likely(ordinary[1::2]).any()
 
 
 def test_edges(spark, edge_docs, no_docs):
