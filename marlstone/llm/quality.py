@@ -3,51 +3,80 @@
 A document's features are its words, the words' character 3- and 4-grams (bounds included) and its word pairs, hashed
 into `BUCKETS` vectors; a pair of equal words has one bucket for all words. The vectors' mean goes through a softmax.
 Vectors and softmax are trained by stochastic gradient descent in numpy on a bounded sample. For scoring, what a
-bucket adds to the difference of the two logits is one number, so a task looks a word up once and adds.
+bucket adds to the difference of the two logits is one number, so a task hashes half a megabyte of text at once, looks
+the numbers up and adds.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, fold, pieces, set_aside, set_columns, spread
+from marlstone.llm.common import CHUNK_BYTES, as_bytes, chunks, fold, mixed, pieces, set_aside, set_columns, spread
 from marlstone.llm.labelled import training_sample
 
 BUCKETS, WIDTH = 1 << 16, 8
 _SAME = 0  # the bucket of two equal words
-#: Labelled documents to fit on and their bytes, about; passes over them; step size; words that a task keeps.
-SAMPLE, SAMPLE_BYTES, EPOCHS, RATE, KEPT_WORDS = 4_000, 32 << 20, 8, 0.5, 150_000
-
-
-def _buckets(word: bytes) -> list[int]:
-    framed = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [framed[i : i + n].encode() for n in (3, 4) for i in range(len(framed) - n + 1)]
-    return [crc32(x) & (BUCKETS - 1) for x in (word, *grams)]
-
-
-def _pairs(codes: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words, from the words' own hashes."""
-    a, b = codes[:-1].astype(np.uint64), codes[1:].astype(np.uint64)
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD6E8FEB86659FD93)
-    return np.where(a == b, _SAME, (mixed >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1))
+#: Labelled documents to fit on and their bytes, about; passes over them; step size.
+SAMPLE, SAMPLE_BYTES, EPOCHS, RATE = 4_000, 32 << 20, 8, 0.5
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (mixed(hashes + np.uint64(kind)) >> np.uint64(32)).astype(np.int64) & (BUCKETS - 1)
+
+
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Buckets of neighbouring words, from the words' hashes."""
+    a, b = words[:-1], words[1:]
+    return np.where(a == b, _SAME, _bucket(a * _FACTOR + b, 2))
+
+
+def occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every feature that the texts have, as often as it comes: number of the text and bucket. Third: the hashes
+    of all words, text after text. A word is framed by < and >; a hash is a polynomial in its letters' own hashes."""
+    letters = [t.decode("utf-8", "replace") for t in texts]
+    text = np.frombuffer("\n".join(letters).encode("utf-32-le"), "<u4")
+    inside = ~((text == 32) | ((text >= 9) & (text <= 13)))
+    first = inside & np.r_[True, ~inside[:-1]][: len(inside)]
+    at, n = np.flatnonzero(inside), int(first.sum())
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    word = np.cumsum(first)[at] - 1
+    sizes = np.bincount(word, minlength=n) + 2
+    starts = np.cumsum(sizes) - sizes
+    framed = np.full(len(at) + 2 * n, ord("<"), np.uint64)
+    framed[np.arange(len(at)) + 2 * word + 1] = text[at]
+    framed[starts + sizes - 1] = ord(">")
+    hashes, of = mixed(framed + np.uint64(1)), np.repeat(np.arange(n), sizes)
+    powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(sizes.max()), _FACTOR)])
+    words = mixed(np.add.reduceat(hashes * powers[np.arange(len(of)) - starts[of]], starts))
+    three = (hashes[:-2] * _FACTOR + hashes[1:-1]) * _FACTOR + hashes[2:]
+    four = three[:-1] * _FACTOR + hashes[3:]
+    in_three, in_four = of[:-2] == of[2:], of[:-3] == of[3:]
+    text_of = np.searchsorted(np.cumsum([len(x) + 1 for x in letters]), np.flatnonzero(first), side="right")
+    together = text_of[:-1] == text_of[1:]
+    owners = (text_of, text_of[of[:-2][in_three]], text_of[of[:-3][in_four]], text_of[:-1][together])
+    buckets = (_bucket(words, 1), _bucket(three[in_three], 3), _bucket(four[in_four], 4), _pairs(words)[together])
+    return np.concatenate(owners), np.concatenate(buckets), words
+
+
+def _in_pieces(text: bytes) -> Iterator[np.ndarray]:
+    """The buckets of a long text, piece after piece."""
+    last = np.zeros(0, np.uint64)
+    for piece in pieces(text):
+        _, buckets, words = occurrences([piece])
+        yield np.r_[buckets, _pairs(np.r_[last[-1:], words[:1]])]
+        last = words if len(words) else last
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each comes."""
-    number, last = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint64)
-    for piece in pieces(text):
-        words = piece.split()
-        number += np.bincount(np.fromiter((b for w in words for b in _buckets(w)), np.int64), minlength=BUCKETS)
-        codes = np.concatenate([last, np.fromiter(map(crc32, words), np.uint64, len(words))])
-        number += np.bincount(_pairs(codes), minlength=BUCKETS)
-        last = codes[-1:]
+    number = sum((np.bincount(x, minlength=BUCKETS) for x in _in_pieces(text)), np.zeros(BUCKETS, np.int64))
     ids = np.flatnonzero(number)
     return ids, number[ids]
 
@@ -80,46 +109,16 @@ class Model:
         self.weight, self.bias = vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
-class Scorer(dict):
-    """Word to a place in arrays of its summed weight, number of features and hash."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.weight, self.number, self.code = array("d"), array("q"), array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        buckets = _buckets(word)
-        self[word] = at = len(self.weight)
-        self.weight.append(self.model.weight[buckets].sum())
-        self.number.append(len(buckets))
-        self.code.append(crc32(word))
-        return at
-
-    def sums(self, text: bytes) -> tuple[float, int]:
-        """Summed weight and number of the text's features."""
-        total, number, last = 0.0, 0, np.zeros(0, np.uint64)
-        for piece in pieces(text):
-            if len(self) > KEPT_WORDS:
-                self.forget()
-            words = piece.split()
-            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            codes = np.concatenate([last, np.frombuffer(self.code, np.uint64)[at]]) if len(at) else last
-            if len(at):
-                total += float(np.frombuffer(self.weight)[at].sum())
-                number += int(np.frombuffer(self.number, np.int64)[at].sum())
-            pairs = _pairs(codes)
-            total, number = total + float(self.model.weight[pairs].sum()), number + len(pairs)
-            last = codes[-1:]
-        return total, number
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        total, number = np.array([self.sums(t) for t in texts], np.float64).reshape(-1, 2).T
-        return 1 / (1 + np.exp(-(total / np.maximum(number, 1) + self.model.bias)))
+def scores(model: Model, texts: list[bytes]) -> np.ndarray:
+    total, number = np.zeros(len(texts)), np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        for buckets in _in_pieces(text) if len(text) > CHUNK_BYTES else ():
+            total[k] += model.weight[buckets].sum()
+            number[k] += len(buckets)
+    owners, buckets, _ = occurrences([t if len(t) <= CHUNK_BYTES else b"" for t in texts])
+    total += np.bincount(owners, model.weight[buckets], len(texts))
+    number += np.bincount(owners, minlength=len(texts))
+    return 1 / (1 + np.exp(-(total / np.maximum(number, 1) + model.bias)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
@@ -144,9 +143,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for chunk in chunks(batches):
-            p = scorer.scores(as_bytes(chunk.column("text")))
+            p = scores(shared.value, as_bytes(chunk.column("text")))
             yield set_columns(chunk, {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))})
 
     return spread(kept).mapInArrow(score, fields + "score double, predicted int")

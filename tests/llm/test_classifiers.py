@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -40,17 +41,28 @@ def test_quality(spark):
     assert accuracy(rows, lambda r: r.predicted != (r.doc_id % 4 != 1)) > 0.97
 
 
+def mix(x):
+    x %= 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
 def plain_features(text):
     """Words, character 3- and 4-grams of each framed word, and neighbouring pairs, as a list."""
-    words, out = text.split(), []
-    for word in words:
-        framed = "<" + word + ">"
-        grams = [word] + [framed[i : i + n] for n in (3, 4) for i in range(len(framed)) if i + n <= len(framed)]
-        out += [zlib.crc32(g.encode()) % 2**16 for g in grams]
-    for a, b in zip(words, words[1:], strict=False):
-        pair = (zlib.crc32(a.encode()) * 0x9E3779B97F4A7C15 + zlib.crc32(b.encode())) * 0xD6E8FEB86659FD93 % 2**64
-        out.append(0 if a == b else (pair >> 40) % 2**16)
-    return out
+    factor, out, hashes = 0x9E3779B97F4A7C15, [], []
+    bucket = lambda h, kind: (mix(h + kind) >> 32) % quality.BUCKETS
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        codes = [mix(ord(c) + 1) for c in f"<{word}>"]
+        hashes.append(mix(sum(c * pow(factor, k, 2**64) for k, c in enumerate(codes))))
+        out.append(bucket(hashes[-1], 1))
+        for n in (3, 4):
+            for i in range(len(codes) - n + 1):
+                gram = 0
+                for c in codes[i : i + n]:
+                    gram = gram * factor + c
+                out.append(bucket(gram, n))
+    return out + [0 if a == b else bucket(a * factor + b, 2) for a, b in zip(hashes, hashes[1:], strict=False)]
 
 
 TEXTS = ["", "one", "the the cat", "ünï x y", "a b c d a b c d", "漢字 naïve <b> ***", prose(4, 150_000)]
@@ -91,7 +103,7 @@ def test_training_by_definition(monkeypatch):
 def test_quality_scores_by_definition():
     """A task's sums against the plain mean of the features."""
     model = quality.Model([(*quality.features(t.encode()), k % 2) for k, t in enumerate(TEXTS)])
-    for text, score in zip(TEXTS, quality.Scorer(model).scores([t.encode() for t in TEXTS]), strict=True):
+    for text, score in zip(TEXTS, quality.scores(model, [t.encode() for t in TEXTS]), strict=True):
         found = plain_features(text)
         assert np.isclose(score, 1 / (1 + np.exp(-(sum(model.weight[b] for b in found) / max(len(found), 1) + model.bias))))
 
