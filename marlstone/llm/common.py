@@ -53,6 +53,11 @@ def stored(df: DataFrame) -> DataFrame:
     return store(df)[0]
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """`df`, marked for broadcast if it has at most `most` rows; for stored tables of narrow rows, as they are counted."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's file system for it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

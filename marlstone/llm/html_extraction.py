@@ -2,14 +2,17 @@
 
 A page's tokens are its elements, told apart by their path of block elements (with first class or id). Over the
 pages of a host each token has an occurrence vector: how often it comes on each page. Tokens with equal vectors form
-an equivalence class. A class is valid if its tokens come equally often on each page that has one and are nested in
-one another or in valid classes; the valid classes, nested, are the host's template, and what lies in its elements
-are slots. Slots of menus, notices and the like are told by their elements' names and classes, slots whose text
-never changes are the template's own. The article is the slot of an `article` or `main` element, or else the one
-with most text outside links. All of its text is kept, also what pages of a host share.
-
-Vectors are never gathered: a host's token keeps a sum of hashes of (page, count), equal for equal vectors, so a
-host with a third of all pages is a few sums from each task.
+an equivalence class. A class is valid if it comes on most pages or has several tokens, and these are nested in one
+another or in valid classes; the valid classes, nested, are the host's template, and what lies in its elements are
+slots. Slots whose text never changes are the template's own. The article is the slot with most changing text outside
+links; what elements are called (`article`, `main`, names of menus, adverts and so on) only weighs that evidence by a
+factor. All text of the article is kept, also what pages of a host share, but for elements that are menus, footers,
+forms and the like by their kind, or by a class that other pages of the host have too.
+
+A page is parsed once: its paths and blocks of text are stored. Vectors are never gathered: a host's token keeps a
+sum of hashes of (page, count), equal for equal vectors, so a host with a third of all pages is a few sums from each
+task. Only tokens on at least 1 / `SUPPORT` of a host's pages are gathered, at most SUPPORT times the mean number of a
+page's tokens; no html or text is shuffled to meet its template while the articles are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from dataclasses import dataclass, field
 from zlib import crc32
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_text, chunks, spread
+from marlstone.llm.common import as_text, chunks, small, spread, stored
 
 _RAW = "script|style|noscript|template|textarea|iframe|title|select|svg|object"
 _MARKUP = re.compile(
@@ -36,77 +40,98 @@ _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*["']?([^"'>]*)""", re.IGNO
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OWN_CLOSE = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
-_APART = frozenset("head nav footer aside form button dialog menu label fieldset figcaption".split())
+_APART = frozenset("head nav footer aside form button dialog menu label fieldset".split())
 _APART_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 _MAIN = frozenset(("article", "main"))
+#: A token counts for a template if it is on at least 1 / SUPPORT of the host's pages, and two; what an element's name
+#: weighs for or against its being the article's.
+SUPPORT, FOR, AGAINST = 64, 4.0, 1 / 16
+#: Hosts whose articles are broadcast at most; beyond, pages and articles are shuffled by host.
+BROADCAST_HOSTS = 100_000
 
 
 @dataclass
-class Region:
-    """What a page has under one path of block elements: occurrences, blocks of text, and their letters."""
-
-    count: int = 0
+class Page:
+    """A page's paths in the order of their first elements: label, number of the path above, name for all pages,
+    occurrences, letters, linked letters, digest of the text; and its blocks of text as (number of path, text).
+
+    A label ends in ! if its kind of element stands apart from articles, in ? if its class or id says so."""
+
+    labels: list[str] = field(default_factory=lambda: [""])
+    above: list[int] = field(default_factory=lambda: [0])
+    ids: list[int] = field(default_factory=lambda: [0])
+    counts: list[int] = field(default_factory=lambda: [1])
+    letters: list[int] = field(default_factory=lambda: [0])
+    linked: list[int] = field(default_factory=lambda: [0])
+    digests: list[int] = field(default_factory=lambda: [0])
     blocks: list[tuple[int, str]] = field(default_factory=list)
-    letters: int = 0
-    linked: int = 0
-
-
-def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """The element's label in a path, and whether it stands apart from articles."""
+    _known: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def enter(self, above: int, label: str) -> int:
+        at = self._known.get((above, label))
+        if at is None:
+            at = self._known[above, label] = len(self.labels)
+            self.labels.append(label)
+            self.above.append(above)
+            self.ids.append(xxhash.xxh64_intdigest(label, self.ids[above] % 2**64) - 2**63)
+            for column in (self.counts, self.letters, self.linked, self.digests):
+                column.append(0)
+        self.counts[at] += 1
+        return at
+
+    def add(self, at: int, text: str, linked: int) -> None:
+        self.letters[at] += len(text)
+        self.linked[at] += linked
+        self.digests[at] = crc32(text.encode("utf-8", "replace"), self.digests[at])
+        self.blocks.append((at, text))
+
+
+def _label(name: str, attributes: str) -> str:
     named = {k.lower(): v.lower() for k, v in _NAMED.findall(attributes)} if attributes else {}
     if named.get("role") == "main":
         name = "main"
     words = [w for k in ("class", "id") for w in named.get(k, "").split()]
-    apart = name in _APART or any(_APART_WORDS & set(re.split(r"[-_\d]+", w)) for w in words)
-    return name + (("." + re.sub(r"\d+", "0", words[0])) if words else ""), apart
+    label = name + (("." + re.sub(r"\d+", "0", words[0])) if words else "")
+    if name in _APART:
+        return label + "!"
+    return label + "?" if any(_APART_WORDS & set(re.split(r"[-_\d]+", w)) for w in words) else label
 
 
-def regions(page: str) -> dict[str, Region]:
-    """The page's regions by path. Text in elements that stand apart isn't kept, but counts in the paths."""
-    found: dict[str, Region] = defaultdict(Region)
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, apart
+def parse(page: str) -> Page:
+    out = Page()
+    stack: list[tuple[str, int]] = [("", 0)]
     parts: list[str] = []
-    links, linked, order = 0, 0, 0
-    found[""].count = 1
+    links, linked, at = False, 0, 0
 
     def close_block() -> None:
-        nonlocal parts, linked, order
+        nonlocal parts, linked
         if parts:
-            _, path, apart = stack[-1]
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                region = found[path]
-                region.letters += len(text)
-                region.linked += linked
-                if not apart:
-                    region.blocks.append((order, text))
-                order += 1
+            if text := " ".join(html.unescape("".join(parts)).split()):
+                out.add(stack[-1][1], text, linked)
             parts, linked = [], 0
 
     def text_between(start: int, stop: int) -> None:
         nonlocal linked
         if start < stop:
             parts.append(page[start:stop])
-            if links:
-                linked += stop - start
+            linked += (stop - start) * links
 
-    at = 0
     for m in _MARKUP.finditer(page):
         text_between(at, m.start())
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"]:
-                close_block() if m["raw"].lower() not in ("svg",) else None
+            if m["raw"] and m["raw"].lower() != "svg":
+                close_block()
             continue
         name = name.lower()
         if name in _INLINE:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                links = 0 if m["end"] else 1
+                links = not m["end"]
             continue
         close_block()
         if m["end"]:
@@ -116,137 +141,184 @@ def regions(page: str) -> dict[str, Region]:
             continue
         if stack[-1][0] == "p" or name in _OWN_CLOSE and stack[-1][0] in (name, _OWN_CLOSE[name]):
             stack.pop()
-        label, apart = _label(name, m["attributes"])
-        path = f"{stack[-1][1]}>{label}"
-        found[path].count += 1
+        entered = out.enter(stack[-1][1], _label(name, m["attributes"]))
         if name not in _VOID and not m["attributes"].endswith("/"):
-            stack.append((name, path, apart or stack[-1][2]))
+            stack.append((name, entered))
     text_between(at, len(page))
     close_block()
-    return found
-
-
-def _last(path: str) -> str:
-    return path.rpartition(">")[2].partition(".")[0]
-
-
-def _under(path: str, top: str) -> bool:
-    return path == top or path.startswith(top + ">")
-
-
-def template_of(pages: int, tokens: list[dict]) -> list[str]:
-    """The valid classes' paths. tokens: path, vector (its signature), pages, most (times on one page)."""
-    classes: dict[object, list[dict]] = defaultdict(list)
-    for t in tokens:
-        classes[t["vector"]].append(t)
-    valid: set[str] = {""}
-    for members in sorted(classes.values(), key=lambda c: (-c[0]["pages"], min(len(t["path"]) for t in c))):
-        enough = members[0]["pages"] * 2 > pages or len(members) > 1
-        for t in sorted(members, key=lambda t: len(t["path"])):
-            if enough and t["path"].rpartition(">")[0] in valid:
-                valid.add(t["path"])
-    return sorted(valid)
-
-
-def article_of(template: list[str], tokens: list[dict]) -> str:
-    """The path of the template's article slot; "" for the whole page."""
-    known, by_path = set(template), {t["path"]: t for t in tokens}
-    mains = [t["path"] for t in tokens if t["path"] in known and _last(t["path"]) in _MAIN and not t["apart"]]
-    if mains:
-        articles = [p for p in mains if _last(p) == "article" and by_path[p]["most"] == 1]
-        return min(articles or [p for p in mains if _last(p) == "main"] or [mains[0].rpartition(">")[0]], key=lambda p: (p.count(">"), p))
-    slots: dict[str, float] = defaultdict(float)
-    for t in tokens:
-        changes = not t["constant"] or t["pages"] < 3
-        if not t["apart"] and changes:
-            slots[t["path"].rpartition(">")[0]] += t["letters"] - 2 * t["linked"]
-    best = max(slots.items(), key=lambda s: (s[1], s[0]), default=("", 0))
-    return best[0] if best[1] > 0 else ""
-
-
-def main_text(found: dict[str, Region], article: str) -> str:
-    """The blocks below `article` in page order, with two line feeds between."""
-    blocks = [b for path, region in found.items() if _under(path, article) for b in region.blocks]
-    return "\n\n".join(text for _, text in sorted(blocks))
-
-
-def _page_tokens(found: dict[str, Region]) -> list[dict]:
-    return [{"path": p, "vector": r.count, "pages": 1, "most": r.count, "letters": r.letters, "linked": r.linked, "constant": False, "apart": r.letters > 0 and not r.blocks} for p, r in found.items() if p]
-
-
-def extract_text(page: str, article: str | None = None) -> str:
-    """The main text, of the host's article slot if the page has one there, else of the page's own."""
-    found = regions(page)
-    if article is None or article not in found:
-        tokens = _page_tokens(found)
-        article = article_of(template_of(1, tokens), tokens)
-    return main_text(found, article)
+    return out
+
+
+def _kind(label: str) -> str:
+    return label.partition(".")[0].rstrip("!?")
+
+
+class Host:
+    """What is deduced of a host. tokens: id, above (id), label, vector, pages, most (times on one page), letters,
+    linked, constant; `pages`: of the host."""
+
+    def __init__(self, pages: int, tokens: list[dict]):
+        self.pages, self.tokens = pages, {t["id"]: t for t in tokens if t["id"]}
+        self._depth = {0: 0}
+        self.template = self._template()
+
+    def depth(self, token: int) -> int:
+        """Of a token whose tokens above are all known, else below all others."""
+        chain = []
+        while token not in self._depth and token in self.tokens:
+            chain.append(token)
+            token = self.tokens[token]["above"]
+        depth = self._depth.get(token, 10**9)
+        for t in reversed(chain):
+            depth = self._depth[t] = depth + 1
+        return depth
+
+    def _template(self) -> set[int]:
+        """The tokens of the valid classes, and 0, the page."""
+        classes: dict[object, list[dict]] = defaultdict(list)
+        for t in self.tokens.values():
+            classes[t["vector"]].append(t)
+        valid = {0}
+        for members in sorted(classes.values(), key=lambda c: (-c[0]["pages"], min(self.depth(t["id"]) for t in c))):
+            if members[0]["pages"] * 2 > self.pages or len(members) > 1:
+                for t in sorted(members, key=lambda t: self.depth(t["id"])):
+                    if t["above"] in valid:
+                        valid.add(t["id"])
+        return valid
+
+    def _apart(self, label: str) -> bool:
+        return label[-1:] in ("!", "?")
+
+    def article(self) -> int:
+        """The token whose slot is the article; 0 for the whole page. If no slot has text that changes (the pages
+        are copies, say), all text counts."""
+        return self._article(True) or self._article(False)
+
+    def _article(self, changing: bool) -> int:
+        slots: dict[int, float] = defaultdict(float)
+        for t in self.tokens.values():
+            if t["letters"] and not (changing and t["constant"] and t["pages"] > 2):
+                # Up to the template's nearest element around this one, which has the slot.
+                at, apart = t["above"], self._apart(t["label"])
+                while at not in self.template and at in self.tokens:
+                    apart |= self._apart(self.tokens[at]["label"])
+                    at = self.tokens[at]["above"]
+                if at in self.template:
+                    slots[at] += (t["letters"] - 2 * t["linked"]) * (AGAINST if apart else 1)
+
+        def weighed(slot: int) -> float:
+            factor = FOR if slot and _kind(self.tokens[slot]["label"]) in _MAIN else 1.0
+            at = slot
+            while at:
+                factor *= AGAINST if self._apart(self.tokens[at]["label"]) else 1
+                at = self.tokens[at]["above"]
+            return slots[slot] * factor
+
+        best = max(slots, key=lambda s: (weighed(s), -self.depth(s), s), default=0)
+        if not best or weighed(best) <= 0:
+            return 0
+        at = best
+        while at:  # the rest of an article element around the slot belongs to it
+            if _kind(self.tokens[at]["label"]) in _MAIN and self.tokens[at]["most"] == 1:
+                return at
+            at = self.tokens[at]["above"]
+        return best
+
+    def apart(self) -> list[int]:
+        """Tokens that stand apart by their class, and that other pages have too (or there is no other page)."""
+        return sorted(t["id"] for t in self.tokens.values() if t["label"].endswith("?") and (t["pages"] > 1 or self.pages < 2))
+
+
+def main_text(page: Page, article: int | None, apart: list[int] | None) -> str:
+    """The blocks below `article` in page order, with two line feeds between; if the page has no such element, below
+    the article deduced from the page alone."""
+    if article is None or article not in page.ids:
+        tokens = [{"id": i, "above": page.ids[a], "label": label, "vector": n, "pages": 1, "most": n, "letters": letters, "linked": linked, "constant": False} for i, a, label, n, letters, linked in zip(page.ids, page.above, page.labels, page.counts, page.letters, page.linked, strict=True)]
+        alone = Host(1, tokens)
+        article, apart = alone.article(), alone.apart()
+    dropped, inside = set(apart or ()), [False] * len(page.ids)
+    for k, (i, above, label) in enumerate(zip(page.ids, page.above, page.labels, strict=True)):
+        inside[k] = i == article or k > 0 and inside[above] and not label.endswith("!") and i not in dropped
+    return "\n\n".join(text for at, text in page.blocks if inside[at])
+
+
+def extract_text(page: str) -> str:
+    """The main text of a page by itself."""
+    return main_text(parse(page), None, None)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-_TOKENS = "path string, count int, letters long, linked long, digest long, apart boolean"
+_PATHS = {"labels": pa.string(), "above": pa.int32(), "ids": pa.int64(), "counts": pa.int32(), "letters": pa.int64(), "linked": pa.int64(), "digests": pa.int64()}
+_PARSED = "labels array<string>, above array<int>, ids array<long>, counts array<int>, letters array<long>, linked array<long>, digests array<long>, block_at array<int>, block_text array<string>"
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, article, template: array of paths) of every host in pages (page_id, url, html)."""
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, page: a hash, and the fields of `Page`) of pages (page_id, url, html), stored."""
+    kind = pages.schema["page_id"].dataType.simpleString()
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "html"):
-            owners, rows = [], []
-            for k, page in enumerate(as_text(chunk.column("html"))):
-                for path, r in regions(page).items():
-                    owners.append(k)
-                    rows.append((path, r.count, r.letters, r.linked, crc32("\n".join(b for _, b in r.blocks).encode("utf-8", "replace")), r.letters > 0 and not r.blocks))
-            at, columns = pa.array(owners, pa.int64()), list(zip(*rows, strict=True))
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([chunk.column("host").take(at), chunk.column("page").take(at), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["host", "page", "path", "count", "letters", "linked", "digest", "apart"])
-
-    source = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    summed = (
-        spread(source)
-        .mapInArrow(tokens, f"host string, page long, {_TOKENS}")
-        .groupBy("host", "path")
+            found = [parse(x) for x in as_text(chunk.column("html"))]
+            kept = [chunk.column(c) for c in ("page_id", "url", "host", "page")]
+            lists = [pa.array([getattr(p, c) for p in found], pa.list_(t)) for c, t in _PATHS.items()]
+            blocks = [pa.array([[b[k] for b in p.blocks] for p in found], pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*kept, *lists, *blocks], names=["page_id", "url", "host", "page", *_PATHS, "block_at", "block_text"])
+
+    source = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
+    return stored(spread(source).mapInArrow(read, f"page_id {kind}, url string, host string, page long, {_PARSED}"))
+
+
+def host_templates(parsed: DataFrame) -> DataFrame:
+    """(host, article, apart: array of ids, template: array of ids) of every host in `parsed_pages`."""
+    tokens = parsed.select("host", "page", F.explode(F.arrays_zip("ids", F.transform("above", lambda k: F.element_at("ids", k + 1)).alias("over"), "labels", "counts", "letters", "linked", "digests")).alias("t"))
+    summed = stored(
+        tokens.groupBy("host", F.col("t.ids").alias("id"))
         .agg(
-            F.sum(F.xxhash64("page", "count").cast("decimal(38,0)")).cast("string").alias("vector"),
+            F.min("t.over").alias("above"),
+            F.min("t.labels").alias("label"),
+            F.sum(F.xxhash64("page", "t.counts").cast("decimal(38,0)")).cast("string").alias("vector"),
             F.count(F.lit(1)).alias("pages"),
-            F.max("count").alias("most"),
-            F.sum("letters").alias("letters"),
-            F.sum("linked").alias("linked"),
-            (F.min("digest") == F.max("digest")).alias("constant"),
-            F.bool_and("apart").alias("apart"),
+            F.max("t.counts").alias("most"),
+            F.sum("t.letters").alias("letters"),
+            F.sum("t.linked").alias("linked"),
+            (F.min("t.digests") == F.max("t.digests")).alias("constant"),
         )
     )
-    gathered = summed.groupBy("host").agg(F.collect_list(F.struct("path", "vector", "pages", "most", "letters", "linked", "constant", "apart")).alias("tokens"))
+    totals = summed.where("id = 0").select("host", F.col("pages").alias("total"))
+    enough = (F.col("pages") * SUPPORT >= F.col("total")) & ((F.col("pages") > 1) | (F.col("total") < 3))
+    frequent = summed.join(small(totals, BROADCAST_HOSTS), "host").where(enough)
+    gathered = frequent.groupBy("host").agg(F.max("total").alias("total"), F.collect_list(F.struct("id", "above", "label", "vector", "pages", "most", "letters", "linked", "constant")).alias("tokens"))
 
     def deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            articles, templates = [], []
-            for tokens in batch.column("tokens").to_pylist():
-                number = max(t["pages"] for t in tokens)
-                tokens = sorted((t for t in tokens if t["path"]), key=lambda t: t["path"])
-                templates.append(template_of(number, tokens))
-                articles.append(article_of(templates[-1], tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(articles, pa.string()), pa.array(templates, pa.list_(pa.string()))], names=["host", "article", "template"])
+            hosts = [Host(n, tokens) for n, tokens in zip(batch.column("total").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([h.article() for h in hosts], pa.int64()), pa.array([h.apart() for h in hosts], pa.list_(pa.int64())), pa.array([sorted(h.template) for h in hosts], pa.list_(pa.int64()))], names=["host", "article", "apart", "template"])
 
-    return gathered.mapInArrow(deduce, "host string, article string, template array<string>")
+    return gathered.select("host", "total", "tokens").mapInArrow(deduce, "host string, article long, apart array<long>, template array<long>")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """A row for each page (page_id, url, html): page_id, url, text, n_chars.
 
     A null html or one without an article gives an empty text; a null url belongs to the host ""; repeated rows have
-    a row each; markup that is cut off at the end is dropped; other columns aren't read.
+    a row each; markup that is cut off at the end is dropped; an empty table gives no rows; other columns aren't read.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    pages = pages.select("page_id", "url", "html")
+    parsed = parsed_pages(pages.select("page_id", "url", "html"))
+    articles = stored(host_templates(parsed).select("host", "article", "apart"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "html"):
-            texts = [extract_text(page, article) for page, article in zip(as_text(chunk.column("html")), chunk.column("article").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.column("page_id"), chunk.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    hosted = pages.withColumn("host", host(F.col("url"))).join(host_templates(pages).select("host", "article"), "host", "left")
-    return hosted.select("page_id", "url", "html", "article").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                rows = batch.slice(start, 256)
+                texts = []
+                for row in zip(*(rows.column(c).to_pylist() for c in (*_PATHS, "block_at", "block_text", "article", "apart")), strict=True):
+                    page = Page(*row[: len(_PATHS)], blocks=[*zip(*row[len(_PATHS) : -2], strict=True)])
+                    texts.append(main_text(page, *row[-2:]))
+                yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    joined = parsed.join(small(articles, BROADCAST_HOSTS), "host", "left")
+    return joined.select("page_id", "url", *_PATHS, "block_at", "block_text", "article", "apart").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")

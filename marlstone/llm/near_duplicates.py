@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, delete, mixed, pieces, set_aside, spread, store, stored
+from marlstone.llm.common import as_bytes, chunks, delete, mixed, pieces, set_aside, small, spread, store, stored
 from marlstone.llm.decontamination import words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -234,11 +234,6 @@ def sketches(docs: DataFrame, weights: Weights) -> DataFrame:
     return docs.select(text_key().alias("key"), "doc_id", "text").mapInArrow(sketch, f"key binary, doc_id {kind}, bands array<long>")
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, a stored table of keys and ids, marked for broadcast if it has at most `most` rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def _linked(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
     """Of `pairs` (a, b) those whose `texts` (key, text) are similar by at least `least`."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
@@ -375,7 +370,7 @@ def _crossing(members: DataFrame, texts: DataFrame, roots: DataFrame, weights: W
     lanes = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
     other = F.col("n") - F.col("main.n")
     buckets = stored(buckets.select("band", F.col("main.root").alias("main"), lanes(F.col("main.n"), F.col("main.bytes")).alias("mains"), lanes(other, F.col("bytes") - F.col("main.bytes")).alias("others"), (other > 1).alias("several")))
-    rows = named.join(_small(buckets), "band").withColumn("in_main", F.col("root") == F.col("main"))
+    rows = named.join(small(buckets, BROADCAST_ROWS), "band").withColumn("in_main", F.col("root") == F.col("main"))
     lane = F.pmod(F.xxhash64("key"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("lane", lane).join(texts, "key")
     block = lambda across, x, y, side: F.struct(F.lit(across).alias("across"), x.alias("x"), y.alias("y"), side.alias("side"))
@@ -420,9 +415,9 @@ def links(docs: DataFrame, classes: DataFrame, weights: Weights, least: float =
     spark = docs.sparkSession
     members = classes.select("key", "n_copies", F.posexplode("bands").alias("at", "band"))
     sizes = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = stored(members.join(_small(sizes), "band"))
+    members = stored(members.join(small(sizes, BROADCAST_ROWS), "band"))
     wanted = stored(members.select("key").distinct().join(classes.select("key", "doc_id"), "key"))
-    wanted = _small(wanted.select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")))
+    wanted = small(wanted.select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")), BROADCAST_ROWS)
     source = docs.select(text_key().alias("key"), "doc_id", "text")
     texts = stored(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).select("key", "text").where(F.col("text").isNotNull()).dropDuplicates(["key"]))
     members = members.join(texts.select("key", F.octet_length("text").alias("bytes")), "key")
@@ -432,7 +427,7 @@ def links(docs: DataFrame, classes: DataFrame, weights: Weights, least: float =
         rows = stored(_rooted(members.where(F.col("at").between(at[0], at[-1])), roots))
         first = F.min(F.struct((-F.col("n_copies")).alias("rank"), F.col("key").alias("head"), F.col("root").alias("head_root"))).alias("first")
         heads = stored(rows.groupBy("band").agg(first).select("band", "first.head", "first.head_root"))
-        met = rows.join(_small(heads), "band").where("root != head_root").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b")).distinct()
+        met = rows.join(small(heads, BROADCAST_ROWS), "band").where("root != head_root").select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b")).distinct()
         pairs = stored(met.join(seen, ["a", "b"], "left_anti"))
         seen = seen.unionAll(pairs)
         new = stored(_linked(pairs, texts, weights, least))
@@ -503,7 +498,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     aside, back = set_aside(docs, ("__key", "__of", "__id"))
     leads = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
     gone = stored(rows.join(classes, "key").where(~leads).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).distinct())
-    left = aside.withColumn("__of", text_key()).join(_small(gone), (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    left = aside.withColumn("__of", text_key()).join(small(gone, BROADCAST_ROWS), (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     if rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
         left = left.dropDuplicates(["__of", "doc_id"])
     return left.select(*back)
