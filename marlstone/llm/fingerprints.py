@@ -62,7 +62,7 @@ def _in_band(term: Column, band: Column) -> Column:
 
 
 def parts(hashes: Column, number: int = PARTS) -> Column:
-    """The hashes of a set of terms under each lexicon, as 16 hexadecimal digits."""
+    """The hashes of a set of terms under each lexicon, of 32 bits, less 2^31."""
 
     def part(factors: Column) -> Column:
         ranks = F.transform(hashes, lambda t: (t % PRIME * factors["a"] + factors["b"]) % PRIME)
@@ -70,7 +70,8 @@ def parts(hashes: Column, number: int = PARTS) -> Column:
         bound = lambda x: F.pow(F.lit(2.0), F.length(F.bin(F.array_min(x)))).cast("long")
         below = lambda x: F.transform(F.array(bound(x)), lambda b: F.filter(x, lambda r: r < b))[0]
         found = F.array_sort(F.transform(F.array(ranks), below)[0])
-        return F.substring(F.md5(F.array_join(found.cast("array<string>"), ",").cast("binary")), 1, 16)
+        digits = F.substring(F.md5(F.array_join(found.cast("array<string>"), ",").cast("binary")), 1, 8)
+        return (F.conv(digits, 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
 
     pairs = [F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(_factors, range(number))]
     return F.transform(F.array(*pairs), part)
@@ -82,7 +83,7 @@ def likeness(a: Column, b: Column, number: int = PARTS) -> Column:
 
 
 def _shown(x: Column) -> Column:
-    return F.array_join(x, "-")
+    return F.array_join(F.transform(x, lambda p: F.lower(F.lpad(F.hex(p.cast("long") + F.lit(1 << 31)), 8, "0"))), "-")
 
 
 def with_parts(df: DataFrame, band: Column, text: str, name: str) -> DataFrame:
@@ -141,13 +142,13 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("following.head").substr(F.lit(1), cut))
     rows = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", edited.alias("edited"), chosen.alias("chosen"))
     rows = with_parts(with_parts(rows, band_bits, "text", "own"), band_bits, "edited", "changed")
-    rows = stored(rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "changed", "chosen"))
+    rows = stored(rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha256"), "own", "changed", "chosen"))
     by_id = rows.groupBy("doc_id").agg(F.max(F.struct("chosen", "own")).alias("one"))
     following = owners.join(by_id, F.col("doc_id").eqNullSafe(F.col("__next"))).select("owner", F.col("one.own").alias("next_own"))
     return rows.join(following, F.col("doc_id").eqNullSafe(F.col("owner"))).select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.lower(F.hex("sha256")).alias("edited_sha256"),
         _shown(F.col("own")).alias("fingerprint"),
         _shown(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
@@ -169,8 +170,8 @@ marked AS (SELECT doc_id, kind, term, bucket IS NOT NULL AS inside, bool_or(buck
 factor(k, a, b) AS (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(map(_factors, range(PARTS))))}),
 ranks AS (SELECT doc_id, kind, k, (term % {PRIME} * a + b) % {PRIME} AS r FROM marked, factor WHERE inside OR NOT any_inside),
 below AS (SELECT doc_id, kind, k, r FROM ranks JOIN (SELECT doc_id, kind, k, 1::BIGINT << length(bin(min(r))) AS bound FROM ranks GROUP BY ALL) USING (doc_id, kind, k) WHERE r < bound),
-hashed AS (SELECT doc_id, kind, k, substr(md5(string_agg(r, ',' ORDER BY r)), 1, 16) AS part FROM below GROUP BY ALL),
-part AS (SELECT doc_id, kind, list(coalesce(part, substr(md5(''), 1, 16)) ORDER BY k) AS parts FROM texts CROSS JOIN factor LEFT JOIN hashed USING (doc_id, kind, k) GROUP BY ALL)
+hashed AS (SELECT doc_id, kind, k, substr(md5(string_agg(r, ',' ORDER BY r)), 1, 8) AS part FROM below GROUP BY ALL),
+part AS (SELECT doc_id, kind, list(coalesce(part, substr(md5(''), 1, 8)) ORDER BY k) AS parts FROM texts CROSS JOIN factor LEFT JOIN hashed USING (doc_id, kind, k) GROUP BY ALL)
 SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(o.parts, '-') AS fingerprint, array_to_string(c.parts, '-') AS edited_fingerprint,
        len(list_filter(list_zip(o.parts, c.parts), lambda x: x[1] = x[2])) / {float(PARTS)!r} AS near_edited, len(list_filter(list_zip(o.parts, f.parts), lambda x: x[1] = x[2])) / {float(PARTS)!r} AS near_next
 FROM edited e JOIN part o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN part c ON c.doc_id = e.doc_id AND c.kind = 'edited' JOIN part f ON f.doc_id = next_id AND f.kind = 'own'
