@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,13 +33,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which driver and executors share. Where that is unset,
-    a temporary folder, on a local master only: on a cluster each executor would write to its own disk."""
+    a temporary folder that goes with the process, on a local master only: on a cluster each executor would write to
+    its own disk."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="marlstone-"))
+        if context.applicationId not in _local:
+            _local[context.applicationId] = tempfile.mkdtemp(prefix="marlstone-")
+            atexit.register(shutil.rmtree, _local[context.applicationId], ignore_errors=True)
+        folder = "file://" + _local[context.applicationId]
     return f"{folder}/marlstone-{context.applicationId}"
 
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from marlstone.llm import decontamination, fingerprints, html_extraction, language_model, near_duplicates, packing, quality, secret_scan, sharding, toxicity
 from marlstone.llm.common import table
 
@@ -53,9 +52,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op6_main_text, op7_secrets, op8_quality, op9_toxicity, op10_near_duplicates)
-    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in numbered}
 
 
 def oracles() -> dict[str, str]:
-    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op2_decontamination": decontamination.REPORT_SQL} | pipeline
+    return {"op1_shards": sharding.documents_sql(), "op2_decontamination": decontamination.REPORT_SQL, "op4_fingerprints": fingerprints.EDITS_SQL}

@@ -1,6 +1,8 @@
 import html
 import re
 
+from texts import prose
+
 from marlstone.llm import html_extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><article>no</article>";</script></head>
@@ -47,6 +49,45 @@ def test_repeated_pages_of_a_host_keep_their_text(spark):
     assert {r.text for r in html_extraction.extract_pages(pages).collect()} == {"Copy\n\nEqual text."}
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+PLAIN = """<html><body><div class="a1"><p>The name of this place</p></div><table><tr><td><a href="/">one</a></td><td><a href="/b">two {k}</a></td></tr></table>
+<div class="b2"><div class="c3"><h2>{title}</h2>{text}</div><div class="d4"><p><a href="/{k}">other story number {k} with a long title of its own</a></p></div></div><p>All rights are kept by the same people on all pages of it.</p></body></html>"""
+
+
+def test_pages_without_telling_names(spark):
+    """No article element, no class that says what it holds: only what changes from page to page tells."""
+    texts = {k: [f"Story {k} goes on {prose(k, 30)}." for _ in range(1 + k % 4)] for k in range(40)}
+    rows = [(k, f"https://x.example/{k}", PLAIN.format(k=k, title=f"Title {k}", text="".join(f"<p>{t}</p>" for t in texts[k]))) for k in texts]
+    assert extracted(spark, rows) == {k: "\n\n".join([f"Title {k}", *texts[k]]) for k in texts}
+
+
+def test_names_do_not_decide_alone(spark):
+    """An article element that holds the site's fixed words only, and the story in a box called a widget."""
+    page = "<html><body><article><p>About this site, always the same.</p></article><div class='widget'><p>{}</p></div></body></html>"
+    rows = [(k, f"https://x.example/{k}", page.format(f"Told here is {prose(k, 40)}.")) for k in range(12)]
+    assert extracted(spark, rows) == {k: f"Told here is {prose(k, 40)}." for k in range(12)}
+
+
+def test_rare_paths_are_not_gathered_and_stay_in_the_text(spark):
+    """Each page has a class of its own; adverts on several pages go, a word of theirs in one page's class does not."""
+    page = "<html><body><div class='story'><p>{a}</p><div class='post-{slug}x'><p>{b}</p></div><figure><figcaption>{c}</figcaption></figure>{ad}</div></body></html>"
+    slug = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    ad = lambda k: "<div class='promo'>Buy now</div>" if k % 3 == 0 else "<div class='share-prices'><p>Prices fell</p></div>" if k == 7 else ""
+    rows = [(k, f"https://x.example/{k}", page.format(a=prose(k, 30), b=prose(k + 500, 20), c=f"Picture {k}", slug=slug(k), ad=ad(k))) for k in range(200)]
+    wanted = {k: "\n\n".join([prose(k, 30), prose(k + 500, 20), f"Picture {k}", *(["Prices fell"] if k == 7 else [])]) for k in range(200)}
+    assert extracted(spark, rows) == wanted
+    parsed = html_extraction.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    template = html_extraction.host_templates(parsed).collect()
+    assert len(template) == 1 and len(template[0].template) < 12
+
+
+def test_deep_pages_do_not_grow_with_the_square(spark):
+    assert extracted(spark, [(1, "http://h/", "<div class='x'>" * 20_000 + "deep")])[1] == "deep"
+
+
 def test_edges(spark):
     rows = [(1, None, None, "a"), (2, "", "", "b"), (None, "no url", "just text", None), (4, "http://h/", "<article><p>cut <b>off", "c"), (5, "http://h/", "<article><p>cut</p><p cla", "c"), (6, "http://h/", "<p>" * 5000 + "deep", "d"), (7, "http://h/", "<article>" + "<p>word</p>" * 20_000, "e"), (8, "http://h/", "<<<>>> &am &#x41; &bogus;", "f")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")

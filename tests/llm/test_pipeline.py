@@ -38,3 +38,36 @@ def test_run_reads_and_writes_tables(spark, sf_dir, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+LIKE = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, n_words string, hit_spans string, __key string, __of string, __id string, key string, y int"
+
+
+def tables(spark, folder, rows):
+    spark.createDataFrame(rows, LIKE).write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, k % 2, 0) for k in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, prose(77, 20))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_clashing_columns_and_odd_rows_pass_all_stages(spark, tmp_path):
+    text = lambda k: prose(k, 80) if k % 2 else " ".join(w + "***" for w in prose(k, 80).split())
+    more = (*"abcdefgh", 7)
+    rows = [(k, text(k), "en", "s", len(text(k)), *more) for k in range(60)]
+    rows += [(k, t, None, None, None, *more) for k, t in ((61, text(61)), (61, text(61)), (63, text(1)), (65, prose(77, 20)), (67, None), (69, ""), (None, text(71)))]
+    tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = spark.createDataFrame(stage(spark, left, str(tmp_path)).collect(), docs.schema)
+        assert left.dtypes == docs.dtypes, name
+    kept = sorted((str(r.doc_id) for r in left.where("text <> ''").collect()))
+    assert kept == sorted([*(str(k) for k in range(1, 62, 2)), "None"])
+    assert all(tuple(r)[5:] == more for r in left.collect())
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in pieces) == sorted(str(r.doc_id) for r in left.collect())
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
