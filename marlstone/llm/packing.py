@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.common import as_text, chunks, spread
 
-#: Words that a task keeps with their ids, the longest that it keeps, and letters that it encodes at once, about.
-KEPT_WORDS, KEPT_LETTERS, AT_ONCE = 120_000, 32, 1 << 17
+#: Words that a task keeps with their ids between chunks, and letters of a long text that it encodes at once, about.
+KEPT_WORDS, AT_ONCE = 150_000, 1 << 17
 
 # Below U+0250 these are all the letters, numbers and white space of the tokenizer's own split pattern.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
@@ -25,27 +25,21 @@ _BEYOND = re.compile("[^\\x00-ɏ]")
 _CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 
-class Encoder(dict):
-    """Token ids of words as little-endian 32-bit bytes. Merges never cross the words of the split pattern, so a
-    text's ids are its words' ids in a row; a text with characters from U+0250, or with one of the tokenizer's added
-    tokens in it, goes to the tokenizer as it is."""
+class Encoder:
+    """Token ids of texts as little-endian 32-bit bytes. Merges never cross the words of the split pattern, so a
+    text's ids are its words' ids in a row, and words that haven't come yet are encoded together; a text with
+    characters from U+0250, or with one of the tokenizer's added tokens in it, goes to the tokenizer as it is."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self._ids(word)
-        if len(self) < KEPT_WORDS and len(word) <= KEPT_LETTERS:
-            self[word] = ids
-        return ids
-
     def _slices(self, text: str) -> Iterator[str]:
         start = 0
         while len(text) - start > AT_ONCE and (cut := _CUT.search(text, start + AT_ONCE)):
@@ -53,11 +47,35 @@ class Encoder(dict):
             start = cut.start()
         yield text[start:]
 
-    def encode(self, text: str) -> bytes:
+    def _learn(self, words: set[str]) -> None:
+        missing = [w for w in words if w not in self.known]
+        if missing:
+            found = self._tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(found.ids, "<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(1, len(missing) + 1)) * 4
+            self.known.update((w, ids[a:b]) for w, a, b in zip(missing, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; all that aren't long learn their new words at once."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
         # An added token may hold any characters, so a text that has one isn't sliced.
-        if any(t in text for t in self._added):
+        whole = [any(t in x for t in self._added) for x in texts]
+        short = [None if w or len(x) > AT_ONCE or _BEYOND.search(x) else _WORDS.findall(x) for x, w in zip(texts, whole, strict=True)]
+        self._learn({w for words in short if words for w in words})
+        for text, as_it_is, words in zip(texts, whole, short, strict=True):
+            if as_it_is:
+                yield self._ids(text)
+            elif words is not None:
+                yield b"".join(map(self.known.__getitem__, words))
+            else:
+                yield b"".join(map(self._slice_ids, self._slices(text)))
+
+    def _slice_ids(self, text: str) -> bytes:
+        if _BEYOND.search(text):
             return self._ids(text)
-        return b"".join(self._ids(x) if _BEYOND.search(x) else b"".join(map(self.__getitem__, _WORDS.findall(x))) for x in self._slices(text))
+        words = _WORDS.findall(text)
+        self._learn(set(words))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -119,8 +137,8 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) ->
         for chunk in chunks(batches):
             rows: list[list[int]] = [[], [], [], []]
             owners = []
-            for k, text in enumerate(as_text(chunk.column("text"))):
-                ids = encode.encode(text) + end
+            for k, ids in enumerate(encode.encode(as_text(chunk.column("text")))):
+                ids += end
                 n = len(ids) // 4
                 stops = range((n - 1) % capacity + 1, n + 1, capacity)
                 for piece, stop in enumerate(stops):
@@ -129,7 +147,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) ->
                     for column, value in zip(rows, (piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(rows, _PIECES, strict=True))], names=["doc_id", *(n for n, _ in _PIECES)])
-        encode.clear()
+        encode.known.clear()
 
     docs = docs.select("doc_id", "text")
     return spread(docs).mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")

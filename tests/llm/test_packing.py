@@ -64,15 +64,17 @@ def test_odd_texts(spark, edge_docs, no_docs):
 
 def test_long_texts_and_added_tokens():
     encoder, long = packing.Encoder(PATH), prose(5, 60_000)
+    odd = ["", "a b", "a  b", "\n\n a", "a b", "<|endoftext|>", "é è", "漢字 and"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(odd)] == [token_ids(t)[:-1] for t in odd]
     for text in (long, long[:150_000] + " 漢字 " + long, long + "<|endoftext|>" + long, "x" * 300_000, "a <|endoftext|> b", "<|endoftext|", long.replace(" ", "  ")):
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == token_ids(text)[:-1]
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == token_ids(text)[:-1]
     assert token_ids("<|endoftext|>")[:-1] == [50256]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), max_size=30))
 def test_words_are_the_tokenizers(text):
-    assert np.frombuffer(packing.encoder(PATH).encode(text), "<u4").tolist() == token_ids(text)[:-1]
+    assert np.frombuffer(next(packing.encoder(PATH).encode([text])), "<u4").tolist() == token_ids(text)[:-1]
 
 
 def test_best_fit_by_definition():
