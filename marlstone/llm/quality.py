@@ -94,12 +94,13 @@ class Model:
             for k, row in enumerate(random.permutation(len(rows))):
                 rate = RATE * (1 - (epoch * len(rows) + k) / steps)
                 ids, share, y = rows[row]
-                mean = share @ vectors[ids]
+                own = vectors[ids]
+                mean = share @ own
                 logits = mean @ out + bias
                 p = np.exp(logits - logits.max())
                 p /= p.sum()
                 p[y] -= 1
-                vectors[ids] -= rate * len(ids) ** 0.5 * np.outer(share, out @ p)
+                vectors[ids] = own - np.outer(share, rate * len(ids) ** 0.5 * (out @ p))
                 out -= rate * np.outer(mean, p)
                 bias -= 0.1 * rate * p
         if not steps:
