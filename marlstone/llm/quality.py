@@ -132,8 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int
             yield pa.RecordBatch.from_arrays([chunk.column("part"), chunk.column("y"), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "y", "ids", "counts"])
 
     sample = training_sample(docs, labels, "quality", most=most, most_bytes=most_bytes).mapInArrow(extract, "part long, y int, ids binary, counts binary")
-    rows = [(r.part, np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4"), r.y) for r in sample.toLocalIterator()]
-    return Model([r[1:] for r in sorted(rows, key=lambda r: r[0])])
+    found = sample.toArrow().sort_by("part")
+    ids, counts = ([np.frombuffer(x.as_buffer(), "<i4") for x in found[c]] for c in ("ids", "counts"))
+    return Model([*zip(ids, counts, found["y"].to_pylist(), strict=True)])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, fold, pieces, set_columns, spread
+from marlstone.llm.common import as_bytes, chunks, fold, pieces, set_columns, spread, stored
 from marlstone.llm.labelled import training_sample
 
 #: Labelled documents to fit on, prior weight, drift a token, the least count that gives a word its own
@@ -133,7 +133,7 @@ class Model:
 def _log_odds(sample: DataFrame) -> Lexicon:
     """Scores of words and prefixes; bounded by the sample's own words, of which only those in LEAST documents count."""
     words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.expr("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"), F.lit(_WORD), 0))).alias("word"))
-    counted = words.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    counted = stored(words.groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")))
     total = counted.agg(F.sum("toxic"), F.sum("n")).first()
     share = ((total[0] or 0) + 0.5) / ((total[1] or 0) + 1)
     kin = {n: counted.where(F.length("word") >= n).groupBy(F.substring("word", 1, n).alias("prefix")).agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")) for n in _PREFIXES}
@@ -143,16 +143,20 @@ def _log_odds(sample: DataFrame) -> Lexicon:
         value = float(np.log(p / (1 - p)) - np.log(share / (1 - share)))
         return value if abs(value) >= CERTAIN / ((n + PRIOR) * p * (1 - p)) ** 0.5 else 0.0
 
+    def rows(table: DataFrame, name: str) -> Iterator[tuple[str, int, int]]:
+        found = table.where(F.col("n") >= LEAST).select(name, "toxic", "n").toArrow()
+        return zip(*(c.to_pylist() for c in found.columns), strict=True)
+
     prefixes = {}
     for n in _PREFIXES:
-        for r in kin[n].where(F.col("n") >= LEAST).toLocalIterator():
-            above = shares.get(r.prefix[:-1], share) if n > _PREFIXES[0] else share
-            shares[r.prefix] = (r.toxic + PRIOR * above) / (r.n + PRIOR)
-            prefixes[r.prefix] = odds(shares[r.prefix], r.n)
+        for prefix, toxic, number in rows(kin[n], "prefix"):
+            above = shares.get(prefix[:-1], share) if n > _PREFIXES[0] else share
+            shares[prefix] = (toxic + PRIOR * above) / (number + PRIOR)
+            prefixes[prefix] = odds(shares[prefix], number)
     own = {}
-    for r in counted.where(F.col("n") >= LEAST).toLocalIterator():
-        above = next((v for n in reversed(_PREFIXES) if len(r.word) >= n and (v := shares.get(r.word[:n])) is not None), share)
-        own[r.word.encode()] = odds((r.toxic + PRIOR * above) / (r.n + PRIOR), r.n)
+    for word, toxic, number in rows(counted, "word"):
+        above = next((v for n in reversed(_PREFIXES) if len(word) >= n and (v := shares.get(word[:n])) is not None), share)
+        own[word.encode()] = odds((toxic + PRIOR * above) / (number + PRIOR), number)
     return Lexicon(own, prefixes)
 
 
@@ -185,8 +189,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(map(float, out))
 
 
-def _measured(sample: DataFrame, lexicon: Lexicon) -> Iterator[Row]:
-    """Label, length, segments and tallied token scores of each document."""
+def _measured(sample: DataFrame, lexicon: Lexicon) -> list[tuple[int, int, list[float], np.ndarray, np.ndarray]]:
+    """Label, length, segments and tallied token scores of each document, in the order of the sample's hash."""
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +199,18 @@ def _measured(sample: DataFrame, lexicon: Lexicon) -> Iterator[Row]:
             found = list(passages(scores, lengths))
             ends = np.cumsum(lengths)
             values = [np.unique(np.round(scores[e - n : e], 2), return_counts=True) for e, n in zip(ends, lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.column("y"), pa.array(lengths), pa.array([[s for s, _, _ in f] for f in found], pa.list_(pa.float64())), *(pa.array([v[k].astype(np.float64) for v in values], pa.list_(pa.float64())) for k in (0, 1))], names=["y", "n", "segments", "values", "counts"])
+            yield pa.RecordBatch.from_arrays([chunk.column("part"), chunk.column("y"), pa.array(lengths), pa.array([[s for s, _, _ in f] for f in found], pa.list_(pa.float64())), *(pa.array([v[k].astype(np.float64) for v in values], pa.list_(pa.float64())) for k in (0, 1))], names=["part", "y", "n", "segments", "values", "counts"])
 
-    return sample.select("y", "text").mapInArrow(measure, "y int, n long, segments array<double>, values array<double>, counts array<double>").toLocalIterator()
+    found = sample.select("part", "y", "text").mapInArrow(measure, "part long, y int, n long, segments array<double>, values array<double>, counts array<double>").toArrow().sort_by("part")
+    lists = ([x.values.to_numpy(zero_copy_only=False) for x in found[c]] for c in ("values", "counts"))
+    return [*zip(found["y"].to_pylist(), found["n"].to_pylist(), found["segments"].to_pylist(), *lists, strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fits on at most `most` labelled documents outside the held fold."""
     sample = training_sample(docs, labels, "toxic", most=most)
     lexicon = _log_odds(sample.where("part % 2 = 0"))
-    rows = [(r.y, r.n, r.segments, np.array(r["values"]), np.array(r.counts)) for r in _measured(sample.where("part % 2 != 0"), lexicon)]
+    rows = _measured(sample.where("part % 2 != 0"), lexicon)
     clean = [r for r in rows if r[0] == 0 and r[1]]
     if not clean or len({r[0] for r in rows}) < 2:
         return Model(lexicon)
