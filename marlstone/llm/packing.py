@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 
 from marlstone.llm.common import as_text, chunks, spread
 
-#: Words that a task keeps with their ids between chunks, and letters of a long text that it encodes at once, about.
-KEPT_WORDS, AT_ONCE = 150_000, 1 << 17
+#: Words after which a task begins to keep new ones only, and those of the kept ones that come again; letters of a long
+#: text that it encodes at once, about.
+KEPT_WORDS, AT_ONCE = 120_000, 1 << 17
 
 # Below U+0250 these are all the letters, numbers and white space of the tokenizer's own split pattern.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
@@ -35,7 +36,11 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,7 +53,12 @@ class Encoder:
         yield text[start:]
 
     def _learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.known]
+        missing = []
+        for word in words.difference(self.known):
+            if word in self._before:
+                self.known[word] = self._before[word]
+            else:
+                missing.append(word)
         if missing:
             found = self._tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
             ids, ends = np.array(found.ids, "<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(1, len(missing) + 1)) * 4
@@ -57,7 +67,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; all that aren't long learn their new words at once."""
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+            self._before, self.known = self.known, {}
         # An added token may hold any characters, so a text that has one isn't sliced.
         whole = [any(t in x for t in self._added) for x in texts]
         short = [None if w or len(x) > AT_ONCE or _BEYOND.search(x) else _WORDS.findall(x) for x, w in zip(texts, whole, strict=True)]
@@ -147,7 +157,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) ->
                     for column, value in zip(rows, (piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(rows, _PIECES, strict=True))], names=["doc_id", *(n for n, _ in _PIECES)])
-        encode.known.clear()
+        encode.forget()
 
     docs = docs.select("doc_id", "text")
     return spread(docs).mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
