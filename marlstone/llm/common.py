@@ -32,11 +32,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which driver and executors share. Where that is unset,
-    a temporary folder that goes with the process, on a local master only: on a cluster each executor would write to
+    """This application's folder below spark.checkpoint.dir, which driver and executors share. Where no such folder
+    is set, a temporary one that goes with the process, on a local master only: on a cluster each executor would write to
     its own disk."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
