@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontamination, fingerprints, html_extraction, language_model, near_duplicates, packing, quality, secret_scan, sharding, toxicity
+from marlstone.llm import decontamination, fingerprints, html_extraction, language_model, lexical_search, near_duplicates, packing, quality, secret_scan, sharding, substring_dedup, toxicity, vector_codes
 from marlstone.llm.common import table
 
 
@@ -50,10 +50,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op6_main_text, op7_secrets, op8_quality, op9_toxicity, op10_near_duplicates)
+    numbered = (op1_shards, op2_decontamination, op3_lm_scores, op4_fingerprints, op5_packing, op6_main_text, op7_secrets, op8_quality, op9_toxicity, op10_near_duplicates, op11_lexical_search, op12_vector_codes, op13_substring_dedup)
     return {f.__name__: f for f in numbered}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_shards": sharding.documents_sql(), "op2_decontamination": decontamination.REPORT_SQL, "op4_fingerprints": fingerprints.EDITS_SQL}
+    return {"op1_shards": sharding.documents_sql(), "op2_decontamination": decontamination.REPORT_SQL, "op4_fingerprints": fingerprints.EDITS_SQL, "op11_lexical_search": lexical_search.SEARCH_SQL, "op12_vector_codes": vector_codes.codes_sql(), "op13_substring_dedup": substring_dedup.REPEATS_SQL}
