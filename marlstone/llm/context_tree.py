@@ -1,21 +1,30 @@
-"""Context-tree weighting over binary-decomposed bytes, as numpy on bounded arrays.
+"""Context-tree weighting over binary-decomposed bytes, as numpy on sorted arrays.
 
-A byte is eight binary decisions; each of the 255 decision nodes has a context tree over the preceding bytes, the
-latest first. At every tree node a Krichevsky-Trofimov estimate competes with the product of the children's
-weighted probabilities, one half each, so the prediction mixes the estimates of all depths on the path.
+A byte is eight binary decisions; each of the 255 decision nodes has a context tree over the `DEPTH` preceding bytes,
+the latest first. At every tree node that training has visited a Krichevsky-Trofimov estimate competes with the
+product of its children's weighted probabilities, one half each, so the prediction mixes the estimates of all depths on
+the path. Below the deepest visited node there is nothing to mix: it counts as a leaf, and its own estimate takes all
+that is left. Every context that has come is held, none is pruned.
+
+A gram is a context with the byte that follows. The grams of one packet share their two latest context bytes; all nodes
+from depth 2 on are in one packet, and are visited by no other. What packets have in common, the root and the 256
+contexts of one byte, is the `Top`: it takes at most 255 sums of each packet (`top_sums`), so its size is fixed.
 
-The tree holds every context that comes `least` times in the training texts; the occurrences of a held context whose
-next older byte isn't held make one leaf, so the leaves still partition all occurrences and no byte goes uncounted.
 A text ends with the byte `END`, which UTF-8 never has; a text that has it all the same is escaped, so the
 probabilities of all texts sum to one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 
-DEPTH = 5
+DEPTH = 6
 END = b"\xff"
+#: Depth of the contexts that the grams of a packet share.
+SHARED = 2
 
 
 def escaped(text: bytes) -> bytes:
@@ -39,50 +48,14 @@ def gram_codes(parts: list[bytes], before: list[bytes]) -> tuple[np.ndarray, np.
     return codes[inside], lengths
 
 
-def tally(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, ascending, with their counts or summed weights."""
-    if weights is None:
-        distinct, counts = np.unique(codes, return_counts=True)
-        return distinct, counts.astype(np.int64)
+def tally(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, with their summed weights."""
     order = np.argsort(codes, kind="stable")
     codes, weights = codes[order], weights[order]
     starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
     return codes[starts], np.add.reduceat(weights, starts) if len(starts) else weights
 
 
-def sizes(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of all grams whose contexts share their two latest bytes: how many contexts of 2 to DEPTH bytes come 2^(k / 4)
-    times or more, but less than 2^((k + 1) / 4), for each k below 256."""
-    out = np.zeros(256, np.int64)
-    for d in range(2, DEPTH + 1):
-        prefix = codes >> np.uint64(8 * (DEPTH - d + 1))
-        starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]][: len(prefix)])
-        out += np.bincount((4 * np.log2(np.add.reduceat(counts, starts))).astype(np.int64), minlength=256)
-    return out
-
-
-def stops(codes: np.ndarray, counts: np.ndarray, least: float) -> list[tuple[bytes, bytes, bytes]]:
-    """Of all grams whose contexts share their two latest bytes: the deepest held context of each gram, with the
-    bytes that follow there and their counts. A pair that isn't held itself comes as a path of two bytes."""
-    depth = np.full(len(codes), 2)
-    for d in range(3, DEPTH + 1):
-        prefix = codes >> np.uint64(8 * (DEPTH - d + 1))
-        starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]][: len(prefix)])
-        sizes = np.diff(np.r_[starts, len(prefix)])
-        depth[np.repeat(np.add.reduceat(counts, starts) >= least, sizes)] = d
-    out = []
-    for d in range(2, DEPTH + 1):
-        at = depth == d
-        if at.any():
-            shift = np.uint64(8 * (DEPTH - d + 1))
-            keys, sums = tally(((codes[at] >> shift) << np.uint64(8)) | (codes[at] & np.uint64(255)), counts[at])
-            prefix = keys >> np.uint64(8)
-            starts = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-            for a, b in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
-                out.append((int(prefix[a]).to_bytes(d, "big"), (keys[a:b] & np.uint64(255)).astype(np.uint8).tobytes(), sums[a:b].astype("<i8").tobytes()))
-    return out
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma(x) for x >= 0.5, by Stirling's series at x + 6."""
     z = x + 6
@@ -92,159 +65,134 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - np.log(below) - z + 0.5 * np.log(2 * np.pi) + over * (1 / 12 - square * (1 / 360 - square / 1260))
 
 
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def _log_kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - np.log(np.pi)
+
+
+_SMALL = 64
+_TABLE = _log_kt_of(*(x.astype(np.float64) for x in np.indices((_SMALL, _SMALL))))
+_TABLE[0, 0] = 0.0
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log Krichevsky-Trofimov probability of that many zeros and ones."""
-    out = np.zeros(zeros.shape)
-    at = np.nonzero(zeros + ones)
-    a, b = zeros[at], ones[at]
-    out[at] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi)
+    out = _TABLE[np.minimum(zeros, _SMALL - 1), np.minimum(ones, _SMALL - 1)]
+    large = (zeros >= _SMALL) | (ones >= _SMALL)
+    out[large] = _log_kt_of(zeros[large].astype(np.float64), ones[large].astype(np.float64))
     return out
 
 
-def _halves(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 256 bytes to those of zeros and ones at the 255 decision nodes, level after level."""
-    levels = []
-    while counts.shape[1] > 1:
-        levels.append((counts[:, ::2], counts[:, 1::2]))
-        counts = counts[:, ::2] + counts[:, 1::2]
-    return np.concatenate([z for z, _ in levels[::-1]], 1), np.concatenate([o for _, o in levels[::-1]], 1)
-
-
-class ContextTree:
-    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], least: float = 1):
-        """rows: what `stops` returned, with the same `least`, for every pair of latest bytes."""
-        firsts: dict[bytes, int] = {}
-        pairs: dict[bytes, int] = {}
-        for path, _, counts in rows:
-            n = int(np.frombuffer(counts, "<i8").sum())
-            firsts[path[:1]] = firsts.get(path[:1], 0) + n
-            pairs[path[:2]] = pairs.get(path[:2], 0) + n
-        held = {b""} | {p for sums in (firsts, pairs) for p, n in sums.items() if n >= least}
-        held |= {p[:k] for p, _, _ in rows if len(p) > 2 for k in range(3, len(p) + 1)}
-        self._weigh(sorted(held, key=lambda p: (len(p), p)), rows)
-
-    def _weigh(self, paths: list[bytes], rows: list[tuple[bytes, bytes, bytes]]) -> None:
-        inner = sorted({p[:-1] for p in paths if p} | {b""}, key=lambda p: (len(p), p))
-        number = {p: k for k, p in enumerate(inner)}
-        leaves = [p for p in paths if p not in number]
-        n = len(inner)
-        number |= {p: n + k for k, p in enumerate(leaves)}
-        rest = n + len(leaves)  # inner node k has the leaf rest + k for what isn't held below it
-        parent = np.full(rest + n, -1)
-        parent[rest:] = np.arange(n)
-        for p in paths:
-            if p:
-                parent[number[p]] = number[p[:-1]]
-        depth = np.array([len(p) for p in inner] + [len(p) for p in leaves] + [len(p) + 1 for p in inner])
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
-        levels = [at[np.argsort(parent[at], kind="stable")] for at in levels]
-        blocks = lambda at: (at[k : k + 2048] for k in range(0, len(at), 2048))
-        counts = self._summed(rows, number, n, rest, parent, levels)
-        self.column, shown = self._columns(counts(np.zeros(1, np.int64))[0], {p[-1] for p in paths if p})
-        child = np.repeat(np.arange(rest, rest + n, dtype=np.int32), len(shown)).reshape(n, len(shown))
-        for p in paths:
-            if p:
-                child[number[p[:-1]], self.column[p[-1]]] = number[p]
-        below = np.zeros((n, 255))  # summed log weighted probabilities of the children
-        weight = np.zeros((n, 255), np.float32)  # posterior of the node's own estimate against its children's
-        for at in (x for level in levels[::-1] for x in blocks(level)):
-            zeros, ones = _halves(counts(at))
-            log_own = _log_kt(zeros, ones)
-            inside = at < n
-            nodes = at[inside]
-            mixed = np.logaddexp(log_own[inside], below[nodes]) + np.log(0.5)
-            weight[nodes] = np.exp(log_own[inside] + np.log(0.5) - mixed)
-            log_own[inside] = mixed
-            above = parent[at]
-            if above[0] >= 0:
-                starts = np.flatnonzero(np.r_[True, above[1:] != above[:-1]])
-                below[above[starts]] += np.add.reduceat(log_own, starts)
-        # From the root down: the part of the prediction that is settled, and the share that is left to mix.
-        del below
-        settled, left = np.zeros((n, 255), np.float32), np.ones((n, 255), np.float32)
-        logs = np.zeros((len(parent) - n, len(shown)), np.float32)
-        for at in (x for level in levels for x in blocks(level)):
-            zeros, ones = _halves(counts(at))
-            one = (ones + 0.5) / (zeros + ones + 1)
-            before, open_ = (settled[parent[at]].astype(np.float64), left[parent[at]].astype(np.float64)) if at[0] else (0.0, np.ones((1, 255)))
-            inside = at < n
-            share = np.where(inside[:, None], weight[np.minimum(at, n - 1)], 1.0)
-            one = before + open_ * share * one
-            settled[at[inside]] = one[inside]
-            left[at[inside]] = (open_ * (1 - share))[inside]
-            logs[at[~inside] - n] = self._bytes(np.clip(one[~inside], 1e-12, 1 - 1e-12))[:, shown]
-        self.child, self.logs, self.inner, self.leaves = child.reshape(-1), logs.reshape(-1), n, len(logs)
-
-    @staticmethod
-    def _columns(counts: np.ndarray, used: set[int]) -> tuple[np.ndarray, list[int]]:
-        """A column for each byte that comes, and one for each largest half, quarter and so on of the bytes of which
-        none comes: those have the same probability everywhere. Second: a byte of each column."""
-        seen = counts > 0
-        seen[[*used]] = True
-        column, shown, at = np.zeros(256, np.int32), [], 0
-        while at < 256:
-            size = 1
-            while not seen[at : at + size].any() and at % (2 * size) == 0 and size < 256 and not seen[at : at + 2 * size].any():
-                size *= 2
-            column[at : at + size] = len(shown)
-            shown.append(at)
-            at += size
-        return column, shown
-
-    @staticmethod
-    def _summed(rows: list, number: dict, n: int, rest: int, parent: np.ndarray, levels: list[np.ndarray]):
-        """A function from nodes to a row of the counts of 256 bytes for each, out of one sparse list."""
-        owners, nexts, seen = [], [], []
-        for path, following, times in rows:
-            while path not in number:
-                path = path[:-1]
-            k = number[path]
-            owners.append(np.full(len(following), k + rest if k < n else k))
-            nexts.append(np.frombuffer(following, np.uint8))
-            seen.append(np.frombuffer(times, "<i8"))
-        keys = np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.uint64) * np.uint64(256) + np.concatenate([*nexts, np.zeros(0, np.uint8)])
-        keys, sums = tally(keys, np.concatenate([*seen, np.zeros(0, np.int64)]))
-        all_keys, all_sums, level_of = [], [], np.zeros(len(parent), np.int64)
-        for d, level in enumerate(levels):
-            level_of[level] = d
-        for d in range(len(levels) - 1, -1, -1):
-            mine = level_of[(keys >> np.uint64(8)).astype(np.int64)] == d
-            all_keys.append(keys[mine])
-            all_sums.append(sums[mine])
-            above = parent[(keys[mine] >> np.uint64(8)).astype(np.int64)]
-            if d:
-                up = above.astype(np.uint64) * np.uint64(256) + (keys[mine] & np.uint64(255))
-                keys, sums = tally(np.concatenate([keys[~mine], up]), np.concatenate([sums[~mine], sums[mine]]))
-        keys, sums = tally(np.concatenate(all_keys), np.concatenate(all_sums))
-
-        def counts(at: np.ndarray) -> np.ndarray:
-            first, stop = (np.searchsorted(keys, x.astype(np.uint64) * np.uint64(256)) for x in (at, at + 1))
-            out = np.zeros((len(at), 256))
-            size = stop - first
-            place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            out[np.repeat(np.arange(len(at)), size), (keys[place] & np.uint64(255)).astype(np.int64)] = sums[place]
-            return out
-
-        return counts
-
-    @staticmethod
-    def _bytes(one: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte from the probabilities of a one at the 255 decision nodes."""
-        zero, one = np.log10(1 - one), np.log10(one)
-        total = np.zeros((len(one), 1))
-        for level in range(8):
-            at = slice((1 << level) - 1, (2 << level) - 1)
-            total = np.stack([total + zero[:, at], total + one[:, at]], 2).reshape(len(one), 2 << level)
-        return total.astype(np.float32)
-
-    def score(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each part whose `gram_codes` these are, given what stands before it."""
-        node, wide = np.zeros(len(codes), np.int32), np.int32(len(self.logs) // max(self.leaves, 1))
-        for d in range(DEPTH):
-            at = self.column[((codes >> np.uint64(8 * (DEPTH - d))) & np.uint64(255)).astype(np.int64)]
-            inside = np.flatnonzero(node < self.inner)
-            node[inside] = self.child[node[inside] * wide + at[inside]]
-        bits = self.logs[(node.astype(np.int64) - self.inner) * wide + self.column[(codes & np.uint64(255)).astype(np.int64)]]
-        sums = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
-        ends = np.cumsum(lengths)
-        return sums[ends] - sums[ends - lengths]
+def _keys(codes: np.ndarray, level: int) -> np.ndarray:
+    """Context and decision node of `level` (1 to 255) of each gram; ascending if the grams are."""
+    return (codes & ~np.uint64(255)) | np.uint64(1 << level) | ((codes & np.uint64(255)) >> np.uint64(8 - level))
+
+
+def _cut(codes: np.ndarray) -> np.ndarray:
+    """Grams without their oldest context byte, which stands just before the byte that follows."""
+    return ((codes >> np.uint64(16)) << np.uint64(8)) | (codes & np.uint64(255))
+
+
+class _Level(NamedTuple):
+    """The visited nodes of one level of decisions at one depth: keys, ascending; share: the posterior of the node's own
+    estimate; one: that estimate of a one."""
+
+    keys: np.ndarray
+    share: np.ndarray
+    one: np.ndarray
+
+
+def mixed_logs(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weighted probability of nodes with children, and the posterior of their own estimates."""
+    own = log_kt(zeros, ones)
+    both = np.logaddexp(own, below) - np.log(2)
+    return both, np.exp(own - np.log(2) - both)
+
+
+def levels(codes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, list[_Level], np.ndarray]]:
+    """For each level of decisions its nodes at the depths from SHARED on. Third, of those at depth SHARED: numbers of
+    zeros and ones and log weighted probabilities, as columns.
+
+    `codes`: distinct grams, ascending, whole packets; `counts`: how often each came in training, never for some."""
+    codes, counts = codes[counts > 0], counts[counts > 0]
+    grams = [(codes, counts)]
+    for _ in range(DEPTH - SHARED):
+        grams.insert(0, tally(_cut(grams[0][0]), grams[0][1]))
+    for level in range(8):
+        nodes, under, sums = [], None, np.zeros((0, 3))
+        for held, seen in grams[::-1]:
+            keys = _keys(held, level)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            bit = (held >> np.uint64(7 - level)) & np.uint64(1) > 0
+            ones = np.add.reduceat(np.where(bit, seen, 0), starts) if len(starts) else seen
+            zeros = (np.add.reduceat(seen, starts) if len(starts) else seen) - ones
+            keys = keys[starts]
+            if under is None:
+                log, share = log_kt(zeros, ones), np.ones(len(keys))
+            else:
+                log, share = mixed_logs(zeros, ones, np.bincount(np.searchsorted(keys, _cut(under[0])), under[1], len(keys)))
+            nodes.insert(0, _Level(keys, share, (ones + 0.5) / (zeros + ones + 1)))
+            under, sums = (keys, log), np.stack([zeros, ones, log], 1)
+        yield level, nodes, sums
+
+
+def top_sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What whole packets add to the Top: keys (latest byte, decision), ascending, and rows of zeros, ones, logs."""
+    total = np.zeros((1 << 16, 3))
+    for _, nodes, sums in levels(codes, counts):
+        keys = nodes[0].keys
+        at = (((keys >> np.uint64(8 * SHARED)) << np.uint64(8)) | (keys & np.uint64(255))).astype(np.int64)
+        for k in range(3):
+            total[:, k] += np.bincount(at, sums[:, k], 1 << 16)
+    held = np.flatnonzero(total[:, 0] + total[:, 1])
+    return held, total[held]
+
+
+def gram_logs(codes: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after its context; arguments as of `levels`."""
+    total = np.zeros(len(codes))
+    at = [codes]
+    for _ in range(DEPTH - SHARED):
+        at.insert(0, _cut(at[0]))
+    first = (codes >> np.uint64(8 * DEPTH)).astype(np.int64)
+    for level, nodes, _ in levels(codes, counts):
+        decision = (_keys(codes, level) & np.uint64(255)).astype(np.int64)
+        settled, left, leaf = (x[first, decision] for x in (top.settled, top.left, top.leaf))
+        rows = np.arange(len(codes))
+        for held, grams in zip(nodes, at, strict=True):
+            if not len(held.keys):
+                break
+            keys = _keys(grams[rows], level)
+            place = np.minimum(np.searchsorted(held.keys, keys), len(held.keys) - 1)
+            found = held.keys[place] == keys
+            rows, place = rows[found], place[found]
+            leaf[rows] = settled[rows] + left[rows] * held.one[place]
+            settled[rows] += left[rows] * held.share[place] * held.one[place]
+            left[rows] *= 1 - held.share[place]
+        bit = (codes >> np.uint64(7 - level)) & np.uint64(1) > 0
+        total += np.log10(np.where(bit, leaf, 1 - leaf))
+    return total
+
+
+class Top:
+    """The root and the contexts of one byte. For each such context and decision: settled: the part of the prediction
+    of a one that is settled there; left: the share that is left to mix; leaf: the prediction if nothing deeper is
+    visited."""
+
+    def __init__(self, keys: np.ndarray, sums: np.ndarray):
+        """What `top_sums` returned, added up over all packets."""
+        zeros, ones, below = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64), np.zeros((256, 256))
+        for at, x in zip((zeros, ones, below), sums.T, strict=True):
+            at.reshape(-1)[keys] = x
+        log, share = mixed_logs(zeros, ones, below)
+        visited, estimate = zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1)
+        root = zeros.sum(0), ones.sum(0)
+        _, root_share = mixed_logs(*root, np.where(visited, log, 0.0).sum(0))
+        root_one = (root[1] + 0.5) / (root[0] + root[1] + 1)
+        before = root_share * root_one
+        self.leaf = np.where(visited, before + (1 - root_share) * estimate, root_one)
+        self.settled = before + (1 - root_share) * share * estimate
+        self.left = (1 - root_share) * (1 - share)
+
+
+def packet_of(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(8 * (DEPTH - SHARED + 1))).astype(np.int64)

@@ -1,12 +1,17 @@
 """Scores of documents under a context-tree-weighting model that Spark gathers from the training fold.
 
-One scan of the training documents counts byte grams and whitespace tokens. Tasks send what they have counted as
-packed arrays, dealt by the grams' two latest context bytes and by token hash, so a shuffle row stands for
-thousands of counts and a hot byte or token is one number of each task. All counts grow with the input. The tree (see
-context_tree) holds the most frequent contexts, one for `BYTES_PER_CONTEXT` training bytes and `CONTEXTS` at most or,
-on request, all; it is broadcast. Token counts
-have no bound: those with at least a `FREQUENT` share of all tokens are broadcast, at most 1 / FREQUENT; the rest is
-joined. Long texts are counted and scored in pieces, each with the bytes before it.
+Documents are dealt into units of some MB of text. A unit counts its distinct byte grams (see context_tree) and its
+distinct tokens, and how often each comes in its training documents, which may be never. It asks for what the score
+needs to know of each: the model's log probability of a gram, the training count of a token.
+
+Grams are dealt by hash into slices, whose number grows with the corpus; a slice adds up the units' counts, so a
+common gram is one number of each unit. The distinct grams then meet by their two latest context bytes, where the tree
+below those is weighted; 65,536 sums at most reach the driver, for the top of the tree, which is broadcast. With it the
+grams' probabilities are worked out where their tree is, go back to the slices and from there to the units that asked.
+All contexts that come are held, so the model grows with the input, and no task holds more of it than the grams of a slice
+or the distinct ones that share two bytes. Tokens are answered by their slices directly.
+
+Long texts are counted and scored in pieces, each with the bytes before it.
 """
 
 from __future__ import annotations
@@ -15,20 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm import context_tree
-from marlstone.llm.common import CHUNK_BYTES, as_bytes, chunks, fold, pieces, spread, stored
-from marlstone.llm.context_tree import DEPTH, END, ContextTree, escaped, gram_codes, stops, tally
+from marlstone.llm.common import CHUNK_BYTES, as_bytes, chunks, fold, mixed, pieces, spread, stored
+from marlstone.llm.context_tree import DEPTH, END, Top, escaped, gram_codes, gram_logs, packet_of, tally, top_sums
 
-#: Contexts that the tree holds at most, about 0.7 KB each in every worker, and the training bytes for each of them.
-CONTEXTS, BYTES_PER_CONTEXT = 1 << 17, 128
-FREQUENT = 2.0**-20
-#: Distinct grams or tokens that a task holds before it sends them on; the packets that tokens are dealt into.
-HELD, PACKETS = 1_000_000, 1024
+#: Bytes of text in a unit, about, and for each slice of the counts.
+UNIT_BYTES, SLICE_BYTES = 24 << 20, 32 << 20
+#: Groups that the 65,536 pairs of latest bytes are dealt into at most.
+BUCKETS = 1024
+#: Distinct grams or tokens that a unit counts apart before it merges them.
+HELD = 1_000_000
 _END_HASH = xxhash.xxh3_64_intdigest(b"", 1)
 
 
@@ -82,182 +88,198 @@ class _Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((codes, counts))
-        self.size += len(codes)
+    def add(self, codes: np.ndarray, trained: np.ndarray) -> None:
+        """`trained`: whether each code is of a training document."""
+        for chosen, weight in ((trained, 1), (~trained, 0)):
+            distinct, counts = np.unique(codes[chosen], return_counts=True)
+            self.parts.append((distinct, weight * counts.astype(np.int64)))
+            self.size += len(distinct)
+        if self.size > HELD and len(self.parts) > 8:
+            self.merged()
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            self.parts = [tally(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
-        self.size = sum(len(c) for c, _ in self.parts)
-        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if len(self.parts) != 1:
+            self.parts = [tally(np.concatenate([*(c for c, _ in self.parts), np.zeros(0, np.uint64)]), np.concatenate([*(n for _, n in self.parts), np.zeros(0, np.int64)]))]
+        self.size = len(self.parts[0][0])
+        return self.parts[0]
 
 
-_PACKET = "kind int, packet int, total long, codes binary, counts binary"
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values as differences, first all lowest bytes, then all second ones and so on: small ones compress well."""
+    return np.diff(values.astype(np.uint64), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _packets(kind: int, tallied: _Tally, shift: int) -> pa.RecordBatch:
-    """One row for each group of codes that agree above `shift`."""
-    codes, counts = tallied.merged()
-    keys = (codes >> np.uint64(shift)).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    rows = [(kind, int(keys[a]), int(counts[a:b].sum()), codes[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(starts, np.r_[starts[1:], len(keys)], strict=True)] if len(keys) else []
-    tallied.parts, tallied.size = [], 0
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "packet", "total", "codes", "counts"])
+def unpacked(held: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(held.as_buffer(), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-_GRAM_SHIFT = 8 * (context_tree.DEPTH - 1)
-_TOKEN_SHIFT = 64 - (PACKETS - 1).bit_length()
+def _column(held: pa.Table, name: str) -> list[np.ndarray]:
+    return [unpacked(x) for x in held.column(name)]
 
 
-def count_packets(texts: DataFrame) -> DataFrame:
-    """Rows (kind 0: grams, 1: tokens; packet; total; codes; counts) of what each task has counted."""
+def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key, and where it is, in the order there."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]][: len(keys)]).tolist()
+    for a, b in zip(starts, [*starts[1:], len(keys)][: len(starts)], strict=True):
+        yield int(keys[order[a]]), order[a:b]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, tokens, hashes = _Tally(), _Tally(), _Hashes()
-        kinds = ((0, grams, _GRAM_SHIFT), (1, tokens, _TOKEN_SHIFT))
-        for _, words, bodies, before in (x for chunk in chunks(batches) for x in _parts(as_bytes(chunk.column("text")))):
-            grams.add(*tally(gram_codes(bodies, before)[0]))
-            tokens.add(*tally(_hashed(words, bodies, hashes)[0]))
-            for kind, tallied, shift in kinds:
-                if tallied.size > HELD:
-                    tallied.merged()
-                if tallied.size > HELD // 2 and len(tallied.parts) == 1:
-                    yield _packets(kind, tallied, shift)
-        for kind, tallied, shift in kinds:
-            yield _packets(kind, tallied, shift)
 
-    return texts.select("text").mapInArrow(count, _PACKET)
+_ASKED = "unit long, kind int, slice int, codes binary, counts binary"
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Tally]]:
-    """The packets of a partition that is sorted by packet, one after the other."""
-    held, tallied = None, _Tally()
-    for batch in batches:
-        for packet, codes, counts in zip(batch.column("packet").to_pylist(), *(batch.column(c) for c in ("codes", "counts")), strict=True):
-            if packet != held:
-                if held is not None:
-                    yield held, tallied
-                held, tallied = packet, _Tally()
-            tallied.add(np.frombuffer(codes.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), "<u4").astype(np.int64))
-            if len(tallied.parts) > 16:
-                tallied.merged()
-    if held is not None:
-        yield held, tallied
+def ask(texts: DataFrame, slices: int) -> DataFrame:
+    """The documents with their units (unit, doc_id, held_out, text), kind being null, and in other rows what the units
+    ask: kind 0: grams, 1: tokens; slice; codes, ascending; their counts in the unit's training documents."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, hashes, size = TaskContext.get().partitionId() << 32, _Hashes(), 0
+        grams, tokens = _Tally(), _Tally()
+        id_kind = None
 
-def _dealt(packets: DataFrame, kind: int) -> DataFrame:
-    return packets.where(F.col("kind") == kind).select("packet", "codes", "counts").repartition("packet").sortWithinPartitions("packet")
+        def asked() -> pa.RecordBatch:
+            rows = []
+            for kind, tallied in ((0, grams), (1, tokens)):
+                codes, counts = tallied.merged()
+                of = (mixed(codes) % np.uint64(slices)).astype(np.int64)
+                rows += [(unit, kind, s, packed(codes[at]), packed(counts[at])) for s, at in _split(of)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            n = len(rows)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.nulls(n, id_kind), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string())], names=names)
 
+        names = ["unit", "kind", "slice", "codes", "counts", "doc_id", "held_out", "text"]
+        for chunk in chunks(batches):
+            n, id_kind = chunk.num_rows, chunk.column("doc_id").type
+            trained = ~np.array(chunk.column("held_out").to_pylist(), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), *(pa.nulls(n, k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())), *(chunk.column(c) for c in names[5:])], names=names)
+            for owners, words, bodies, before in _parts(as_bytes(chunk.column("text"))):
+                codes, lengths = gram_codes(bodies, before)
+                grams.add(codes, np.repeat(trained[owners], lengths))
+                hashed, number = _hashed(words, bodies, hashes)
+                tokens.add(hashed, np.repeat(trained[owners], number))
+                size += int(lengths.sum())
+            if size > UNIT_BYTES:
+                yield asked()
+                unit, size, grams, tokens = unit + 1, 0, _Tally(), _Tally()
+        if size:
+            yield asked()
+
+    return texts.mapInArrow(deal, f"{_ASKED}, doc_id {id_type}, held_out boolean, text string")
+
+
+def _added(held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of some rows, and their counts added up."""
+    return tally(np.concatenate(_column(held, "codes")), np.concatenate(_column(held, "counts")).astype(np.int64))
+
+
+_ANSWERS = "unit long, kind int, codes binary, counts binary, logs binary"
 
-def fit_tree(packets: DataFrame, contexts: int | None = CONTEXTS) -> ContextTree:
-    """The broadcastable tree. The grams of two latest bytes meet in one task. The least count of a held context is
-    the lowest power of the fourth root of two that no more contexts reach than `contexts` and one for
-    BYTES_PER_CONTEXT training bytes (None: 1, all are held); only those reach the driver."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packet, tallied in _merged(batches):
-            codes, counts = tallied.merged()
-            yield pa.RecordBatch.from_arrays([pa.array([packet], pa.int32()), pa.array([codes.tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([context_tree.sizes(codes, counts)], pa.list_(pa.int64())), pa.array([counts.sum()], pa.int64())], names=["packet", "codes", "counts", "sizes", "total"])
+def token_answers(asked: DataFrame) -> DataFrame:
+    """What units asked of tokens, with their training counts, and in one row of each slice `total` and `distinct`: the
+    slice's training tokens, with repeats and without."""
 
-    grams = stored(_dealt(packets, 0).mapInArrow(merge, "packet int, codes binary, counts binary, sizes array<long>, total long"))
-    level, above = 0, 0
-    if contexts is not None:
-        sizes = {r.level: r.n for r in grams.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}
-        contexts = min(contexts, (grams.agg(F.sum("total")).first()[0] or 0) // BYTES_PER_CONTEXT)
-        level = 256
-        while level and (above := above + sizes.get(level - 1, 0)) <= contexts:
-            level -= 1
-    least = 2.0 ** (level / 4)
+    def count(held: pa.Table) -> pa.Table:
+        held = held.combine_chunks()
+        tokens, counts = _added(held)
+        answers = [packed(counts[np.searchsorted(tokens, x)]) for x in _column(held, "codes")]
+        n = len(answers)
+        first = np.arange(n) == 0
+        return pa.table({"unit": held.column("unit"), "kind": held.column("kind"), "codes": held.column("codes"), "counts": pa.array(answers, pa.binary()), "logs": pa.nulls(n, pa.binary()), "total": pa.array(first * counts.sum()), "distinct": pa.array(first * (counts > 0).sum())})
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, counts in zip(batch.column("codes"), batch.column("counts"), strict=True):
-                rows = stops(np.frombuffer(codes.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), "<i8"), least)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["path", "nexts", "counts"])
+    return asked.where("kind = 1").select("unit", "kind", "slice", "codes", "counts").groupBy("slice").applyInArrow(count, f"{_ANSWERS}, total long, distinct long")
 
-    held = grams.select("codes", "counts").mapInArrow(prune, "path binary, nexts binary, counts binary").toArrow()
-    return ContextTree([*zip(*(c.to_pylist() for c in held.columns), strict=True)], least)
 
+def gram_answers(asked: DataFrame, slices: int) -> DataFrame:
+    """What units asked of grams, with the log10 of the model's probability of each."""
+    spark, buckets = asked.sparkSession, min(slices, BUCKETS)
+    asked = asked.where("kind = 0").select("unit", "kind", "slice", "codes", "counts")
 
-def token_counts(packets: DataFrame) -> DataFrame:
-    """(token: hash as long, c) for each training token."""
+    def merge(held: pa.Table) -> pa.Table:
+        number = held.column("slice")[0].as_py()
+        codes, counts = _added(held.combine_chunks())
+        rows = [(number, b, packed(codes[at]), packed(counts[at])) for b, at in _split((mixed(packet_of(codes).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "bucket", "codes", "counts"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tallied in _merged(batches):
-            codes, counts = tallied.merged()
-            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["token", "c"])
+    def sums(held: pa.Table) -> pa.Table:
+        keys, total = top_sums(*_added(held.combine_chunks()))
+        return pa.table({"at": pa.array(keys), "zeros": pa.array(total[:, 0].astype(np.int64)), "ones": pa.array(total[:, 1].astype(np.int64)), "log": pa.array(total[:, 2])})
 
-    return _dealt(packets, 1).mapInArrow(rows, "token long, c long")
+    def weigh(held: pa.Table) -> pa.Table:
+        held = held.combine_chunks()
+        codes, counts = _added(held)
+        logs = gram_logs(codes, counts, shared.value).astype("<f4")
+        found = [logs[np.searchsorted(codes, x)].tobytes() for x in _column(held, "codes")]
+        return pa.table({"slice": held.column("slice"), "codes": held.column("codes"), "logs": pa.array(found, pa.binary())})
 
+    def answer(held: pa.Table, known: pa.Table) -> pa.Table:
+        codes, logs = np.concatenate(_column(known, "codes")), np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in known.column("logs")])
+        order = np.argsort(codes)
+        codes, logs = codes[order], logs[order]
+        found = [logs[np.searchsorted(codes, x)].tobytes() for x in _column(held, "codes")]
+        return pa.table({"unit": held.column("unit"), "kind": held.column("kind"), "codes": held.column("codes"), "counts": pa.nulls(len(found), pa.binary()), "logs": pa.array(found, pa.binary())})
 
-def score_documents(docs: DataFrame, folds: int = 5, held: int = 1, contexts: int | None = CONTEXTS) -> DataFrame:
+    grams = stored(asked.groupBy("slice").applyInArrow(merge, "slice int, bucket int, codes binary, counts binary"))
+    by_bucket = grams.groupBy("bucket")
+    top = by_bucket.applyInArrow(sums, "at long, zeros long, ones long, log double").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log"))).toArrow()
+    shared = spark.sparkContext.broadcast(Top(top["at"].to_numpy(), np.stack([top[c].to_numpy().astype(np.float64) for c in ("zeros", "ones", "log")], 1).reshape(-1, 3)))
+    logs = by_bucket.applyInArrow(weigh, "slice int, codes binary, logs binary")
+    return asked.select("unit", "kind", "slice", "codes").groupBy("slice").cogroup(logs.groupBy("slice")).applyInArrow(answer, _ANSWERS)
+
+
+def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """A row for each document (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     The text that is scored is the lower-cased (A-Z) tokens with single spaces, then an end byte: the very events
-    that the base counts; `contexts` bounds the tree (see `fit_tree`). A null text is empty and has its end alone. Repeated rows have a score each. With no
+    that the base counts. A null text is empty and has its end alone. Repeated rows have a score each. With no
     training documents all bytes are equally likely. Tokens are told apart by 64-bit hashes. Other columns aren't
     read; an empty table gives no rows.
     """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = 1 + size // SLICE_BYTES
     texts = spread(docs.select("doc_id", "text", (fold(F.col("doc_id"), folds) == held).alias("held_out")))
-    packets = stored(count_packets(texts.where("not held_out")))
-    counts = stored(token_counts(packets))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1, total * FREQUENT)
-    frequent = counts.where(F.col("c") >= least).toArrow()
-    order = np.argsort(frequent["token"].to_numpy().view(np.uint64))
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((fit_tree(packets, contexts), frequent["token"].to_numpy().view(np.uint64)[order], np.log10(frequent["c"].to_numpy()[order] + 0.5)))
+    fewer = max(spark_cores(docs), 1 + size // UNIT_BYTES)
+    dealt = stored(ask(texts.coalesce(fewer), slices))
+    tokens = stored(token_answers(dealt))
+    total, distinct = tokens.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    over = float(np.log10(total + 0.5 * (distinct + 1)))
+    answers = gram_answers(dealt, slices).unionAll(tokens.drop("total", "distinct"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, logs = shared.value
-        hashes, row = _Hashes(), TaskContext.get().partitionId() << 33
-        for chunk in chunks(batches):
-            sums = np.zeros((5, chunk.num_rows))  # tokens, frequent ones, their logs, score, bytes
-            rare_of, rare = [], []
+    def score(unit: pa.Table, answers: pa.Table) -> pa.Table:
+        told = []
+        for k, column in ((0, "logs"), (1, "counts")):
+            mine = answers.filter(pc.equal(answers.column("kind"), k))
+            codes = np.concatenate([*_column(mine, "codes"), np.zeros(0, np.uint64)])
+            values = [np.frombuffer(x.as_buffer(), "<f4") for x in mine.column(column)] if k == 0 else _column(mine, column)
+            order = np.argsort(codes)
+            told.append((codes[order], np.concatenate([*values, np.zeros(0, np.float32)])[order]))
+        (grams, logs), (tokens, counts) = told
+        hashes, out = _Hashes(), []
+        for chunk in chunks(iter(unit.to_batches())):
+            sums = np.zeros((5, chunk.num_rows))  # tokens, known ones, their logs, score, bytes
             for owners, words, bodies, before in _parts(as_bytes(chunk.column("text"))):
                 codes, lengths = gram_codes(bodies, before)
-                hashed, n = _hashed(words, bodies, hashes)
-                distinct, inverse = np.unique(hashed, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
-                found = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
-                value = np.where(found, logs[at], 0.0) if len(known) else np.zeros(len(distinct))
-                of = np.repeat(owners, n)
-                for k, by, x in ((0, owners, n), (1, of, found[inverse]), (2, of, value[inverse]), (3, owners, tree.score(codes, lengths)), (4, owners, lengths)):
+                some, place = np.unique(codes, return_inverse=True)
+                of = np.repeat(owners, lengths)
+                sums[3] += np.bincount(of, logs[np.searchsorted(grams, some)].astype(np.float64)[place], chunk.num_rows)
+                hashed, number = _hashed(words, bodies, hashes)
+                c = counts[np.searchsorted(tokens, hashed)].astype(np.float64)
+                of = np.repeat(owners, number)
+                for k, by, x in ((0, owners, number), (1, of, c > 0), (2, of, np.log10(c + 0.5)), (4, owners, lengths)):
                     sums[k] += np.bincount(by, x, chunk.num_rows)
-                rare_of.append(of[~found[inverse]])
-                rare.append(hashed[~found[inverse]])
-            offsets = np.r_[0, np.cumsum(np.bincount(np.concatenate(rare_of), minlength=chunk.num_rows))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row + np.arange(chunk.num_rows)),
-                    chunk.column("doc_id"),
-                    chunk.column("held_out"),
-                    pa.array(sums[0].astype(np.int64)),
-                    pa.array(sums[1].astype(np.int64)),
-                    pa.array(sums[2]),
-                    pa.array(sums[3]),
-                    pa.array(sums[4].astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare).view(np.int64))),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_frequent", "frequent_logs", "score", "n_bytes", "rare"],
-            )
-            row += chunk.num_rows
-
-    scored = stored(texts.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_frequent long, frequent_logs double, score double, n_bytes long, rare array<long>"))
-    rare = scored.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("tf"))
-    log_of = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
-    rare = rare.join(counts.where(F.col("c") < least), "token", "left").groupBy("row").agg(F.sum(F.col("tf") * log_of).alias("rare_logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rare"))
-    over = float(np.log10(total + 0.5 * (distinct + 1)))
-    return scored.drop("rare").join(rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("frequent_logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(over)).alias("base_score"),
-        "score",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+            values = [pa.array(x) for x in (sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2] - sums[0] * over, sums[3], sums[4].astype(np.int64))]
+            out.append(pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("held_out"), *values], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]))
+        return pa.Table.from_batches(out)
+
+    units = dealt.where("kind is null").select("unit", "doc_id", "held_out", "text")
+    scored = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    bits = -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+
+
+def spark_cores(docs: DataFrame) -> int:
+    return docs.sparkSession.sparkContext.defaultParallelism

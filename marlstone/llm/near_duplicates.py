@@ -13,9 +13,16 @@ class from the start.
 
 The classes that share a band are a bucket. Some bands at a time, a bucket's most copied class meets the members that
 links haven't joined to it yet: their exact weighted Jaccard similarity is computed from the texts, and links join
-classes into groups, so a large group is joined in the first round, by about one comparison a member. In the end every
-two members of a bucket that are still in different groups are compared, in blocks of bounded size. The groups thus
-equal those of comparing all pairs of each bucket, though only links between groups are looked for.
+classes into groups, so a large group is joined in the first round, by about one comparison a member.
+
+What is left, texts that share a bucket with a text of another group, goes through a similarity join. Each text's
+shingles are put in the order of their rarity among those texts. Two texts that are similar enough share a shingle of
+their prefixes, the rarest fifth by weight, and what each has from the first such shingle on weighs enough for both:
+so a text without such a partner in another group is left out (`_postings`, `_alive`). Texts that have only boilerplate
+in common differ in their rare shingles, so they go here, without being compared. Of the others each meets one
+partner, the one of whose weight least stands before the shared shingle, twice; then those that still have partners in
+other groups are compared with all members of their buckets, in blocks of bounded size. The groups thus contain those
+of comparing all pairs of each bucket, though only links between groups are looked for.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +54,10 @@ BLOCK_BYTES, BLOCK_TEXTS = 4_000_000, 1024
 BROADCAST_ROWS = 200_000
 #: Distinct words whose counts a task holds before it sends them on.
 HELD = 1_000_000
+#: Bytes of text whose shingles are counted as a unit, and for each slice that the counts are dealt into, about.
+UNIT_BYTES, SLICE_BYTES = 2 << 20, 16 << 20
+#: Meetings of each text with its likeliest partner by rare shingles.
+PARTNERS = 2
 
 _PERMUTED = np.argsort(mixed(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(17)).reshape(BINS, BINS), axis=1)
 
@@ -124,6 +136,19 @@ def shingles(texts: list[bytes], hashes: _Hashes, weights: Weights) -> Shingles:
     return Shingles(found[order], counts[order], idf[order], np.bincount(owner, minlength=len(texts)))
 
 
+def all_shingles(texts: list[bytes], hashes: _Hashes, weights: Weights) -> Shingles:
+    """`shingles`, with the words of half a MB or so held at once."""
+    taken, block = [], 0
+    while block < len(texts):
+        stop, size = block, 0
+        while stop < len(texts) and (stop == block or size + len(texts[stop]) <= BLOCK_BYTES // 8):
+            size += len(texts[stop])
+            stop += 1
+        taken.append(shingles(texts[block:stop], hashes, weights))
+        block = stop
+    return Shingles.joined(taken)
+
+
 def _uniforms(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two uniform variates in (0, 1) from the halves of 64 bits."""
     return ((h >> np.uint64(32)).astype(np.float64) + 0.5) / 2**32, ((h & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2**32
@@ -310,15 +335,7 @@ def _overlaps(sides: list[tuple[Shingles, np.ndarray]], shape: tuple[int, int])
 def crossing(texts: list[bytes], roots: list[bytes], side: np.ndarray | None, weights: Weights, least: float, hashes: _Hashes) -> list[tuple[int, int]]:
     """Links between texts of different roots, enough to join all that are similar by at least `least`: texts of one
     side with those of the other, or, without sides, all of them."""
-    taken, block = [], 0
-    while block < len(texts):  # so that the words of half a MB or so are held at once
-        stop, size = block, 0
-        while stop < len(texts) and (stop == block or size + len(texts[stop]) <= BLOCK_BYTES // 8):
-            size += len(texts[stop])
-            stop += 1
-        taken.append(shingles(texts[block:stop], hashes, weights))
-        block = stop
-    s = Shingles.joined(taken)
+    s = all_shingles(texts, hashes, weights)
     weight, owner = s.weight, np.repeat(np.arange(len(texts)), s.number)
     total, ends = np.bincount(owner, weight, minlength=len(texts)), np.cumsum(s.number)
     names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
@@ -394,6 +411,110 @@ def _crossing(members: DataFrame, texts: DataFrame, roots: DataFrame, weights: W
     return dealt.groupBy("band", "across", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
 
 
+class _Counted(NamedTuple):
+    """A unit's texts by key with their shingles, and its distinct shingles in slices: of, at: slice and place of each
+    among `distinct`, slice after slice; place: each shingle's among `distinct`."""
+
+    keys: list[bytes]
+    shingles: Shingles
+    distinct: np.ndarray
+    place: np.ndarray
+    of: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of_rows(keys: list[bytes], texts: list[bytes], weights: Weights, slices: int) -> _Counted:
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        s = all_shingles([texts[k] for k in order], _Hashes(), weights)
+        distinct, place = np.unique(s.found, return_inverse=True)
+        of = (distinct >> np.uint64(32)) % np.uint64(slices)
+        at = np.argsort(of, kind="stable")
+        return _Counted([keys[k] for k in order], s, distinct, place, of[at], at)
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
+        begins = np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]][: len(self.of)])
+        for a, b in zip(begins.tolist(), np.r_[begins[1:], len(self.of)][: len(begins)].tolist(), strict=True):
+            yield int(self.of[a]), self.at[a:b]
+
+
+def prefixes(s: Shingles, level: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's shingles, in the order of `level` and hash, those before which not more than 1 - `least` of its
+    weight stands, and that are not of level 0: place, number of the text, weight before it, the text's weight."""
+    weight, owner = s.weight, np.repeat(np.arange(len(s.number)), s.number)
+    order = np.lexsort((s.found, level, owner))
+    sums = np.cumsum(weight[order])
+    begins = np.cumsum(s.number) - s.number
+    start = np.r_[0.0, sums][begins][owner]
+    total = np.bincount(owner, weight, minlength=len(s.number))[owner]
+    before = np.maximum(sums - weight[order] - start, 0.0)
+    kept = (level[order] > 0) & (before <= (1 - least + 1e-9) * total)
+    return order[kept], owner[kept], before[kept], total[kept]
+
+
+def _postings(texts: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """(shingle, key, before, total) of the prefixes of `texts` (key, text), without the shingles of one text alone.
+
+    Texts are dealt into units. A unit sends each slice of the shingles' hashes its distinct ones, with its number of
+    texts that hold them; the slice adds up and returns to each unit how common each is: 0 for a single text, else in
+    steps of an eighth of a power of two. So no shingle's texts meet, and what is sent is six bytes a shingle."""
+    slices = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = TaskContext.get().partitionId() << 32
+        names = ["unit", "slice", "key", "text", "codes", "counts"]
+        for chunk in chunks(batches, most=UNIT_BYTES):
+            n = chunk.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), pa.nulls(n, pa.int32()), chunk.column("key"), chunk.column("text"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+            held = _Counted.of_rows(chunk.column("key").to_pylist(), as_bytes(chunk.column("text")), shared.value, slices)
+            number = np.minimum(np.bincount(held.place, minlength=len(held.distinct)), 65535).astype("<u2")
+            rows = [(s, (held.distinct[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), number[at].tobytes()) for s, at in held.slices()]
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, unit)), pa.array([r[0] for r in rows], pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=names)
+            unit += 1
+
+    def add(held: pa.Table) -> pa.Table:
+        held = held.combine_chunks()
+        codes, counts = ([np.frombuffer(x.as_buffer(), kind) for x in held.column(c)] for c, kind in (("codes", "<u4"), ("counts", "<u2")))
+        _, place = np.unique(np.concatenate(codes), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts))
+        level = np.where(total > 1, 1 + np.minimum(8 * np.log2(total), 254), 0).astype(np.uint8)[place]
+        return pa.table([held.column("unit"), held.column("slice"), pa.array([x.tobytes() for x in np.split(level, np.cumsum([len(c) for c in codes])[:-1])], pa.binary())], names=["unit", "slice", "levels"])
+
+    def prefix(unit: pa.Table, levels: pa.Table) -> pa.Table:
+        told = dict(zip(levels.column("slice").to_pylist(), levels.column("levels").to_pylist(), strict=True))
+        held = _Counted.of_rows(unit.column("key").to_pylist(), as_bytes(unit.column("text")), shared.value, slices)
+        level = np.zeros(len(held.distinct), np.uint8)
+        for s, at in held.slices():
+            level[at] = np.frombuffer(told[s], np.uint8)
+        place, owner, before, total = prefixes(held.shingles, level[held.place], least)
+        keys = pa.array(held.keys, pa.binary()).take(pa.array(owner))
+        return pa.table([pa.array(held.shingles.found[place].view(np.int64)), keys, pa.array(before), pa.array(total)], names=["shingle", "key", "before", "total"])
+
+    dealt = stored(texts.select("key", "text").mapInArrow(deal, "unit long, slice int, key binary, text string, codes binary, counts binary"))
+    levels = stored(dealt.where("slice is not null").select("unit", "slice", "codes", "counts").groupBy("slice").applyInArrow(add, "unit long, slice int, levels binary"))
+    units = dealt.where("slice is null").select("unit", "key", "text")
+    return stored(units.groupBy("unit").cogroup(levels.groupBy("unit")).applyInArrow(prefix, "shingle long, key binary, before double, total double"))
+
+
+def _alive(postings: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """The rows of `postings` (shingle, key, before, total) whose text may be similar to one of another root that has
+    the shingle in its prefix, stored, with the text's root and the likeliest partner of all: best.key, best.root."""
+    rows = _rooted(postings.select("shingle", "key", "before", "total"), roots)
+    best = F.min(F.struct((F.col("before") / F.col("total")).alias("share"), F.col("key"), F.col("root"), F.col("total"), F.col("before"))).alias("best")
+    shingles = rows.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.min("total").alias("low"), best).where("one != other").drop("one", "other")
+    # The least that both share, if they are similar, must fit into what the text has from the shingle on.
+    fits = F.col("total") - F.col("before") >= (F.col("total") + F.greatest("low", F.lit(least) * F.col("total"))) * (least / (1 + least)) - F.col("total") * 1e-9
+    return stored(rows.join(shingles, "shingle").where(fits))
+
+
+def _partners(alive: DataFrame, least: float) -> DataFrame:
+    """One pair (a, b) for each text whose likeliest partner, by the shingle with least before it, has another root."""
+    fits = F.least(F.col("total") - F.col("before"), F.col("best.total") - F.col("best.before")) >= (F.col("total") + F.col("best.total")) * (least / (1 + least)) - F.col("total") * 1e-9
+    first = alive.where((F.col("root") != F.col("best.root")) & fits).groupBy("key").agg(F.min(F.struct("before", F.col("best.key").alias("with"))).alias("first"))
+    return first.select(F.greatest("key", "first.with").alias("a"), F.least("key", "first.with").alias("b")).distinct()
+
+
 def _rooted(rows: DataFrame, roots: DataFrame, key: str = "key", root: str = "root") -> DataFrame:
     """`rows` with the root of `key`, which is the key itself unless `roots` (key, root) has it."""
     named = roots.select(F.col("key").alias(key), F.col("root").alias("__root"))
@@ -433,8 +554,25 @@ def links(docs: DataFrame, classes: DataFrame, weights: Weights, least: float =
         new = stored(_linked(pairs, texts, weights, least))
         if new.head(1):
             found, roots = found.unionAll(new), _contracted(roots, new)
-    # The two members of a bucket of two have met.
-    new = stored(_crossing(members.where("n > 2"), texts, roots, weights, least))
+    # The two members of a bucket of two have met. Of the others, those in buckets of several groups are left.
+    rows = stored(_rooted(members.where("n > 2"), roots).select("key", "band", "root"))
+    mixed_ = rows.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("band")
+    left = stored(rows.join(mixed_, "band").select("key").distinct())
+    if not left.head(1):
+        return found, roots
+    alive = _postings(spread(texts.join(small(left, BROADCAST_ROWS), "key")), weights, least)
+    for _ in range(PARTNERS):
+        alive = _alive(alive, roots, least)
+        pairs = stored(_partners(alive, least).join(seen, ["a", "b"], "left_anti"))
+        seen = seen.unionAll(pairs)
+        new = stored(_linked(pairs, texts, weights, least))
+        if not new.head(1):
+            break
+        found, roots = found.unionAll(new), _contracted(roots, new)
+    else:
+        alive = _alive(alive, roots, least)
+    left = stored(alive.select("key").distinct())
+    new = stored(_crossing(members.where("n > 2").join(small(left, BROADCAST_ROWS), "key"), texts, roots, weights, least))
     if new.head(1):
         found, roots = found.unionAll(new), _contracted(roots, new)
     return found, roots

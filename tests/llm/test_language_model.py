@@ -58,10 +58,21 @@ def codes_of(texts):
     return context_tree.gram_codes([t + context_tree.END for t in texts], [context_tree.END * context_tree.DEPTH] * len(texts))
 
 
-def tree_of(texts, least):
-    grams, counts = context_tree.tally(codes_of(texts)[0])
-    top = grams >> np.uint64(8 * (context_tree.DEPTH - 1))
-    return context_tree.ContextTree([row for t in np.unique(top) for row in context_tree.stops(grams[top == t], counts[top == t], least)], least)
+def model_of(texts):
+    """A function from grams to their log10 probabilities after training on the texts."""
+    grams, counts = np.unique(codes_of(texts)[0], return_counts=True) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def logs(codes):
+        every, seen = context_tree.tally(np.concatenate([grams, np.unique(codes)]), np.concatenate([counts, np.zeros(len(np.unique(codes)), np.int64)]))
+        top = context_tree.Top(*context_tree.top_sums(every, seen))
+        return context_tree.gram_logs(every, seen, top)[np.searchsorted(every, codes)]
+
+    return logs
+
+
+def score(model, texts):
+    codes, lengths = codes_of(texts)
+    return np.add.reduceat(model(codes), np.cumsum(lengths) - lengths)
 
 
 def test_tree_is_context_tree_weighting():
@@ -69,7 +80,7 @@ def test_tree_is_context_tree_weighting():
     r = random.Random(3)
     texts = ["".join(r.choice("aab ") for _ in range(12)).encode() for _ in range(6)]
     depth = context_tree.DEPTH
-    tree = tree_of(texts, 1)
+    model = model_of(texts)
     seen = weighted(texts, depth)
     contexts = {c for c, _, _ in seen}
 
@@ -85,7 +96,6 @@ def test_tree_is_context_tree_weighting():
     def log_weighted(c, node):
         if (c, node) not in cache:
             own = log_kt(c, node)
-            # the leaf for everything unseen below has no counts and adds nothing
             cache[c, node] = own if len(c) == depth else np.logaddexp(own, sum(log_weighted(x, node) for x in children(c))) - math.log(2)
         return cache[c, node]
 
@@ -94,12 +104,12 @@ def test_tree_is_context_tree_weighting():
         for d in range(depth + 1):
             c = context[:d]
             kt = (seen[c, node, "1"] + 0.5) / (seen[c, node, "0"] + seen[c, node, "1"] + 1)
-            if d == depth or c not in contexts:
-                return p + left * kt
+            if d == depth or not seen[context[: d + 1], node, "0"] + seen[context[: d + 1], node, "1"]:
+                return p + left * kt  # below what this decision has visited there is nothing to mix
             stop = math.exp(log_kt(c, node) - math.log(2) - log_weighted(c, node))
             p, left = p + left * stop * kt, left * (1 - stop)
 
-    for text in [texts[0], b"abba b", b"zq"]:
+    for text in [texts[0], b"abba b", b"zq", b""]:
         data, total = b"\xff" * depth + text + b"\xff", 0.0
         for i in range(depth, len(data)):
             node = 1
@@ -107,47 +117,74 @@ def test_tree_is_context_tree_weighting():
                 one = p_one(data[i - depth : i][::-1], node)
                 total += math.log10(one if bit == "1" else 1 - one)
                 node = node * 2 + int(bit)
-        assert tree.score(*codes_of([text]))[0] == pytest.approx(total, abs=1e-4)
+        assert score(model, [text])[0] == pytest.approx(total, rel=1e-9)
 
 
-def test_pruned_leaves_sum_to_one():
-    tree = tree_of([b"the cat and the dog and the cow", b"then there they them", b""], 2)
-    assert np.allclose((10.0 ** tree.logs.reshape(tree.leaves, -1)[:, tree.column].astype(float)).sum(1), 1, atol=1e-4)
+def test_probabilities_after_any_context_sum_to_one():
+    r = random.Random(5)
+    for texts in ([], [b"the cat and the dog and the cow", b"then there they them", b"", b"the"]):
+        model = model_of(texts)
+        for context in [b"\xff" * 6, b"ehT dn", b"eht dn", b"eht qq", b" eht n", *(bytes(r.choices(b"the andog", k=6)) for _ in range(20))]:
+            code = int.from_bytes(context, "big") << 8
+            assert (10.0 ** model(np.arange(256, dtype=np.uint64) + np.uint64(code))).sum() == pytest.approx(1, abs=1e-9)
 
 
 def test_probabilities_of_short_texts_sum_to_one():
     """Whatever bytes the texts hold, the end's included: all texts of one byte, and whatever goes on after each."""
-    tree = tree_of([b"ab", b"a", b"", b"b\x00"], 1)
-    logs = tree.score(*codes_of([context_tree.escaped(bytes([b])) for b in range(256)] + [b""]))
+    model = model_of([b"ab", b"a", b"", b"b\x00"])
+    logs = score(model, [context_tree.escaped(bytes([b])) for b in range(256)] + [b""])
     on = context_tree.gram_codes([context_tree.escaped(bytes([b])) for b in range(256)], [context_tree.END * context_tree.DEPTH] * 256)
     assert len({context_tree.escaped(bytes(x)) for x in ((254,), (255,), (254, 0), (254, 1))}) == 4
-    assert (10.0**logs).sum() < 1 and (10.0 ** tree.score(*on)).sum() + 10.0 ** logs[-1] <= 1 + 1e-5
-
-
-def test_contexts_are_those_of_the_highest_counts(spark, sf_dir):
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60)
-    packets = spark.createDataFrame(language_model.count_packets(texts).collect(), language_model._PACKET)
-    small, whole = language_model.fit_tree(packets, 300), language_model.fit_tree(packets, None)
-    lowered_texts = [b" ".join((r.text or "").encode().lower().split()) for r in texts.collect()]
-    counts = Counter()
-    for t in lowered_texts:
-        data = b"\xff" * 5 + t + b"\xff"
-        for i in range(5, len(data)):
-            counts.update(data[i - d : i] for d in range(2, 6))
-    least = next(2 ** (k / 4) for k in range(256) if sum(n >= 2 ** (k / 4) for n in counts.values()) <= 300)
-    firsts = Counter()
-    for c, n in counts.items():
-        if len(c) == 2:
-            firsts[c[1:]] += n
-    held = 1 + sum(n >= least for n in counts.values()) + sum(n >= least for n in firsts.values())
-    # A row of the table for each leaf and, beside each inner node, one for the rest below it.
-    assert small.leaves == held and whole.leaves > 20 * small.leaves
+    totals = np.add.reduceat(model(on[0]), np.cumsum(on[1]) - on[1])
+    assert (10.0**logs).sum() < 1 and (10.0**totals).sum() + 10.0 ** logs[-1] <= 1 + 1e-9
+
+
+def test_whole_packets_in_any_groups_give_the_same():
+    texts = [prose(k, 60).encode() for k in range(20)]
+    grams, counts = np.unique(codes_of(texts)[0], return_counts=True)
+    counts = counts * (grams % np.uint64(7) > 0)  # some are asked for only
+    whole = context_tree.Top(*context_tree.top_sums(grams, counts))
+    of = context_tree.packet_of(grams) % 5
+    total = np.zeros((1 << 16, 3))
+    for k in range(5):
+        at, sums = context_tree.top_sums(grams[of == k], counts[of == k])
+        total[at] += sums
+    parted = context_tree.Top(np.arange(1 << 16), total)
+    logs = context_tree.gram_logs(grams, counts, whole)
+    for k in range(5):
+        assert np.allclose(context_tree.gram_logs(grams[of == k], counts[of == k], parted), logs[of == k], atol=1e-9)
+
+
+def test_scores_do_not_depend_on_units_and_slices(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(80)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    whole = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
+    monkeypatch.setattr(language_model, "UNIT_BYTES", 10_000)
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 20_000)
+    monkeypatch.setattr(language_model, "HELD", 5_000)
+    parted = language_model.score_documents(docs.repartition(7)).collect()
+    assert len(parted) == len(whole)
+    for r in parted:
+        assert r[:5] == whole[r.doc_id][:5] and r.score == pytest.approx(whole[r.doc_id].score, rel=1e-6)
+    model = model_of([b" ".join(r.text.encode().lower().split()) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1])
+    for r in docs.collect()[:10]:
+        assert whole[r.doc_id].score == pytest.approx(score(model, [b" ".join(r.text.encode().lower().split())])[0], rel=1e-6)
+
+
+def test_more_text_teaches_more(spark):
+    """Held-out bits a byte fall as the training documents grow tenfold, and tenfold again."""
+    bits = []
+    for n in (20, 200, 2000):
+        docs = spark.createDataFrame([(k, prose(k, 40)) for k in range(n)], "doc_id long, text string")
+        held = [r.bits_per_byte for r in language_model.score_documents(docs).collect() if r.held_out]
+        bits.append(sum(held) / len(held))
+    assert bits[0] > 1.03 * bits[1] and bits[1] > bits[2]
 
 
 def test_long_texts_are_scored_in_pieces(spark):
     long = prose(8, 200_000)
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([long, long[:-1], "a b", long])], "doc_id long, text string")
-    rows = {r.doc_id: r for r in language_model.score_documents(docs, contexts=2_000).collect()}
+    rows = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
     assert rows[0].score == rows[3].score and rows[0].n_tokens == 200_001
     parts = [x for x in language_model._parts([long.encode()])]
     assert b"".join(b for x in parts for b in x[2]) == long.encode() + b"\xff" and len(parts) > 1

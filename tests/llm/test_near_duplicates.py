@@ -185,3 +185,52 @@ def test_clashing_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "u", "v", "w")], "doc_id long, text string, __key string, __of string, __id string")
     left = near_duplicates.keep_one(docs)
     assert left.schema == docs.schema and [tuple(r) for r in left.collect()] == [(1, "a b c d e f", "x", "y", "z")]
+
+
+def test_similar_texts_share_a_prefix_shingle_that_leaves_enough():
+    """For every pair of similar texts the first shingle both prefixes hold leaves each the weight the other needs."""
+    r, texts = random.Random(3), []
+    for seed in range(12):
+        base = prose(seed, r.randrange(8, 120))
+        texts += [base, *(edited(base, 50 * seed + k, r.choice((0.01, 0.03, 0.1))) for k in range(5)), base + " " + prose(seed + 70, r.randrange(1, 12))]
+    s = near_duplicates.shingles([t.encode() for t in texts], near_duplicates._Hashes(), near_duplicates.Weights())
+    common = Counter(s.found.tolist())
+    level = np.array([0 if common[f] == 1 else min(255, 1 + int(8 * math.log2(common[f]))) for f in s.found.tolist()], np.uint8)
+    place, owner, before, total = near_duplicates.prefixes(s, level, 0.8)
+    held = [{} for _ in texts]
+    for p, o, b in zip(place.tolist(), owner.tolist(), before.tolist(), strict=True):
+        held[o][int(s.found[p])] = b
+    ends, weight, near = s.number.cumsum(), s.weight, 0
+    sides = [(s.found[e - n : e], weight[e - n : e]) for e, n in zip(ends, s.number, strict=True)]
+    sides = [(f[np.argsort(f)], w[np.argsort(f)]) for f, w in sides]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if near_duplicates.similarity(sides[i], sides[j]) >= 0.8:
+            near += 1
+            first = min(held[i].keys() & held[j].keys(), key=lambda f: held[i][f])
+            wi, wj = sides[i][1].sum(), sides[j][1].sum()
+            assert all(w - held[k][first] >= 0.8 / 1.8 * (wi + wj) - 1e-9 for k, w in ((i, wi), (j, wj)))
+    assert near > 25
+
+
+def test_boilerplate_is_not_compared(spark, monkeypatch):
+    """Texts of 200 shared and 80 own words fill common buckets; none of them meets all others of its bucket."""
+    shared = prose(4, 200)
+    met = {}
+
+    def crossing(members, texts, roots, weights, least):
+        met["members"] = members.select("key").distinct().count()
+        return spark.createDataFrame([], "a binary, b binary")
+
+    def partners(alive, least):
+        pairs = real(alive, least)
+        met["pairs"] = met.get("pairs", 0) + pairs.count()
+        return pairs
+
+    real = near_duplicates._partners
+    monkeypatch.setattr(near_duplicates, "_crossing", crossing)
+    monkeypatch.setattr(near_duplicates, "_partners", partners)
+    for n in (300, 1200):
+        met.clear()
+        docs = spark.createDataFrame([(k, f"{shared} {prose(10_000 + k, 80)}") for k in range(n)], "doc_id long, text string")
+        assert len({r.class_id for r in near_duplicates.group_documents(docs).collect()}) == n
+        assert met == {"members": 0, "pairs": 0}
