@@ -7,14 +7,15 @@ before in the same one, is a repeat, and all words that repeats cover go.
 Documents are dealt into units of about `UNIT_BYTES` of text. What a window's hash says deals it to one of the
 sketch's slices, whose number grows with the corpus, so no part of the sketch does.
 
-First pass: each unit sends each slice its sketch, in sparse form (the codes of its distinct windows, four bytes
-each). A slice merges all units' sketches into a count-min table of saturating counters and tells each unit, by a bit a
-window, which of its windows the table estimates to be in several units. An estimate is the least of several counters,
-each at least the true number, so no repeat is lost; and windows that come twice in one unit need no estimate.
-
-Second pass: units send only the windows estimated as repeated, with a hash of 128 bits and the place where each
-starts first in the unit. The slice finds the first place of all exactly and tells each unit, by a bit again, whether
-that is its own. A window that comes in every unit is one entry of each unit, however often it comes there.
+First pass: each unit sends each slice its sketch, in sparse form (the codes of its distinct windows, 32 bits each, as
+differences). A slice merges all units' sketches into a count-min table of saturating counters and tells each unit, by
+a bit a window, which of its windows the table estimates to be in several units. An estimate is the least of several
+counters, each at least the true number, so no repeat is lost; and windows that come twice in one unit need none.
+
+Second pass: units send only the windows estimated as repeated, with 96 bits of hash besides those that chose the
+slice, and the place where each starts first in the unit. The slice finds the first place of all exactly and tells each
+unit, by a bit again, whether that is its own. A window that comes in every unit is one entry of each unit, however
+often it comes there.
 """
 
 from __future__ import annotations
@@ -108,12 +109,16 @@ class Unit(NamedTuple):
         first = by[new]
         return Unit(order, doc_ids[order], n_words, rank, start, word, kind, first, low[first], high[first])
 
+    @property
+    def codes(self) -> np.ndarray:
+        return (self.low & np.uint64(0xFFFFFFFF)).astype("<u4")
+
     def slices(self, number: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each slice of the sketch with windows, and those among the distinct ones, in the order of their places."""
+        """Each slice of the sketch with windows, and those among the distinct ones, in the order of their codes."""
         of = ((self.high >> np.uint64(32)) % np.uint64(number)).astype(np.int64)
-        by = np.lexsort((self.first, of))
+        by = np.lexsort((self.first, self.codes, of))
         begins = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]][: len(by)])
-        for a, b in zip(begins.tolist(), np.r_[begins[1:], len(by)].tolist(), strict=True):
+        for a, b in zip(begins.tolist(), np.r_[begins[1:], len(by)][: len(begins)].tolist(), strict=True):
             yield int(of[by[a]]), by[a:b]
 
 
@@ -122,6 +127,16 @@ def _unit(held: pa.Table, size: int) -> Unit:
     return Unit.of(as_bytes(held.column("text")), ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64), size)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit values as differences, first all lowest bytes, then all second ones and so on: small ones compress well."""
+    return np.diff(values, prepend=values.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(held: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(held.as_buffer(), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)
+
+
 def _cells(codes: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mixed(codes.astype(np.uint64) + np.uint64((row + 1) << 40)) % np.uint64(cells)).astype(np.int64)
 
@@ -149,18 +164,18 @@ def _bits(held: pa.Table, step: int, bits: list[np.ndarray]) -> pa.Table:
 def _merge(held: pa.Table) -> pa.Table:
     """First pass: the sketches of a slice."""
     held = held.combine_chunks()
-    return _bits(held, 1, estimates([np.frombuffer(x.as_buffer(), np.uint32) for x in held.column("codes")]))
+    return _bits(held, 1, estimates([unpacked(x) for x in held.column("codes")]))
 
 
 def _earliest(held: pa.Table) -> pa.Table:
     """Second pass: whether each window of each unit starts first there, among all units of a slice."""
     held = held.combine_chunks()
     number = [len(x.as_buffer()) // 8 for x in held.column("low")]
-    low, high, doc = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in held.column(c)]) for c, kind in (("low", np.uint64), ("high", np.uint64), ("docs", np.int64)))
-    start = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in held.column("starts")]).astype(np.int64)
+    low, high, doc = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in held.column(c)]) for c, kind in (("low", "<u8"), ("high", "<u4"), ("docs", "<i8")))
+    start = np.concatenate([unpacked(x) for x in held.column("starts")]).astype(np.int64)
     by = np.argsort(low, kind="stable")
     same = low[by][1:] == low[by][:-1]
-    if (same & (high[by][1:] != high[by][:-1])).any():
+    if (same & (high[by][1:] != high[by][:-1])).any():  # hardly ever
         by = np.lexsort((high, low))
         same = (low[by][1:] == low[by][:-1]) & (high[by][1:] == high[by][:-1])
     begins = np.flatnonzero(np.r_[True, ~same])
@@ -198,7 +213,8 @@ def keep_first(docs: DataFrame, size: int = SIZE, unit_bytes: int = UNIT_BYTES,
     A null text has no words, a text of fewer than `size` no windows. A null doc_id comes after all others. Rows of
     the same doc_id stand at the same place, so none of them is earlier than another by its row: windows that start at
     the same word of both are not repeats of one another. Other columns aren't read, an empty table gives no rows.
-    Windows are taken for equal if 128 bits of two independent hashes over their words are.
+    Windows are taken for equal if 96 bits of two independent hashes over their words are, among
+    the windows of one slice.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -210,20 +226,26 @@ def keep_first(docs: DataFrame, size: int = SIZE, unit_bytes: int = UNIT_BYTES,
             unit = _unit(pa.Table.from_batches([chunk]), size)
             n = chunk.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), chunk.column("doc_id"), chunk.column("text"), pa.nulls(n, pa.binary())], names=["unit", "slice", "doc_id", "text", "codes"])
-            rows = [(s, (unit.low[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()) for s, at in unit.slices(slices)]
+            codes = unit.codes
+            rows = [(s, packed(codes[at])) for s, at in unit.slices(slices)]
             n = len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array([r[0] for r in rows], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["unit", "slice", "doc_id", "text", "codes"])
             number += 1
 
+    def several(windows: Unit, told: dict[tuple[int, int], bytes], s: int, at: np.ndarray) -> np.ndarray:
+        """Those of a slice's windows that are estimated to be in several units, by their places."""
+        at = at[_marked(told, (s, 1), len(at))]
+        return at[np.argsort(windows.first[at])]
+
     def repeated(unit: pa.Table, bits: pa.Table) -> pa.Table:
         told, rows = _told(bits), []
         number = unit.column("unit")[0].as_py()
         windows = _unit(unit, size)
         for s, at in windows.slices(slices):
-            at = at[_marked(told, (s, 1), len(at))]
+            at = several(windows, told, s, at)
             if len(at):
                 first = windows.first[at]
-                rows.append((number, s, windows.low[at].tobytes(), windows.high[at].tobytes(), windows.doc_ids[windows.rank[first]].tobytes(), windows.start[first].astype(np.uint32).tobytes()))
+                rows.append((number, s, windows.low[at].tobytes(), windows.high[at].astype("<u4").tobytes(), windows.doc_ids[windows.rank[first]].tobytes(), packed(windows.start[first].astype(np.uint32))))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["unit", "slice", "low", "high", "docs", "starts"])
@@ -232,7 +254,7 @@ def keep_first(docs: DataFrame, size: int = SIZE, unit_bytes: int = UNIT_BYTES,
         told, windows = _told(bits), _unit(unit, size)
         mine = np.ones(len(windows.first), bool)  # whether the unit's first occurrence is the first of all
         for s, at in windows.slices(slices):
-            at = at[_marked(told, (s, 1), len(at))]
+            at = several(windows, told, s, at)
             mine[at] = _marked(told, (s, 2), len(at))
         first = windows.first[windows.kind]
         stays = mine[windows.kind] & (windows.start == windows.start[first]) & (windows.doc_ids[windows.rank] == windows.doc_ids[windows.rank[first]])
