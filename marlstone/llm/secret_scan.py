@@ -6,7 +6,14 @@ merged into a probabilistic automaton (after Carrasco and Oncina). Only states o
 `LAYERS` characters, so the automaton keeps lengths and what stands where; deeper ones may be merged into loops.
 Ordinary long tokens, sampled likewise and merged at any depth, give the automaton of what isn't a secret. Every candidate token of every text
 that doesn't lie within a base match is then scored by the log-likelihood ratio of the best credential automaton
-against the ordinary one; those far above become spans of kind `format`.
+against what an ordinary token may be; those far above become spans of kind `format`.
+
+An ordinary token may be of a shape that stands in none of the examples. So the ordinary automaton is one of three
+models, each with a third of the prior: the others are open to any token. `run_score` takes characters in runs of
+digits, small letters, capitals and marks, so long numbers cost little. `group_score` takes three groups or more between
+marks, each of an alphabet of its own, so dates, times, telephone numbers, ISBNs, paths and UUIDs cost little. A token
+drawn from such a model has a ratio of t or more with a probability of exp(-t) at most for each automaton of
+credentials; the least ratio follows from that and from the stated rate of false alarms.
 """
 
 from __future__ import annotations
@@ -34,9 +41,18 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Values of each kind to learn from, and their characters together, about; merge confidence; depth up to which states
-#: are told apart; observations that the kind's characters as a whole weigh in each state; nats a whole token and a
-#: character of it must have over the ordinary automaton.
-SAMPLE, SAMPLE_CHARS, ALPHA, LAYERS, PRIOR, LEAST_NATS, LEAST_RATE = 300, 1 << 16, 0.05, 64, 4.0, 20.0, 0.75
+#: are told apart; observations that the kind's characters as a whole weigh in each state; the share of ordinary tokens
+#: that may be flagged if the models of them hold; nats a character must have over them.
+SAMPLE, SAMPLE_CHARS, ALPHA, LAYERS, PRIOR, FALSE_ALARMS, LEAST_RATE = 300, 1 << 16, 0.05, 64, 4.0, 1e-5, 0.5
+#: Values of one length that are learnt apart from a kind's others.
+FORMAT = 30
+#: Models of ordinary tokens: the automaton and the two that are open to any token.
+ORDINARY_MODELS = 3
+#: Of the open models: the probability that a run goes on; the mean length of a token.
+STAY, MEAN_LENGTH = 0.995, 24
+_MARKS = re.compile(r"[+/_.=-]")
+#: Alphabets of a group, the smallest first.
+_GROUPS = [(re.compile(f"[{letters}]*"), size) for letters, size in (("0-9", 10), ("0-9a-f", 16), ("0-9A-F", 16), ("a-z", 26), ("A-Z", 26), ("A-Za-z0-9", 62))]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -167,11 +183,54 @@ class Automaton:
         return total + self.end[state]
 
 
+def _runs() -> tuple[np.ndarray, np.ndarray]:
+    """Class and log of the size of that class, for each ASCII code."""
+    kind, size = np.full(128, 3), np.full(128, np.log(6))
+    for k, (letters, n) in enumerate((("0123456789", 10), ("abcdefghijklmnopqrstuvwxyz", 26), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26))):
+        for c in letters:
+            kind[ord(c)], size[ord(c)] = k, np.log(n)
+    return kind, size
+
+
+_KIND, _SIZE = _runs()
+
+
+def run_score(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Log probability of tokens (rows of ASCII codes, padded with zeros) as runs of characters of four classes."""
+    inside = np.arange(tokens.shape[1]) < lengths[:, None]
+    kind = _KIND[tokens]
+    stays = (kind[:, 1:] == kind[:, :-1]) & inside[:, 1:]
+    moves = (kind[:, 1:] != kind[:, :-1]) & inside[:, 1:]
+    steps = stays.sum(1) * np.log(STAY) + moves.sum(1) * np.log((1 - STAY) / 3)
+    return steps - np.where(inside, _SIZE[tokens], 0.0).sum(1) - np.log(4) + (lengths - 1) * np.log(1 - 1 / MEAN_LENGTH) - np.log(MEAN_LENGTH)
+
+
+def group_score(token: str) -> float:
+    """Log probability of a token as groups between marks; none of fewer than three groups, or with an empty one."""
+    groups = _MARKS.split(token)
+    if len(groups) < 3 or not all(groups):
+        return -np.inf
+    total = -np.log(4) * len(groups) - np.log(6) * (len(groups) - 1)
+    for group in groups:
+        size = next(size for letters, size in _GROUPS if letters.fullmatch(group))
+        total -= np.log(len(_GROUPS)) + np.log(16) + max(0, len(group) - 16) * np.log(2) + len(group) * np.log(size)
+    return total
+
+
+def _formats(words: list[str]) -> list[list[str]]:
+    of_length: dict[int, list[str]] = {}
+    for w in words:
+        of_length.setdefault(len(w), []).append(w)
+    rest = [w for some in of_length.values() if len(some) < FORMAT for w in some]
+    return [some for _, some in sorted(of_length.items()) if len(some) >= FORMAT] + ([rest] if rest else [])
+
+
 class Model:
-    """One automaton for each kind with examples, and the ordinary one; without examples nothing is found."""
+    """Automata for each kind with examples, and the ordinary one; without examples nothing is found. Values of one kind
+    and length are a format, with an automaton of its own, if there are at least FORMAT of them; the rest share one."""
 
     def __init__(self, examples: dict[int, list[str]]):
-        self.secret = [Automaton(words) for kind, words in sorted(examples.items()) if kind < 3 and words]
+        self.secret = [Automaton(words) for kind, of_kind in sorted(examples.items()) if kind < 3 for words in _formats(of_kind)]
         labelled = {v for kind, words in examples.items() if kind < 3 for v in words}
         # Ordinary tokens have no common layout: their states may all be merged, so no single one is learnt by heart.
         self.ordinary = Automaton([v for v in examples.get(3, []) if v not in labelled], 0)
@@ -182,16 +241,22 @@ class Model:
             return np.zeros(len(tokens), bool)
         lengths = np.array([len(t) for t in tokens])
         order = np.argsort(-lengths, kind="stable")
-        ratio = np.empty(len(tokens))
+        secret, ordinary = np.empty(len(tokens)), np.empty(len(tokens))
         start = 0
         while start < len(order):  # blocks of a bounded area
             stop = start + max(1, 4_000_000 // int(lengths[order[start]]))
             rows, wide = order[start:stop], int(lengths[order[start]])
             codes = np.frombuffer("".join(tokens[k].ljust(wide, "\x00") for k in rows.tolist()).encode("ascii"), np.uint8).reshape(-1, wide)
             own = lengths[rows]
-            ratio[rows] = np.max([a.score(codes, own) for a in self.secret], axis=0) - self.ordinary.score(codes, own)
+            secret[rows] = np.max([a.score(codes, own) for a in self.secret], axis=0)
+            ordinary[rows] = np.maximum(self.ordinary.score(codes, own), run_score(codes, own))
             start = stop
-        return (ratio >= LEAST_NATS) & (ratio >= LEAST_RATE * lengths)
+        # The least ratio, beside what the choices among automata and among models of ordinary tokens are worth.
+        over = np.maximum(np.log(len(self.secret) * ORDINARY_MODELS / FALSE_ALARMS), LEAST_RATE * lengths)
+        likely = secret - ordinary >= over
+        for k in np.flatnonzero(likely).tolist():
+            likely[k] = secret[k] - group_score(tokens[k]) >= over[k]
+        return likely
 
 
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:

@@ -1,8 +1,11 @@
 import hashlib
+import itertools
+import math
 import random
 import re
 
 import numpy as np
+import pytest
 from texts import prose
 
 from marlstone.llm import secret_scan
@@ -105,12 +108,101 @@ def test_held_out_kinds():
     r = random.Random(4)
     draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
     digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    ordinary = [w for k in range(60) for w in (prose(k, 1) + prose(k + 99, 1) + "-" + prose(k + 7, 2).replace(" ", "-"), f"section-{k}-of-the-{prose(k, 1)}", f"{draw(digits, 4)}-{draw(digits, 2)}-{draw(digits, 2)}T00")]
+    ordinary = [w for k in range(60) for w in (prose(k, 1) + prose(k + 99, 1) + "-" + prose(k + 7, 2).replace(" ", "-"), f"section-{k}-of-the-{prose(k, 1)}")]
     model = secret_scan.Model({0: [draw(digits + "abcdef", 32) for _ in range(200)] + [draw(digits + upper, 24) for _ in range(100)], 3: ordinary[::2]})
-    hexes, keys = [draw(digits + "abcdef", 32) for _ in range(200)], ["AKIA" + draw(digits + upper, 20) for _ in range(200)]
+    hexes, keys = [draw(digits + "abcdef", 32) for _ in range(200)], [draw(digits + upper, 24) for _ in range(200)]
     assert model.likely(hexes).mean() > 0.98 and model.likely(keys).mean() > 0.9 and not model.likely(ordinary[1::2]).any()
 
 
+def made(kind, r):
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    digits, hexed = "0123456789", "0123456789abcdef"
+    shapes = {
+        "timestamp": lambda: f"20{draw(digits, 2)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}T{r.randrange(24):02d}",
+        "12 digits": lambda: draw(digits, 12),
+        "15 digits": lambda: draw(digits, 15),
+        "telephone": lambda: f"+{draw(digits, 2)}-{draw(digits, 3)}-{draw(digits, 7)}",
+        "isbn": lambda: f"978-{draw(digits, 1)}-{draw(digits, 2)}-{draw(digits, 6)}-{draw(digits, 1)}",
+        "grouped number": lambda: f"{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 4)}-{draw(digits, 4)}",
+        "path": lambda: f"docs/20{draw(digits, 2)}/{draw(digits, 2)}/{draw(digits, 2)}/report",
+        "uuid": lambda: "-".join(draw(hexed, n) for n in (8, 4, 4, 4, 12)),
+    }
+    return shapes[kind]()
+
+
+SHAPES = ("timestamp", "12 digits", "15 digits", "telephone", "isbn", "grouped number", "path", "uuid")
+
+
+@pytest.mark.parametrize("kind", SHAPES)
+def test_ordinary_shapes_that_no_example_has_are_left_alone(kind):
+    """Under 1 in 100 of each shape, where the ordinary examples are words only and the labelled values hexadecimal."""
+    r = random.Random(kind)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    words = [prose(k, 1) + "-" + prose(k + 99, 1) + prose(k + 7, 1) for k in range(200)]
+    labelled = [draw("0123456789abcdef", n) for n in (16, 32, 40) for _ in range(100)]
+    model = secret_scan.Model({0: labelled[::2], 2: labelled[1::2], 3: words})
+    assert model.likely([made(kind, r) for _ in range(1000)]).mean() < 0.01
+    assert model.likely([draw("0123456789abcdef", n) for n in (32, 40) for _ in range(200)]).mean() > 0.98
+
+
+def test_a_shape_that_labels_show_is_found():
+    r = random.Random(6)
+    model = secret_scan.Model({0: [made("uuid", r) for _ in range(300)], 3: [prose(k, 2).replace(" ", "-") + "-page" for k in range(200)]})
+    assert model.likely([made("uuid", r) for _ in range(300)]).mean() > 0.9
+
+
+def test_pipeline_texts_keep_ordinary_tokens(spark):
+    r = random.Random(11)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(k, f"{prose(k, 20)} token={hexed(40)} {prose(k + 1, 20)}") for k in range(150)]
+    plain = [(1000 + k, f"{prose(k, 5)} {made(kind, r)} {prose(k, 5)}") for k, kind in enumerate(SHAPES * 4) if kind != "grouped number"]
+    left = {d.doc_id: d.text for d in secret_scan.redact(spark.createDataFrame(rows + plain, "doc_id long, text string")).collect()}
+    assert all(left[k] == t for k, t in plain) and all("[secret]" in left[k] for k, _ in rows)
+
+
+def test_scores_equal_plain_recursion():
+    """The automata's, the runs' and the groups' probabilities, and the decision, a character at a time."""
+    r = random.Random(12)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    model = secret_scan.Model({0: [draw("0123456789abcdef", 32) for _ in range(80)], 2: [draw("0123456789ABCDEF", 20) for _ in range(80)], 3: [prose(k, 2).replace(" ", "-") for k in range(80)]})
+    classes = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_.=-"]
+
+    def by_automaton(a, word):
+        state, total = 0, 0.0
+        for c in word:
+            total += a.log[state, ord(c)]
+            state = a.go[state, ord(c)]
+        return total + a.end[state]
+
+    def by_runs(word):
+        kinds = [next(k for k, letters in enumerate(classes) if c in letters) for c in word]
+        total = math.log(1 / 4) - sum(math.log(len(classes[k])) for k in kinds)
+        total += sum(math.log(0.995 if a == b else 0.005 / 3) for a, b in zip(kinds, kinds[1:], strict=False))
+        return total + (len(word) - 1) * math.log(23 / 24) - math.log(24)
+
+    def by_groups(word):
+        parts = re.split(r"[+/_.=-]", word)
+        if len(parts) < 3 or "" in parts:
+            return -math.inf
+        sizes = [next(n for letters, n in (("0123456789", 10), ("0123456789abcdef", 16), ("0123456789ABCDEF", 16), (classes[1], 26), (classes[2], 26), ("".join(classes[:3]), 62)) if set(p) <= set(letters)) for p in parts]
+        return sum(math.log(1 / 4 / 6 / 16) - len(p) * math.log(n) - max(0, len(p) - 16) * math.log(2) for p, n in zip(parts, sizes, strict=True)) + (len(parts) - 1) * math.log(1 / 6)
+
+    words = [draw("0123456789abcdef", 32) for _ in range(20)] + [draw("0123456789ABCDEF", n) for n in (12, 20, 21) for _ in range(10)] + [made(k, r) for k in SHAPES for _ in range(4)] + [prose(k, 2).replace(" ", "_") for k in range(20)]
+    wanted = []
+    for w in words:
+        secret, ordinary = max(by_automaton(a, w) for a in model.secret), max(by_automaton(model.ordinary, w), by_runs(w), by_groups(w))
+        wanted.append(secret - ordinary >= max(math.log(len(model.secret) * 3 / 1e-5), 0.5 * len(w)))
+        assert secret_scan.group_score(w) == pytest.approx(by_groups(w))
+    assert model.likely(words).tolist() == wanted and 0 < sum(wanted) < len(words)
+
+
+def test_runs_are_a_distribution():
+    letters = [ord(c) for c in secret_scan._ALPHABET]
+    for n in (1, 2):
+        tokens = np.array(list(itertools.product(letters, repeat=n)), np.uint8)
+        assert np.exp(secret_scan.run_score(tokens, np.full(len(tokens), n))).sum() == pytest.approx((23 / 24) ** (n - 1) / 24)
+
+
 def test_edges(spark, edge_docs, no_docs):
     assert secret_scan.scan(edge_docs).count() == edge_docs.count()
     assert secret_scan.scan(no_docs).count() == 0
