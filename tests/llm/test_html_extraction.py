@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from texts import prose
@@ -80,7 +81,7 @@ def test_rare_paths_are_not_gathered_and_stay_in_the_text(spark):
     wanted = {k: "\n\n".join([prose(k, 30), prose(k + 500, 20), f"Picture {k}", *(["Prices fell"] if k == 7 else [])]) for k in range(200)}
     assert extracted(spark, rows) == wanted
     parsed = html_extraction.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    template = html_extraction.host_templates(parsed).collect()
+    template = html_extraction.host_templates(html_extraction.with_groups(parsed)).collect()
     assert len(template) == 1 and len(template[0].template) < 12
 
 
@@ -95,3 +96,63 @@ def test_edges(spark):
     assert len(found) == 8 and found[1] == found[2] == "" and found[4] == "cut off" and found[5] == "cut"
     assert found[7] == "\n\n".join(["word"] * 20_000) and found[None] == "just text"
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_prose_under_telling_class_words_stays(spark):
+    """A class that only holds a word of menus and the like, and noscript, go if they repeat or are links, not else."""
+    page = """<html><body><nav>menu</nav><article><p>{a}</p><div class='related-work'><p>{b}</p></div><div class='social-history'><h3>Past</h3><p>{c}</p></div><noscript><p>{d}</p></noscript>
+<div class='share-us-now'><p>Tell all your friends about this</p></div><div class='related-reading'><p><a href='/{k}'>another story {k}</a></p></div><noscript>Please switch it on</noscript><div class='related-posts'><p>{e}</p></div></article></body></html>"""
+    part = lambda k, n: prose(100 * k + n, 25)
+    rows = [(k, f"https://x.example/{k}", page.format(k=k, **{x: part(k, n) for n, x in enumerate("abcde")})) for k in range(5)]
+    assert extracted(spark, rows) == {k: "\n\n".join([part(k, 0), part(k, 1), "Past", part(k, 2), part(k, 3), "Please switch it on"]) for k in range(5)}
+    fixed = [(k, u, h.replace(f"<noscript><p>{part(k, 3)}</p></noscript>", "")) for k, u, h in rows]
+    assert extracted(spark, fixed) == {k: "\n\n".join([part(k, 0), part(k, 1), "Past", part(k, 2)]) for k in range(5)}
+
+
+def test_headers_outside_an_article_go(spark):
+    for page, own in (
+        ("<html><body><header><h1>My Site</h1></header><p>{}</p><p>{}</p></body></html>", False),
+        ("<html><body><div class='page'><header><h1>My Site</h1></header><p>{}</p><p>{}</p></div></body></html>", False),
+        ("<html><body><div class='page'><header><h1>Own {n}</h1></header><p>{}</p><p>{}</p></div></body></html>", True),
+        ("<html><body><header>My Site</header><article><header><h1>Own {n}</h1></header><p>{}</p><p>{}</p></article></body></html>", True),
+    ):
+        rows = [(k, f"https://x.example/{k}", page.format(prose(k, 30), prose(k + 50, 30), n=k)) for k in range(6)]
+        assert extracted(spark, rows) == {k: "\n\n".join([*([f"Own {k}"] if own else []), prose(k, 30), prose(k + 50, 30)]) for k in range(6)}
+
+
+def test_each_layout_of_a_host_has_its_own_template(spark):
+    """A layout on one page in a hundred: its story stands where the other layout has its fixed words, and vice versa."""
+    fixed = "The same long words stand here on each and every page of this host, always and at all times."
+    usual = "<html><body><div class='u'><div class='pa'><p>{fixed}</p></div><div class='pb'><p>{text}</p></div></div></body></html>"
+    other = "<html><body><div class='v'><div class='pc'><p>{text}</p></div><div class='pd'><p>{fixed}</p><p>{fixed} Really, {fixed}</p></div></div></body></html>"
+    rows = [(k, f"https://x.example/{k}", (other if k % 100 == 3 else usual).format(fixed=fixed, text=prose(k, 12))) for k in range(600)]
+    assert extracted(spark, rows) == {k: prose(k, 12) for k in range(600)}
+
+
+def test_template_equals_that_of_plain_vectors(spark):
+    """Occurrence vectors, their classes and the valid ones, recomputed from every page's parse."""
+    r = random.Random(4)
+    for trial in range(3):
+        parts = ["<div class='a'><p>x{k}</p></div>", "<ul><li>one</li><li>two</li></ul>", "<div class='b'><section><p>y</p><p>z{k}</p></section></div>", "<table><tr><td>{k}</td></tr></table>", "<h2>t</h2>"]
+        rows = [(k, "https://x.example/", "<html><body><div class='w'>" + "".join(r.choice(parts).format(k=k) for _ in range(r.randrange(1, 6))) + "<p>end</p></div></body></html>") for k in range(9)]
+        pages = [html_extraction.parse(h) for _, _, h in rows]
+        vectors, above, depth = {}, {}, {0: 0}
+        for n, page in enumerate(pages):
+            for k, i in enumerate(page.ids):
+                vectors.setdefault(i, [0] * 9)[n] = page.counts[k]
+                if k:
+                    above[i] = page.ids[page.above[k]]
+                    depth[i] = depth[above[i]] + 1
+        kept = {i: tuple(v) for i, v in vectors.items() if i and sum(n > 0 for n in v) > 1}
+        classes = {}
+        for i, v in kept.items():
+            classes.setdefault(v, []).append(i)
+        valid = {0}
+        for v, members in sorted(classes.items(), key=lambda c: (-sum(n > 0 for n in c[0]), min(depth[i] for i in c[1]))):
+            if 2 * sum(n > 0 for n in v) > 9 or len(members) > 1:
+                for i in sorted(members, key=depth.get):
+                    if above[i] in valid:
+                        valid.add(i)
+        parsed = html_extraction.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+        found = html_extraction.host_templates(html_extraction.with_groups(parsed, 10)).collect()
+        assert len(found) == 1 and set(found[0].template) == valid
