@@ -8,9 +8,10 @@ of a long one, and few enough of them to outlive an edit; hashed under one subse
 last third is replaced has hardly an equal part (see the README). Equal texts have equal parts; the likeness of two
 fingerprints is the share of equal parts.
 
-Document frequencies are counted by term. The terms in the band, at most 1 / BAND[0] times the mean number of distinct
-words of a document, are marked in a bitmap of `BITS` bits, no matter how large the corpus; a word outside the band
-whose bit is marked is taken for a term.
+Document frequencies are counted by term, exactly. The terms in the band, at most 1 / BAND[0] times the mean number of
+distinct words of a document however large the corpus, are laid out in a table that is a constant of the plan: each
+term stands at one of two places that its ranks under two more lexicons choose, so two looks tell whether a word is a
+term, and no other word is taken for one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import Window as W
 
 from marlstone.llm.common import set_aside, stored
 
-PARTS, BITS = 16, 1 << 21
+PARTS = 16
+#: Places of each half of the table for each term in it.
+ROOM = 1.2
 #: Shares of all documents between which a term's document frequency must lie.
 BAND = (2.0**-11, 2.0**-4)
 #: Ranks are residues of this prime.
@@ -40,25 +43,50 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_distinct(F.array_remove(words, "")), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 13), 16, 10).cast("long"))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(term, F.lit(BITS))
+def _rank(term: Column, k: int) -> Column:
+    first, second = _factors(k)
+    return (term % PRIME * first + second) % PRIME
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
-    """The band as a constant: an array of BITS / 64 longs whose bits are those of the terms in it."""
+def table_of(terms: list[int], number: int = PARTS) -> list[int]:
+    """Two halves, each with a place that a term's rank under lexicon `number`, or the next one, chooses; -1 is free.
+    A term goes to its place in the first half and moves who stands there to the other half, and so on."""
+    half, order = int(len(terms) * ROOM) + 1, sorted(terms)
+    while True:
+        table = [-1] * (2 * half)
+        for term in order:
+            side, moves = 0, 0
+            while term >= 0 and moves < 500:
+                first, second = _factors(number + side)
+                place = side * half + (term % PRIME * first + second) % PRIME % half
+                table[place], term = term, table[place]
+                side, moves = 1 - side, moves + 1
+            if term >= 0:  # in a circle: with other places all of them find one
+                half += half // 8 + 1
+                break
+        else:
+            return table
+
+
+class Lexicon:
+    """The band's terms as a constant of the plan."""
+
+    def __init__(self, terms: list[int]):
+        table = table_of(terms)
+        self.half = len(table) // 2
+        self.table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+    def has(self, term: Column) -> Column:
+        places = (_rank(term, PARTS + side) % self.half + side * self.half + 1 for side in (0, 1))
+        one, other = (F.element_at(self.table, p.cast("int")) == term for p in places)
+        return one | other
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Lexicon:
     total = docs.count()
     terms = docs.select(F.explode(word_hashes(F.coalesce("text", F.lit("")))).alias("term"))
     inside = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(band[0] * total, band[1] * total))
-    places = inside.select(_bucket(F.col("term")).alias("bucket"))
-    bits = F.expr("shiftleft(1L, cast(bucket % 64 as int))")
-    words = places.groupBy(F.expr("bucket div 64").alias("word")).agg(F.bit_or(bits).alias("bits"))
-    held = {r["word"]: r["bits"] for r in words.toLocalIterator()}
-    return F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(BITS // 64))), ",").cast("array<bigint>")
-
-
-def _in_band(term: Column, band: Column) -> Column:
-    word = F.element_at(band, (F.shiftright(_bucket(term), 6) + 1).cast("int"))
-    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (term.bitwiseAND(F.lit(63))).cast("int"))) != 0
+    return Lexicon([r.term for r in inside.select("term").toLocalIterator()])
 
 
 def parts(hashes: Column, number: int = PARTS) -> Column:
@@ -86,12 +114,12 @@ def _shown(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda p: F.lower(F.lpad(F.hex(p.cast("long") + F.lit(1 << 31)), 8, "0"))), "-")
 
 
-def with_parts(df: DataFrame, band: Column, text: str, name: str) -> DataFrame:
+def with_parts(df: DataFrame, band: Lexicon, text: str, name: str) -> DataFrame:
     """Adds the fingerprint's parts of column `text` as `name`. A text without terms in the band uses all its words."""
     words, kept = f"{name}_words", f"{name}_kept"
     return (
         df.withColumn(words, word_hashes(F.col(text)))
-        .withColumn(kept, F.filter(words, lambda t: _in_band(t, band)))
+        .withColumn(kept, F.filter(words, band.has))
         .withColumn(name, parts(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(words))))
         .drop(words, kept)
     )
@@ -129,7 +157,7 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     aren't read. Each text is shuffled once, and a third of it once more.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    band_bits, links = lexicon(docs, band), stored(successors(docs))
+    terms, links = lexicon(docs, band), stored(successors(docs))
     chosen = F.xxhash64("text")
     owners = links.select(F.col("doc_id").alias("owner"), "need", F.col("next_id").alias("__next"))
     heads = (
@@ -141,7 +169,7 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("following.head").substr(F.lit(1), cut))
     rows = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", edited.alias("edited"), chosen.alias("chosen"))
-    rows = with_parts(with_parts(rows, band_bits, "text", "own"), band_bits, "edited", "changed")
+    rows = with_parts(with_parts(rows, terms, "text", "own"), terms, "edited", "changed")
     rows = stored(rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha256"), "own", "changed", "chosen"))
     by_id = rows.groupBy("doc_id").agg(F.max(F.struct("chosen", "own")).alias("one"))
     following = owners.join(by_id, F.col("doc_id").eqNullSafe(F.col("__next"))).select("owner", F.col("one.own").alias("next_own"))
@@ -165,8 +193,7 @@ texts AS (SELECT doc_id, 'own' AS kind, text AS x FROM edited UNION ALL SELECT d
 words AS (SELECT DISTINCT doc_id, kind, unnest(regexp_extract_all(translate(x, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
 terms AS (SELECT doc_id, kind, ('0x' || substr(md5(word), 1, 13))::BIGINT AS term FROM words),
 band AS (SELECT term FROM terms WHERE kind = 'own' GROUP BY term HAVING count(*) BETWEEN {BAND[0]!r} * (SELECT count(*) FROM doc) AND {BAND[1]!r} * (SELECT count(*) FROM doc)),
-bucket AS (SELECT DISTINCT term % {BITS} AS bucket FROM band),
-marked AS (SELECT doc_id, kind, term, bucket IS NOT NULL AS inside, bool_or(bucket IS NOT NULL) OVER (PARTITION BY doc_id, kind) AS any_inside FROM terms LEFT JOIN bucket ON term % {BITS} = bucket),
+marked AS (SELECT doc_id, kind, terms.term, band.term IS NOT NULL AS inside, bool_or(band.term IS NOT NULL) OVER (PARTITION BY doc_id, kind) AS any_inside FROM terms LEFT JOIN band ON terms.term = band.term),
 factor(k, a, b) AS (VALUES {", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(map(_factors, range(PARTS))))}),
 ranks AS (SELECT doc_id, kind, k, (term % {PRIME} * a + b) % {PRIME} AS r FROM marked, factor WHERE inside OR NOT any_inside),
 below AS (SELECT doc_id, kind, k, r FROM ranks JOIN (SELECT doc_id, kind, k, 1::BIGINT << length(bin(min(r))) AS bound FROM ranks GROUP BY ALL) USING (doc_id, kind, k) WHERE r < bound),

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+from pyspark.sql import functions as F
 from texts import prose
 
 from marlstone.llm import fingerprints
@@ -43,3 +45,26 @@ def test_edges(spark, edge_docs, no_docs):
     one = fingerprints.fingerprint_edits(edge_docs.where("doc_id = 7")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert set(edge_docs.columns) < set(fingerprints.fingerprint(edge_docs).columns)
+
+
+def test_every_term_has_a_place_and_no_other_word_has():
+    r = random.Random(2)
+    for n in (0, 1, 2, 3, 50, 5_000):
+        terms = r.sample(range(2**52), n)
+        table = fingerprints.table_of(terms)
+        half, factors = len(table) // 2, [fingerprints._factors(fingerprints.PARTS + side) for side in (0, 1)]
+        places = lambda t: [side * half + (t % fingerprints.PRIME * a + b) % fingerprints.PRIME % half for side, (a, b) in enumerate(factors)]  # noqa: E731, B023
+        assert len(table) <= 3.5 * n + 2 and sorted(x for x in table if x >= 0) == sorted(terms)
+        assert all(any(table[p] == t for p in places(t)) for t in terms)
+
+
+def test_only_words_in_the_band_are_terms(spark):
+    """Words of every frequency, told one by one."""
+    r = random.Random(3)
+    words = [f"word{k}" for k in range(600)]
+    texts = [" ".join(w for k, w in enumerate(words) if r.random() < (k + 1) / 2000) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    held = fingerprints.lexicon(docs, (0.05, 0.1))
+    df = {w: sum(w in t.split() for t in texts) for w in words}
+    alone = spark.createDataFrame([(w,) for w in words], "word string").select("word", held.has(fingerprints.word_hashes(F.col("word"))[0]).alias("inside"))
+    assert {x.word: x.inside for x in alone.collect()} == {w: 20 <= df[w] <= 40 for w in words}
