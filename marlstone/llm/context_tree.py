@@ -21,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-DEPTH = 6
+DEPTH = 5
 END = b"\xff"
 #: Depth of the contexts that the grams of a packet share.
 SHARED = 2

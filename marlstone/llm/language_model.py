@@ -175,11 +175,12 @@ def _added(held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tally(np.concatenate(_column(held, "codes")), np.concatenate(_column(held, "counts")).astype(np.int64))
 
 
-_ANSWERS = "unit long, kind int, codes binary, counts binary, logs binary"
+#: Values in the order of the codes that a unit has asked a slice for.
+_ANSWERS = "unit long, kind int, slice int, answers binary"
 
 
 def token_answers(asked: DataFrame) -> DataFrame:
-    """What units asked of tokens, with their training counts, and in one row of each slice `total` and `distinct`: the
+    """The training counts of what units asked of tokens, and in one row of each slice `total` and `distinct`: the
     slice's training tokens, with repeats and without."""
 
     def count(held: pa.Table) -> pa.Table:
@@ -188,13 +189,13 @@ def token_answers(asked: DataFrame) -> DataFrame:
         answers = [packed(counts[np.searchsorted(tokens, x)]) for x in _column(held, "codes")]
         n = len(answers)
         first = np.arange(n) == 0
-        return pa.table({"unit": held.column("unit"), "kind": held.column("kind"), "codes": held.column("codes"), "counts": pa.array(answers, pa.binary()), "logs": pa.nulls(n, pa.binary()), "total": pa.array(first * counts.sum()), "distinct": pa.array(first * (counts > 0).sum())})
+        return pa.table({"unit": held.column("unit"), "kind": held.column("kind"), "slice": held.column("slice"), "answers": pa.array(answers, pa.binary()), "total": pa.array(first * counts.sum()), "distinct": pa.array(first * (counts > 0).sum())})
 
     return asked.where("kind = 1").select("unit", "kind", "slice", "codes", "counts").groupBy("slice").applyInArrow(count, f"{_ANSWERS}, total long, distinct long")
 
 
 def gram_answers(asked: DataFrame, slices: int) -> DataFrame:
-    """What units asked of grams, with the log10 of the model's probability of each."""
+    """The log10 of the model's probability of each gram that units asked for."""
     spark, buckets = asked.sparkSession, min(slices, BUCKETS)
     asked = asked.where("kind = 0").select("unit", "kind", "slice", "codes", "counts")
 
@@ -220,7 +221,7 @@ def gram_answers(asked: DataFrame, slices: int) -> DataFrame:
         order = np.argsort(codes)
         codes, logs = codes[order], logs[order]
         found = [logs[np.searchsorted(codes, x)].tobytes() for x in _column(held, "codes")]
-        return pa.table({"unit": held.column("unit"), "kind": held.column("kind"), "codes": held.column("codes"), "counts": pa.nulls(len(found), pa.binary()), "logs": pa.array(found, pa.binary())})
+        return pa.table({"unit": held.column("unit"), "kind": held.column("kind"), "slice": held.column("slice"), "answers": pa.array(found, pa.binary())})
 
     grams = stored(asked.groupBy("slice").applyInArrow(merge, "slice int, bucket int, codes binary, counts binary"))
     by_bucket = grams.groupBy("bucket")
@@ -249,31 +250,36 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame
     answers = gram_answers(dealt, slices).unionAll(tokens.drop("total", "distinct"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def answered(codes: list[np.ndarray], answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """A unit's distinct codes, ascending, and the values for them."""
+        distinct = np.unique(np.concatenate([*codes, np.zeros(0, np.uint64)]))
+        mine = answers.filter(pc.equal(answers.column("kind"), kind))
+        told = {s: unpacked(x) if kind else np.frombuffer(x.as_buffer(), "<f4") for s, x in zip(mine.column("slice").to_pylist(), mine.column("answers"), strict=True)}
+        values = np.zeros(len(distinct))
+        for s, at in _split((mixed(distinct) % np.uint64(slices)).astype(np.int64)):
+            values[at] = told[s]
+        return distinct, values
+
     def score(unit: pa.Table, answers: pa.Table) -> pa.Table:
-        told = []
-        for k, column in ((0, "logs"), (1, "counts")):
-            mine = answers.filter(pc.equal(answers.column("kind"), k))
-            codes = np.concatenate([*_column(mine, "codes"), np.zeros(0, np.uint64)])
-            values = [np.frombuffer(x.as_buffer(), "<f4") for x in mine.column(column)] if k == 0 else _column(mine, column)
-            order = np.argsort(codes)
-            told.append((codes[order], np.concatenate([*values, np.zeros(0, np.float32)])[order]))
-        (grams, logs), (tokens, counts) = told
-        hashes, out = _Hashes(), []
+        hashes, parts, first = _Hashes(), [], 0
         for chunk in chunks(iter(unit.to_batches())):
-            sums = np.zeros((5, chunk.num_rows))  # tokens, known ones, their logs, score, bytes
             for owners, words, bodies, before in _parts(as_bytes(chunk.column("text"))):
                 codes, lengths = gram_codes(bodies, before)
                 some, place = np.unique(codes, return_inverse=True)
-                of = np.repeat(owners, lengths)
-                sums[3] += np.bincount(of, logs[np.searchsorted(grams, some)].astype(np.float64)[place], chunk.num_rows)
-                hashed, number = _hashed(words, bodies, hashes)
-                c = counts[np.searchsorted(tokens, hashed)].astype(np.float64)
-                of = np.repeat(owners, number)
-                for k, by, x in ((0, owners, number), (1, of, c > 0), (2, of, np.log10(c + 0.5)), (4, owners, lengths)):
-                    sums[k] += np.bincount(by, x, chunk.num_rows)
-            values = [pa.array(x) for x in (sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2] - sums[0] * over, sums[3], sums[4].astype(np.int64))]
-            out.append(pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("held_out"), *values], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]))
-        return pa.Table.from_batches(out)
+                parts.append((np.array(owners) + first, lengths, some, place.astype(np.int32), *_hashed(words, bodies, hashes)))
+            first += chunk.num_rows
+        grams, logs = answered([p[2] for p in parts], answers, 0)
+        tokens, counts = answered([p[4] for p in parts], answers, 1)
+        sums = np.zeros((5, first))  # tokens, known ones, their logs, score, bytes
+        for owners, lengths, some, place, hashed, number in parts:
+            low = int(owners[0])
+            wide = int(owners[-1]) - low + 1
+            own, c = owners - low, counts[np.searchsorted(tokens, hashed)]
+            of = np.repeat(own, number)
+            for k, by, x in ((0, own, number), (1, of, c > 0), (2, of, np.log10(c + 0.5)), (3, np.repeat(own, lengths), logs[np.searchsorted(grams, some)][place]), (4, own, lengths)):
+                sums[k, low : low + wide] += np.bincount(by, x, wide)
+        values = [pa.array(x) for x in (sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2] - sums[0] * over, sums[3], sums[4].astype(np.int64))]
+        return pa.table([unit.column("doc_id"), unit.column("held_out"), *values], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
     units = dealt.where("kind is null").select("unit", "doc_id", "held_out", "text")
     scored = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")

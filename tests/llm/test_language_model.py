@@ -124,7 +124,7 @@ def test_probabilities_after_any_context_sum_to_one():
     r = random.Random(5)
     for texts in ([], [b"the cat and the dog and the cow", b"then there they them", b"", b"the"]):
         model = model_of(texts)
-        for context in [b"\xff" * 6, b"ehT dn", b"eht dn", b"eht qq", b" eht n", *(bytes(r.choices(b"the andog", k=6)) for _ in range(20))]:
+        for context in [b"\xff" * 5, b"ehT d", b"eht d", b"eht q", b" eht ", *(bytes(r.choices(b"the andog", k=5)) for _ in range(20))]:
             code = int.from_bytes(context, "big") << 8
             assert (10.0 ** model(np.arange(256, dtype=np.uint64) + np.uint64(code))).sum() == pytest.approx(1, abs=1e-9)
 
