@@ -1,5 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
+A benchmark that is too large to broadcast is a table of windows instead. A filter of bounded size over their hashes is
+broadcast, so in one scan the documents hand on only windows that may be in it; those are joined to the table by hash
+and words.
+
 Words are maximal runs of letters a-z, digits and characters from U+0080, after A-Z are lower-cased. A window is
 `size` consecutive words of an item; an item with fewer words, but not none, is one window. A document's word is
 hit if it lies in any occurrence of a window in that document.
@@ -14,14 +18,17 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, mixed, pieces, set_aside, set_columns, spread, store, stored
+from marlstone.llm.common import as_bytes, chunks, mixed, pieces, set_aside, set_columns, spread, stored
 
-#: Bytes of item texts whose windows are broadcast at once, about 40 MB in a worker; a larger benchmark is scanned in
-#: blocks of this size, one after the other.
+#: Bytes of item texts whose windows are broadcast at most, about 40 MB in a worker; those of a larger benchmark are
+#: joined.
 BLOCK_BYTES = 4 << 20
+#: Bits of the filter for each window of such a benchmark, at most as many bits as this, in parts of so many.
+WINDOW_BITS, FILTER_BITS, PART_BITS = 16, 1 << 29, 1 << 19
 
 _KEPT = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 _LOWER = bytes(ord(chr(c).lower()) if _KEPT.match(bytes([c])) and c < 128 else c if c >= 128 else 32 for c in range(256))
@@ -117,16 +124,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[Any, bytes]]]:
-    """The items in blocks of about `block_bytes`; what reaches the driver at once is bounded by that."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(item, bytes(text)) for item, text in block.toLocalIterator()]
-
-
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -137,18 +134,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
     """`docs` with n_words, hit_spans (disjoint word spans, stop exclusive) and hit_items (sorted item ids as text).
 
     Added columns replace those of the same name. A null text has no words, a null item id is the text "null",
-    items that repeat count once, an empty benchmark hits nothing. There is no shuffle: the documents stream past
-    the broadcast windows. A benchmark of several blocks is scanned once for each, in a job of its own that stores
-    what it hits, so one block at a time is held; then the hits are joined to the documents.
+    items that repeat count once, an empty benchmark hits nothing. The documents are read once, whatever the size of the
+    benchmark: they stream past the broadcast windows, or past a filter of theirs, and then only what passes it is
+    shuffled, and joined to the documents again.
     """
     kept = spread(docs.drop(*ADDED))
-    blocks = _blocks(benchmark, block_bytes) if benchmark.head(1) else iter([[]])
-    first, second = next(blocks, []), next(blocks, None)
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     schema = (fields and fields + ", ") + _ADDED_TYPES
     context = docs.sparkSession.sparkContext
-    if second is None:
-        shared = context.broadcast(_windows(first, size))
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= block_bytes:
+        shared = context.broadcast(_windows([(r.item_id, bytes(r.text)) for r in items.collect()], size))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in chunks(batches):
@@ -159,8 +155,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes
 
     aside, back = set_aside(kept, ("__row", "__spans", "__items"))
     numbered = stored(aside.withColumn("__row", F.monotonically_increasing_id()))
-    paths = [_block_hits(numbered, x, size) for x in (first, second)] + [_block_hits(numbered, x, size) for x in blocks]
-    hits = docs.sparkSession.read.parquet(*paths).groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))
+    hits = _joined_hits(numbered, items, size)
     joined = numbered.join(hits, "__row", "left").select(*back, "__spans", "__items")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,20 +179,94 @@ def _with_hits(chunk: pa.RecordBatch, n: np.ndarray, hits: list[tuple[list[tuple
     return set_columns(chunk, {"n_words": pa.array(n), "hit_spans": pa.array(spans, _SPAN_TYPE), "hit_items": pa.array([sorted(set(i)) for _, i in hits], pa.list_(pa.string()))})
 
 
-def _block_hits(numbered: DataFrame, items: list[tuple[Any, bytes]], size: int) -> str:
-    """The path of a table (__row, spans, items) of the documents that one block of items hits."""
-    shared = numbered.sparkSession.sparkContext.broadcast(_windows(items, size))
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 200_000 and len(word) <= 32:
+            self[word] = value
+        return value
+
+
+_WINDOW = "length int, hash long, words binary"
+
+
+def _window_rows(words: list[bytes], at: np.ndarray, length: int, hashes: np.ndarray) -> list[pa.Array]:
+    held = [b" ".join(words[k : k + length]) for k in at.tolist()]
+    return [pa.array(np.full(len(at), length, np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(held, pa.binary())]
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """(length, hash, words, items) of the distinct windows of items (item_id, text), stored; `items` as text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for chunk in chunks(batches):
+            for item, text in zip(chunk.column("item_id").to_pylist(), as_bytes(chunk.column("text")), strict=True):
+                words = words_of(text)
+                length = min(size, len(words))
+                if length:
+                    hashes = Windows._rolled(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), length)
+                    rows = _window_rows(words, np.arange(len(hashes)), length, hashes)
+                    yield pa.RecordBatch.from_arrays([*rows, pa.array(["null" if item is None else str(item)] * len(hashes), pa.string())], names=["length", "hash", "words", "item"])
+
+    rows = spread(items).mapInArrow(cut, f"{_WINDOW}, item string")
+    return stored(rows.groupBy("length", "hash", "words").agg(F.collect_set("item").alias("items")))
+
+
+def window_filter(windows: DataFrame) -> np.ndarray:
+    """A bitset, as bytes, that has the bits of every window's hash: two bits in the part that the highest bits of the
+    hash choose. Each part is made in one task; together they have at most FILTER_BITS."""
+    wanted = min(max(windows.count() * WINDOW_BITS, PART_BITS), FILTER_BITS)
+    number = 1 << ((wanted - 1) // PART_BITS).bit_length()
+
+    def fill(held: pa.Table) -> pa.Table:
+        bits = np.zeros(PART_BITS, bool)
+        for at in _bits_in_part(held.column("hash").to_numpy().view(np.uint64), len(bits)):
+            bits[at] = True
+        return pa.table({"part": held.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    part = F.shiftrightunsigned("hash", 64 - number.bit_length() + 1) if number > 1 else F.lit(0).cast("long")
+    parts = windows.select(part.alias("part"), "hash").groupBy("part").applyInArrow(fill, "part long, bits binary").toArrow()
+    out = np.zeros((number, PART_BITS // 8), np.uint8)
+    for k, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _bits_in_part(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return (hashes % np.uint64(size)).astype(np.int64), (mixed(hashes) % np.uint64(size)).astype(np.int64)
+
+
+def passing(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the `window_filter` may have each hash."""
+    part = (hashes >> np.uint64(64 - len(held).bit_length() + 1)).astype(np.int64) if len(held) > 1 else np.zeros(len(hashes), np.int64)
+    out = np.ones(len(hashes), bool)
+    for at in _bits_in_part(hashes, 8 * held.shape[1]):
+        out &= (held[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def _joined_hits(numbered: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(__row, __spans, __items) of the documents that windows of the items hit, by one scan and a join."""
+    windows = item_windows(items, size)
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())
+    shared = numbered.sparkSession.sparkContext.broadcast(window_filter(windows))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
         for chunk in chunks(batches):
-            _, found = shared.value.scan(as_bytes(chunk.column("text")))
-            rows = sorted(found)
-            spans = [[{"start": a, "stop": b} for a, b in _merged(found[k][0])] for k in rows]
-            yield pa.RecordBatch.from_arrays([chunk.column("__row").take(pa.array(rows, pa.int64())), pa.array(spans, _SPAN_TYPE), pa.array([sorted(found[k][1]) for k in rows], pa.list_(pa.string()))], names=["__row", "spans", "items"])
-
-    _, path = store(numbered.select("__row", "text").mapInArrow(scan, "__row long, spans array<struct<start:int,stop:int>>, items array<string>"))
-    shared.destroy()
-    return path
+            for row, text in zip(chunk.column("__row").to_pylist(), as_bytes(chunk.column("text")), strict=True):
+                words = [w for piece in pieces(text) for w in words_of(piece)]
+                coded = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+                for length in lengths:
+                    hashes = Windows._rolled(coded, length)
+                    at = np.flatnonzero(passing(shared.value, hashes))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row, np.int64)), pa.array(at.astype(np.int32)), *_window_rows(words, at, length, hashes)], names=["__row", "start", "length", "hash", "words"])
+
+    found = numbered.select("__row", "text").mapInArrow(scan, f"__row long, start int, {_WINDOW}").join(windows, ["length", "hash", "words"])
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("stop"))
+    return found.groupBy("__row").agg(F.collect_list(span).alias("__spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"))
 
 
 def n_hit() -> Column:

@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 from texts import prose
 
 from marlstone.llm import decontamination
@@ -81,3 +83,42 @@ def test_edges(spark, edge_docs, no_docs):
     assert decontamination.report(edge_docs, none).where("n_hit > 0").count() == 0
     assert decontamination.report(no_docs, items).count() == 0
     assert decontamination.drop_documents(edge_docs, items).columns == edge_docs.columns
+
+
+def hits(docs, items, **how):
+    return sorted(((r.doc_id, r.n_words, [tuple(s) for s in r.hit_spans], r.hit_items) for r in decontamination.find_hits(docs, items, **how).collect()), key=str)
+
+
+def test_a_joined_benchmark_hits_the_same(spark, sf_dir, edge_docs, monkeypatch):
+    """Without any broadcast windows: the tables, short items, nulls, and a filter of a few bits that lets most pass."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert hits(docs, items, block_bytes=-1) == hits(docs, items)
+    short = spark.createDataFrame([(1, "words that are plain"), (None, "漢字 and"), (3, None), (4, "a"), (1, "words that are plain")], "item_id long, text string")
+    assert hits(edge_docs, short, block_bytes=-1) == hits(edge_docs, short)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert hits(edge_docs, none, block_bytes=-1) == hits(edge_docs, none)
+    monkeypatch.setattr(decontamination, "PART_BITS", 64)
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 256)
+    monkeypatch.setattr(decontamination, "WINDOW_BITS", 1)
+    docs = docs.limit(50)
+    assert hits(docs, items, block_bytes=-1) == hits(docs, items)
+
+
+def test_a_filter_has_all_its_windows_and_few_others(spark):
+    items = spark.createDataFrame([(k, prose(k, 200)) for k in range(120)], "item_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    windows = decontamination.item_windows(items, 13)
+    held = decontamination.window_filter(windows)
+    hashes = np.array([r.hash for r in windows.collect()], np.int64).view(np.uint64)
+    others = np.random.default_rng(1).integers(0, 2**63, 50_000).astype(np.uint64) * np.uint64(2)
+    assert decontamination.passing(held, hashes).all() and decontamination.passing(held, others).mean() < 0.05
+
+
+def test_documents_are_scanned_once_for_any_benchmark(spark):
+    """The text is read by one stored copy of the documents, however many blocks the benchmark would fill."""
+    docs = spark.createDataFrame([(k, prose(k, 30)) for k in range(20)], "doc_id long, text string")
+    counts = []
+    for n in (4, 60):
+        items = spark.createDataFrame([(k, prose(500 + k, 40)) for k in range(n)], "item_id long, text string")
+        plan = decontamination.find_hits(docs, items, block_bytes=100)._jdf.queryExecution().optimizedPlan().toString()
+        counts.append(plan.count("MapInArrow scan"))
+    assert counts == [1, 1]
