@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marlstone.llm.common import as_text, chunks, spread
 
@@ -166,8 +167,9 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int = 0) ->
 def pack(pieces: DataFrame, capacity: int, open_bins: int = 256) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of 1 to `capacity`.
 
-    Each partition packs by itself, in order of doc_id and piece, so its bins depend on its rows alone; a
-    sequence_id holds the partition in its upper bits. What packing by partitions costs is at most the last
+    Rows are dealt to partitions by doc_id, piece and their number in the input, so that rows of one id, or of none,
+    are spread like any others. Each partition packs by itself, in order of doc_id and piece; a sequence_id holds the
+    partition in its upper bits. What packing by partitions costs is at most the last
     `open_bins` bins of each, and partitions are few: pieces are small, and adaptive execution joins them.
     """
 
@@ -178,7 +180,8 @@ def pack(pieces: DataFrame, capacity: int, open_bins: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(placed[:, 0] + first), pa.array(placed[:, 1].copy())], names=[*batch.schema.names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.repartition("doc_id", "piece").sortWithinPartitions("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(fill, f"{kinds}, sequence_id long, offset long")
+    dealt = pieces.withColumn("__row", F.monotonically_increasing_id()).repartition("doc_id", "piece", "__row").drop("__row")
+    return dealt.sortWithinPartitions("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(fill, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, open_bins: int = 256, path: str | None = None) -> DataFrame:

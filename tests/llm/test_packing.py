@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -100,3 +101,15 @@ def test_best_fit_by_definition():
         if not open_bins[number]:
             del open_bins[number]
         assert {b for bs in bins._bins for b in bs} == set(open_bins)
+
+
+def test_rows_without_an_id_are_spread_over_partitions(spark):
+    docs = spark.createDataFrame([(None, "the same text")] * 4000, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = packing.pack_documents(docs, 64).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    number = Counter(r.sequence_id >> 40 for r in rows)
+    assert len(rows) == 4000 and len(number) == 4 and max(number.values()) < 1500
