@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 19
 
 _local: dict[str, str] = {}
+#: Paths that each open `scratch` has stored, the innermost last.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,16 +51,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/marlstone-{context.applicationId}"
 
 
-def store(df: DataFrame) -> tuple[DataFrame, str]:
+def store(df: DataFrame, lasting: bool = False) -> tuple[DataFrame, str]:
     """`df` written as Parquet to the shared folder and read again, and the path: cuts the lineage and outlives lost
-    executors."""
+    executors. A `lasting` table outlives the `scratch` it is stored in."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    open_ = _scratch.get()
+    for held in (open_[:-1] if lasting else open_)[-1:]:
+        held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    return store(df)[0]
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    return store(df, lasting)[0]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was stored within it, but for lasting tables: what comes out must read those alone."""
+    before, mine = _scratch.get(), []
+    token = _scratch.set((*before, mine))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in mine:
+            delete(spark, path)
 
 
 def small(df: DataFrame, most: int) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_bytes, chunks, delete, mixed, pieces, set_aside, small, spread, store, stored
+from marlstone.llm.common import as_bytes, chunks, delete, mixed, pieces, scratch, set_aside, small, spread, store, stored
 from marlstone.llm.decontamination import words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -503,6 +503,7 @@ def _alive(postings: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     rows = _rooted(postings.select("shingle", "key", "before", "total"), roots)
     best = F.min(F.struct((F.col("before") / F.col("total")).alias("share"), F.col("key"), F.col("root"), F.col("total"), F.col("before"))).alias("best")
     shingles = rows.groupBy("shingle").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.min("total").alias("low"), best).where("one != other").drop("one", "other")
+    shingles = small(stored(shingles), BROADCAST_ROWS // 4)  # so that a shingle's rows don't meet in one task
     # The least that both share, if they are similar, must fit into what the text has from the shingle on.
     fits = F.col("total") - F.col("before") >= (F.col("total") + F.greatest("low", F.lit(least) * F.col("total"))) * (least / (1 + least)) - F.col("total") * 1e-9
     return stored(rows.join(shingles, "shingle").where(fits))
@@ -605,17 +606,18 @@ def group_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Other columns aren't read, an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    rows, classes, edges = _grouped(spread(docs), least)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    wide = stored(classes.join(ends, "key", "left").select("key", "copy_id", "n_copies", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    with scratch(docs.sparkSession):
+        rows, classes, edges = _grouped(spread(docs), least)
+        ends = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+        wide = stored(classes.join(ends, "key", "left").select("key", "copy_id", "n_copies", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links")), lasting=True)
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
     return rows.join(wide, "key").select("doc_id", "class_id", "n_links", "copy_id", "n_copies", kept.alias("kept"))
 
 
 def _grouped(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (key, doc_id), texts (key, copy_id, n_copies, class_id, class_key) and links (a, b)."""
+    """rows (key, doc_id), lasting, texts (key, copy_id, n_copies, class_id, class_key) and links (a, b)."""
     weights = word_weights(docs)
-    sketched = stored(sketches(docs, weights))
+    sketched = stored(sketches(docs, weights), lasting=True)
     rows = sketched.select("key", "doc_id")
     classes = stored(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")))
     edges, roots = links(docs, classes, weights, least)
@@ -632,11 +634,11 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Columns and types stay as they are. Null and empty texts are one group, a null doc_id comes last in a group, an
     empty table stays empty.
     """
-    rows, classes, _ = _grouped(spread(docs.select("doc_id", "text")), least)
     aside, back = set_aside(docs, ("__key", "__of", "__id"))
-    leads = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
-    gone = stored(rows.join(classes, "key").where(~leads).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).distinct())
+    with scratch(docs.sparkSession):
+        rows, classes, _ = _grouped(spread(docs.select("doc_id", "text")), least)
+        leads = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
+        gone = stored(rows.join(classes, "key").where(~leads).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).distinct(), lasting=True)
+        repeats = bool(rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1))
     left = aside.withColumn("__of", text_key()).join(small(gone, BROADCAST_ROWS), (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    if rows.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
-        left = left.dropDuplicates(["__of", "doc_id"])
-    return left.select(*back)
+    return (left.dropDuplicates(["__of", "doc_id"]) if repeats else left).select(*back)

@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from texts import prose
 
 from marlstone.llm import near_duplicates
+from marlstone.llm.common import clear_stored, scratch, shared_folder, stored
 from marlstone.llm.decontamination import words_of
 
 
@@ -229,8 +231,29 @@ def test_boilerplate_is_not_compared(spark, monkeypatch):
     real = near_duplicates._partners
     monkeypatch.setattr(near_duplicates, "_crossing", crossing)
     monkeypatch.setattr(near_duplicates, "_partners", partners)
-    for n in (300, 1200):
+    for n in (100, 400):
         met.clear()
         docs = spark.createDataFrame([(k, f"{shared} {prose(10_000 + k, 80)}") for k in range(n)], "doc_id long, text string")
         assert len({r.class_id for r in near_duplicates.group_documents(docs).collect()}) == n
         assert met == {"members": 0, "pairs": 0}
+
+
+def test_only_what_the_result_reads_stays_stored(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def tables():
+        return {x.getPath().getName() for x in files.listStatus(folder)} if files.exists(folder) else set()
+
+    before = tables()
+    rows = near_duplicates.group_documents(docs)
+    assert len(tables() - before) == 2 and rows.count() == docs.count()
+    left = near_duplicates.keep_one(docs)
+    assert len(tables() - before) == 4 and left.count() < docs.count()
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        stored(docs.select("doc_id"))
+        raise ZeroDivisionError
+    assert len(tables() - before) == 4
+    clear_stored(spark)
+    assert not tables()
