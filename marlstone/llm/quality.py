@@ -107,6 +107,7 @@ class Model:
             vectors[:] = 0
             mean = (positive + 1) / (len(rows) + 2)
             bias = np.array([0, np.log(mean / (1 - mean))])
+        self.trained = steps > 0
         self.weight, self.bias = vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
@@ -161,7 +162,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those that the classifier rejects; columns and types stay as they are. A null or empty text
-    stays or goes by the bias, repeated rows share their fate, an empty table stays empty; without usable labels all
-    scores are one half, and none stays."""
+    stays or goes by the bias, repeated rows share their fate, an empty table stays empty; without labels of both kinds
+    nothing is known of quality, and all documents stay."""
+    model = fit(docs, labels)
+    if not model.trained:
+        return docs
     aside, back = set_aside(docs, ("score", "predicted"))
-    return scored(aside, fit(docs, labels)).where("predicted = 1").select(*back)
+    return scored(aside, model).where("predicted = 1").select(*back)

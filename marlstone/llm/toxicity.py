@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import as_bytes, chunks, fold, pieces, set_columns, spread, stored
-from marlstone.llm.labelled import training_sample
+from marlstone.llm.labelled import SAMPLE_BYTES, training_sample
 
 #: Labelled documents to fit on, prior weight, drift a token, the least count that gives a word its own
 #: score, and standard errors.
@@ -206,9 +206,9 @@ def _measured(sample: DataFrame, lexicon: Lexicon) -> list[tuple[int, int, list[
     return [*zip(found["y"].to_pylist(), found["n"].to_pylist(), found["segments"].to_pylist(), *lists, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Fits on at most `most` labelled documents outside the held fold."""
-    sample = training_sample(docs, labels, "toxic", most=most)
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most `most` labelled documents outside the held fold, of about `most_bytes` together."""
+    sample = training_sample(docs, labels, "toxic", most=most, most_bytes=most_bytes)
     lexicon = _log_odds(sample.where("part % 2 = 0"))
     rows = _measured(sample.where("part % 2 != 0"), lexicon)
     clean = [r for r in rows if r[0] == 0 and r[1]]

@@ -205,4 +205,5 @@ def test_edges(spark, edge_docs, no_docs):
         assert module.score_documents(docs.unionAll(docs), odd).count() == 240
         if keep:
             assert keep(edge_docs, labels).schema == edge_docs.schema
+            assert keep(edge_docs, empty).count() == edge_docs.count()  # nothing is known, so nothing goes
     assert {r.score for r in quality.score_documents(docs, empty).collect()} == {0.5}
