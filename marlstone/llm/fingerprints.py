@@ -77,9 +77,8 @@ class Lexicon:
         self.table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
     def has(self, term: Column) -> Column:
-        places = (_rank(term, PARTS + side) % self.half + side * self.half + 1 for side in (0, 1))
-        one, other = (F.element_at(self.table, p.cast("int")) == term for p in places)
-        return one | other
+        places = F.array(*((_rank(term, PARTS + side) % self.half + side * self.half + 1).cast("int") for side in (0, 1)))
+        return F.exists(places, lambda place: F.element_at(self.table, place) == term)
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Lexicon:
@@ -89,7 +88,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Lexicon:
     return Lexicon([r.term for r in inside.select("term").toLocalIterator()])
 
 
-def parts(hashes: Column, number: int = PARTS) -> Column:
+def parts(hashes: Column) -> Column:
     """The hashes of a set of terms under each lexicon, of 32 bits, less 2^31."""
 
     def part(factors: Column) -> Column:
@@ -101,7 +100,7 @@ def parts(hashes: Column, number: int = PARTS) -> Column:
         digits = F.substring(F.md5(F.array_join(found.cast("array<string>"), ",").cast("binary")), 1, 8)
         return (F.conv(digits, 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
 
-    pairs = [F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(_factors, range(number))]
+    pairs = [F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(_factors, range(PARTS))]
     return F.transform(F.array(*pairs), part)
 
 
@@ -114,22 +113,20 @@ def _shown(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda p: F.lower(F.lpad(F.hex(p.cast("long") + F.lit(1 << 31)), 8, "0"))), "-")
 
 
-def with_parts(df: DataFrame, band: Lexicon, text: str, name: str) -> DataFrame:
-    """Adds the fingerprint's parts of column `text` as `name`. A text without terms in the band uses all its words."""
-    words, kept = f"{name}_words", f"{name}_kept"
-    return (
-        df.withColumn(words, word_hashes(F.col(text)))
-        .withColumn(kept, F.filter(words, band.has))
-        .withColumn(name, parts(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(words))))
-        .drop(words, kept)
-    )
+def with_parts(df: DataFrame, band: Lexicon, texts: dict[str, str]) -> DataFrame:
+    """Adds the parts of the fingerprints of columns of text, each by the name in `texts`; a text without terms in the
+    band uses all its words. The table of the band stands in the plan once."""
+    some = lambda words: F.transform(F.array(F.filter(words, band.has)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(words))[0]
+    found = df.withColumn("__words", F.transform(F.array(*map(F.col, texts)), word_hashes)).withColumn("__words", F.transform("__words", some))
+    found = found.withColumn("__words", F.transform("__words", parts))
+    return found.withColumns({name: F.col("__words")[k] for k, name in enumerate(texts.values())}).drop("__words")
 
 
 def fingerprint(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """`docs` with `fingerprint`; a column of that name is replaced, a null text is empty, other columns stay."""
-    aside, back = set_aside(docs.drop("fingerprint"), ("__text", "__parts", "__parts_words", "__parts_kept"))
+    aside, back = set_aside(docs.drop("fingerprint"), ("__text", "__parts", "__words"))
     filled = aside.withColumn("__text", F.coalesce("text", F.lit("")))
-    return with_parts(filled, lexicon(docs, band), "__text", "__parts").select(*back, _shown(F.col("__parts")).alias("fingerprint"))
+    return with_parts(filled, lexicon(docs, band), {"__text": "__parts"}).select(*back, _shown(F.col("__parts")).alias("fingerprint"))
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -169,7 +166,7 @@ def fingerprint_edits(docs: DataFrame, band: tuple[float, float] = BAND) -> Data
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("following.head").substr(F.lit(1), cut))
     rows = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", edited.alias("edited"), chosen.alias("chosen"))
-    rows = with_parts(with_parts(rows, terms, "text", "own"), terms, "edited", "changed")
+    rows = with_parts(rows, terms, {"text": "own", "edited": "changed"})
     rows = stored(rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha256"), "own", "changed", "chosen"))
     by_id = rows.groupBy("doc_id").agg(F.max(F.struct("chosen", "own")).alias("one"))
     following = owners.join(by_id, F.col("doc_id").eqNullSafe(F.col("__next"))).select("owner", F.col("one.own").alias("next_own"))
