@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,31 +19,63 @@ from marlstone.llm.common import as_text, chunks, spread
 
 #: Words after which a task begins to keep new ones only, and those of the kept ones that come again; letters of a long
 #: text that it encodes at once, about.
-KEPT_WORDS, AT_ONCE = 120_000, 1 << 17
+KEPT_WORDS, AT_ONCE = 200_000, 1 << 17
 
 # Below U+0250 these are all the letters, numbers and white space of the tokenizer's own split pattern.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
-_WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORDS = re.compile(f" [{_L}]+|[{_L}]+|'(?:[stmd]|re|ve|ll)| [{_N}]+|[{_N}]+| [^{_S}{_L}{_N}]+|[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\\x00-ɏ]")
 #: A place where the split pattern always begins a word: a space between two letters.
 _CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 
+def _beyond(text: str) -> bool:
+    return not text.isascii() and _BEYOND.search(text) is not None
+
+
+#: The character that byte-level tokenizers write for each byte: itself if it shows, else the next one from U+0100.
+_SHOWN, _OTHERS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}, itertools.count(0x100)
+SPELLING = "".join(chr(b if b in _SHOWN else next(_OTHERS)) for b in range(256))
+
+
+class Words(dict[str, bytes | bytearray]):
+    """Ids by word. A word that hasn't come yet gets an empty array, which is filled before it is read: so each word
+    of a text is looked up once."""
+
+    def __init__(self, before: dict[str, bytes | bytearray]):
+        self._before, self.new = before, {}
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        if (ids := self._before.get(word)) is None:
+            ids = self.new[word] = bytearray()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes. Merges never cross the words of the split pattern, so a
     text's ids are its words' ids in a row, and words that haven't come yet are encoded together; a text with
-    characters from U+0250, or with one of the tokenizer's added tokens in it, goes to the tokenizer as it is."""
+    characters from U+0250, or with one of the tokenizer's added tokens in it, goes to the tokenizer as it is, and
+    so does any text if the tokenizer isn't a plain byte-level one."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        split, model = self._tokenizer.pre_tokenizer, self._tokenizer.model
+        bytewise = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and isinstance(model, models.BPE)
+        self._by_words = bytewise and self._tokenizer.normalizer is None and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
+        if self._by_words:
+            # Words of the pattern, spelt, need only the merges. A token has as many characters as it has bytes.
+            vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+            self._by_words = all(c in vocabulary for c in SPELLING)
+            self._merges, self._sizes = Tokenizer(model), np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self._sizes[[*vocabulary.values()]] = [*map(len, vocabulary)]
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self._before: dict[str, bytes] = {}
+        self.known = Words({})
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -53,40 +87,44 @@ class Encoder:
             start = cut.start()
         yield text[start:]
 
-    def _learn(self, words: set[str]) -> None:
-        missing = []
-        for word in words.difference(self.known):
-            if word in self._before:
-                self.known[word] = self._before[word]
-            else:
-                missing.append(word)
-        if missing:
-            found = self._tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
-            ids, ends = np.array(found.ids, "<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(1, len(missing) + 1)) * 4
-            self.known.update((w, ids[a:b]) for w, a, b in zip(missing, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+    def _learn(self) -> None:
+        """Fills in the ids of new words. Where a word ends, so does a token, after as many bytes."""
+        if new := self.known.new:
+            spelt = [codecs.charmap_decode(word.encode(), "strict", SPELLING)[0] for word in new]
+            ids = np.array(self._merges.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum([*map(len, spelt)])) + 4
+            start, found = 0, ids.tobytes()
+            for (word, room), end in zip(new.items(), ends.tolist(), strict=True):
+                self.known[word] = own = found[start:end]
+                room += own
+                start = end
+            self.known.new = {}
+        if len(self.known) > KEPT_WORDS:
+            self.known = Words(dict(self.known))
+
+    def _look_up(self, text: str) -> list[bytes | bytearray]:
+        return list(map(self.known.__getitem__, _WORDS.findall(text)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; all that aren't long learn their new words at once."""
-        if len(self.known) > KEPT_WORDS:
-            self._before, self.known = self.known, {}
         # An added token may hold any characters, so a text that has one isn't sliced.
-        whole = [any(t in x for t in self._added) for x in texts]
-        short = [None if w or len(x) > AT_ONCE or _BEYOND.search(x) else _WORDS.findall(x) for x, w in zip(texts, whole, strict=True)]
-        self._learn({w for words in short if words for w in words})
+        whole = [not self._by_words or any(t in x for t in self._added) for x in texts]
+        short = [None if w or len(x) > AT_ONCE or _beyond(x) else self._look_up(x) for x, w in zip(texts, whole, strict=True)]
+        self._learn()
         for text, as_it_is, words in zip(texts, whole, short, strict=True):
             if as_it_is:
                 yield self._ids(text)
             elif words is not None:
-                yield b"".join(map(self.known.__getitem__, words))
+                yield b"".join(words)
             else:
                 yield b"".join(map(self._slice_ids, self._slices(text)))
 
     def _slice_ids(self, text: str) -> bytes:
-        if _BEYOND.search(text):
+        if _beyond(text):
             return self._ids(text)
-        words = _WORDS.findall(text)
-        self._learn(set(words))
-        return b"".join(map(self.known.__getitem__, words))
+        words = self._look_up(text)
+        self._learn()
+        return b"".join(words)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -72,6 +73,37 @@ def test_long_texts_and_added_tokens():
     assert token_ids("<|endoftext|>")[:-1] == [50256]
 
 
+def test_kept_words_are_given_up_in_time(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    monkeypatch.setattr(packing, "AT_ONCE", 300)
+    r, encoder = random.Random(3), packing.Encoder(PATH)
+    words = ["".join(r.choices("aeinst'é 1.", k=r.randint(1, 9))) for _ in range(400)]
+    for _ in range(30):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 30))) for _ in range(5)] + [" ".join(words)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [token_ids(t)[:-1] for t in texts]
+        assert len(encoder.known) < 40 + 300
+
+
+def test_new_words_cost_less_than_the_tokenizers_call_for_words():
+    r = random.Random(6)
+    words = [" " + "".join(r.choices(["th", "on", "er", "re", "ti", "an", "ed", "le"], k=r.randint(3, 7))) for _ in range(40_000)]
+    text, distinct = ["".join(words[k : k + 1000]) for k in range(0, len(words), 1000)], list(dict.fromkeys(words))
+    ratios = []
+    for _ in range(3):
+        encoder, before = packing.Encoder(PATH), time.process_time()
+        list(encoder.encode(text))
+        between = time.process_time()
+        TOKENIZER.encode(distinct, is_pretokenized=True, add_special_tokens=False)
+        ratios.append((between - before) / (time.process_time() - between))
+    assert min(ratios) < 0.85
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, texts = Tokenizer.from_file(path), ["IT'S  what they'LL do", "", " a\nb"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(path).encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), max_size=30))
 def test_words_are_the_tokenizers(text):
